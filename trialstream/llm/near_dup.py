@@ -2,9 +2,10 @@
 
 Texts with equal shingle sets form one class, so exact copies are handled once. Classes
 that share a band of their MinHash signature are candidates. Within a bucket not all
-pairs are compared: first each class with the bucket's leader, then, in buckets whose classes
-aren't yet in one component, with leaders of other components, and at last all remaining
-pairs of different components. A pair's signatures are compared in batches and the
+pairs are compared: first each class with the bucket's leader, the member that shares most buckets;
+then, of buckets whose classes aren't yet in one component, those pairs of different components that an
+exact filter leaves: similar sets share one of their rarest shingles, at places that leave room for enough
+others. So a large group of near copies costs little more than its members. A pair's signatures are compared in batches and the
 pair is dropped when the posterior probability of a similarity over the threshold falls
 under the chosen miss probability; survivors are confirmed on their full shingle sets.
 """
@@ -36,8 +37,8 @@ class NearDupConfig:
     batch: int = 24
     miss: float = 1e-6
     seed: int = 11
-    #: Rounds with other leaders before all remaining pairs are compared.
-    leader_rounds: int = 1
+    #: Shingles whose frequency orders the others in the exact filter. Any order gives all pairs; a good one gives few others.
+    ordered_shingles: int = 200_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -185,6 +186,53 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> Dat
     return own.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _similar_pairs(rest: DataFrame, config: NearDupConfig) -> DataFrame:
+    """(node, other): pairs of (node, label, text) with different labels that may be similar enough, by prefix and place.
+
+    All shingles are ordered, the rarest first. Two sets over the threshold share a shingle among the first of either, and what
+    follows it in both must hold enough others.
+    """
+    kind = rest.schema["node"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, seen = WordCodes(), np.zeros(0, np.uint64)
+        for batch in batches:
+            seen = np.concatenate([seen, *(shingle_set(t or "", config.words, codes) for t in batch.column(0).to_pylist())])
+        value, n = np.unique(seen, return_counts=True)
+        # those that one task has once say nothing about the order
+        yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
+    often = rest.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(config.ordered_shingles).collect()
+    keys = np.array([r["h"] for r in often], np.int64).view(np.uint64)
+    by_key = np.argsort(keys)
+    keys, counts = keys[by_key], np.array([r["n"] for r in often], np.int64)[by_key]
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for node, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = shingle_set(text or "", config.words, codes)
+                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                known = np.where(keys[at] == own, counts[at], 0) if len(keys) else np.zeros(len(own), np.int64)
+                first = own[np.lexsort((own, known))][: len(own) - -(-config.percent * len(own) // 100) + 1]
+                for column, x in zip(out, (first.view(np.int64), np.arange(len(first))), strict=False):
+                    column.append(x)
+                out[2] += [node] * len(first)
+                out[3] += [label] * len(first)
+                out[4] += [len(own)] * len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(out[2], batch.schema.field(0).type), pa.array(out[3], batch.schema.field(1).type), pa.array(out[4], pa.int64())], ["h", "place", "node", "label", "n"])
+
+    rows = rest.select("node", "label", "text").mapInArrow(prefix, f"h bigint, place bigint, node {kind}, label {kind}, n bigint")
+    rows = written(rows, "prefixes")
+    several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+    rows = rows.join(several, "h")
+    others = rows.select("h", F.col("place").alias("place2"), F.col("node").alias("other"), F.col("label").alias("label2"), F.col("n").alias("n2"))
+    room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    enough = room * (100 + config.percent) >= config.percent * (F.col("n") + F.col("n2"))
+    return rows.join(others, (rows["h"] == others["h"]) & (rows["node"] < others["other"]) & (rows["label"] != others["label2"]) & enough).select("node", "other").distinct()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links (a, b) reach from each linked node.
 
@@ -225,42 +273,32 @@ def link_documents(docs: DataFrame, config: NearDupConfig = NearDupConfig(), *,
     heads = sets.join(classes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("node"))).groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     heads = written(heads, "classes")
     members = heads.select(F.explode("bands").alias("key"), "node", "n")
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
-    members = written(members.join(shared.select("key", "leader"), "key"), "buckets")
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(members.join(shared, "key"), "buckets")
+    central = members.groupBy("node").agg(F.sum("size").alias("common"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.min_by(F.struct("node", "n"), F.struct(-F.col("common"), F.col("node"))).alias("x")).select("key", F.col("x.node").alias("other"), F.col("x.n").alias("n2"))
     wanted = members.select("node").distinct()
     texts = docs.select(F.col(id_column).alias("node"), F.col(text_column).cast("string").alias("text")).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
     sigs = heads.select("node", "sig")
 
-    tested = links = None
-    pairs = members.where("node != leader").join(heads.select(F.col("node").alias("leader"), F.col("n").alias("n2")), "leader").select("node", "n", F.col("leader").alias("other"), "n2")
-    labels = None
-    for step in range(config.leader_rounds + 2):
-        if step:
-            mixed = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            split = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            members = written(mixed.join(split, "key").select("key", "node", "n", "label"), "mixed")
-            if members.isEmpty():
-                break
-            if step <= config.leader_rounds:
-                order = F.xxhash64("node", F.lit(step))
-                ends = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "label"), F.struct("label", order)).alias("x"), F.min_by(F.struct("node", "n", "label"), F.struct("label", order)).alias("y"))
-                others = ends.select("key", F.explode(F.array("x", "y")).alias("o")).select("key", F.col("o.node").alias("other"), F.col("o.n").alias("n2"), F.col("o.label").alias("label2"))
-            else:
-                others = members.select("key", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            pairs = members.join(others, "key").where("label != label2" + (" and node < other" if step > config.leader_rounds else ""))
-        ratio = 100 * F.least("n", "n2") >= config.percent * F.greatest("n", "n2")
+    def confirmed(pairs: DataFrame) -> DataFrame:
         # a pair that several buckets hold is compared once; b is the one that is likelier to recur
-        pairs = pairs.where(ratio).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        near = written(_pruned(pairs, sigs, config), "survivors")
-        found = written(_confirmed(near, texts, config), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if labels is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = written(connected_components(links), "labels")
+        once = written(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
+        near = written(_pruned(once, sigs, config), "survivors")
+        return written(_confirmed(near, texts, config), "links")
+
+    ratio = 100 * F.least("n", "n2") >= config.percent * F.greatest("n", "n2")
+    links = confirmed(members.join(leaders, "key").where("node != other").where(ratio))
+    labels = written(connected_components(links), "labels")
+    mixed = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rest = mixed.join(split, "key").groupBy("node").agg(F.first("label").alias("label"))
+    rest = written(rest.join(texts, "node"), "mixed")
+    if not rest.isEmpty():
+        more = confirmed(_similar_pairs(rest, config))
+        if not more.isEmpty():
+            labels = written(connected_components(links.unionByName(more)), "labels")
     merged = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
     out = rows.where("digest is not null and id is not null").join(merged, "digest", "left").select("id", "n", "component")
     rest = rows.where("digest is null or id is null").select("id", "n", F.col("id").alias("component"))

@@ -98,39 +98,60 @@ def anchors(data: bytes, ends: np.ndarray, config: RepeatConfig) -> tuple[np.nda
     return h[at[new]], at[new], window[new], window[last]
 
 
-def anchor_rows(docs: DataFrame, config: RepeatConfig) -> DataFrame:
-    """(key, gram, at, first, last) of every anchor of (key, text), in bytes of the text."""
-
-    def flush(keys: list, parts: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        sizes = np.array([len(p) for p, _ in parts], np.int64)
-        ends = np.cumsum(sizes)
-        gram, at, first, last = anchors(b"".join(p for p, _ in parts), ends, config)
-        owner = np.searchsorted(ends, at, "right")
-        shift = np.array([offset for _, offset in parts], np.int64) - (ends - sizes)
-        move = shift[owner]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[owner]), pa.array(gram.view(np.int64)), *(pa.array((x + move).astype(np.int32)) for x in (at, first, last))], ["key", "gram", "at", "first", "last"])
+def _pieces(data: bytes, config: RepeatConfig) -> Iterator[tuple[bytes, int]]:
+    """data in pieces of less than _CHUNK bytes, with their places; every window lies in one of them."""
+    for offset in range(0, max(1, len(data) - config.length + 1), _CHUNK - config.length):
+        piece = data[offset : offset + _CHUNK - 1]
+        if len(piece) >= config.length:
+            yield piece, offset
+
+
+def anchor_grams(docs: DataFrame, config: RepeatConfig) -> DataFrame:
+    """(key, gram) of every anchor of (key, text): the hash of the bytes at the anchor."""
+
+    def flush(keys: list[int], parts: list[bytes]) -> pa.RecordBatch:
+        ends = np.cumsum(np.array(list(map(len, parts)), np.int64))
+        gram, at, _, _ = anchors(b"".join(parts), ends, config)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[np.searchsorted(ends, at, "right")]), pa.array(gram.view(np.int64))], ["key", "gram"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[int] = []
-            parts: list[tuple[bytes, int]] = []
+            parts: list[bytes] = []
             held = 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for offset in range(0, max(1, len(data) - config.length + 1), _CHUNK - config.length):
-                    piece = data[offset : offset + _CHUNK - 1]
-                    if len(piece) < config.length:
-                        continue
+                for piece, _ in _pieces(text.as_buffer().to_pybytes(), config):
                     if held + len(piece) >= _CHUNK:
                         yield flush(keys, parts)
                         keys, parts, held = [], [], 0
                     keys.append(key)
-                    parts.append((piece, offset))
+                    parts.append(piece)
                     held += len(piece)
             if parts:
                 yield flush(keys, parts)
 
-    return docs.mapInArrow(run, "key bigint, gram bigint, at int, first int, last int")
+    return docs.mapInArrow(run, "key bigint, gram bigint")
+
+
+def with_spots(texts: DataFrame, config: RepeatConfig) -> DataFrame:
+    """texts with their column grams, which comes last, replaced by spots: anchor, first and last window of each anchor with one of the grams."""
+    names = texts.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = []
+            for text, grams in zip(batch.column("text"), batch.column("grams"), strict=True):
+                wanted, own = grams.values.to_numpy(), []
+                for piece, offset in _pieces(text.as_buffer().to_pybytes(), config):
+                    gram, *places = anchors(piece, np.array([len(piece)], np.int64), config)
+                    near = np.isin(gram.view(np.int64), wanted)
+                    own += [{"at": a, "first": f, "last": z} for a, f, z in zip(*((x[near] + offset).tolist() for x in places), strict=True)]
+                spots.append(own)
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spots, kind)], [*names, "spots"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    return texts.mapInArrow(run, f"{fields}, spots array<struct<at: int, first: int, last: int>>")
 
 
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -146,17 +167,22 @@ def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
 
 
 def front_code(entries: list[tuple[bytes, int, int]]) -> bytes:
-    """Sorted (string, right length, count) entries as bytes: each without the prefix it shares with the one before."""
+    """Sorted (string, right length, count) entries as compressed bytes: each without the prefix it shares with the one before."""
+    import zstandard
+
     out, last = [], b""
     for string, right, count in entries:
         shared = common_prefix(last, string)
         out.append(struct.pack("<HHHI", shared, len(string) - shared, right, count) + string[shared:])
         last = string
-    return b"".join(out)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def decode_run(data: bytes) -> Iterator[tuple[int, bytes, int, int]]:
     """(prefix shared with the entry before, string, right length, count) of each entry."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
     place, last = 0, b""
     while place < len(data):
         shared, rest, right, count = struct.unpack_from("<HHHI", data, place)
@@ -365,18 +391,23 @@ def _key(columns: list[Column]) -> list[Column]:
     return [F.xxhash64(*columns).alias("key"), F.xxhash64(F.lit(1), *columns).alias("key2")]
 
 
+def _struct(columns: list[Column]) -> Column:
+    return F.struct(*columns) if columns else F.struct(F.lit(0).alias("_none"))
+
+
 def repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), *, text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts holds the rows of docs with an anchor that recurs, under a row number, rid, in the columns
-    rid, row (a struct of docs' columns), text; spans has (rid, start, stop) byte ranges that are removed, which may overlap.
+    rid, row (a struct of docs' other columns), text; spans has (rid, spans), the byte ranges (start, stop) that go, which may overlap.
     """
     spark = docs.sparkSession
     ship(spark)
-    keyed = docs.select(_key([docs[c] for c in docs.columns])[0].alias("key"), F.struct(*docs.columns).alias("row"), F.col(text_column).cast("string").alias("text"))
+    others = [docs[c] for c in docs.columns if c != text_column]
+    keyed = docs.select(_key([*others, docs[text_column]])[0].alias("key"), _struct(others).alias("row"), F.col(text_column).cast("string").alias("text"))
     long = keyed.where(F.octet_length("text") >= config.length)
-    found = anchor_rows(long.select("key", "text"), config)
+    found = anchor_grams(long.select("key", "text"), config)
     again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    spots = found.join(again, "gram").groupBy("key").agg(F.collect_set(F.struct("at", "first", "last")).alias("spots"))
-    texts = written(long.join(spots, "key").select(F.monotonically_increasing_id().alias("rid"), "row", "text", "spots"), "anchored")
+    grams = found.join(again, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    texts = written(with_spots(long.join(grams, "key").select(F.monotonically_increasing_id().alias("rid"), "row", "text", "grams"), config), "anchored")
     total = texts.agg(F.sum(F.size("spots"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 300 // config.range_bytes))
     splitters = _splitters(texts, total, parts, config)
@@ -395,7 +426,8 @@ def repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), *, text_colu
 
     named = texts.select("rid", "text", "spots").mapInArrow(name, "rid bigint, digest binary, at int")
     ranges = named.join(merged, "digest").select("rid", "at", F.posexplode("ranges").alias("k", "lo"), "ranges").where("k % 2 = 0")
-    spans = ranges.select("rid", (F.col("at") - F.element_at("ranges", F.col("k") + 2)).alias("start"), (F.col("at") - F.col("lo") + config.length).alias("stop"))
+    span = F.struct((F.col("at") - F.element_at("ranges", F.col("k") + 2)).alias("start"), (F.col("at") - F.col("lo") + config.length).alias("stop"))
+    spans = written(ranges.select("rid", span.alias("span")).groupBy("rid").agg(F.collect_list("span").alias("spans")), "spans")
     return texts.select("rid", "row", "text"), spans
 
 
@@ -445,25 +477,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), *, text_column: str = "text", digest: bool = False) -> DataFrame:
-    """For every row of docs: row (a struct of docs' columns), n_bytes, n_removed, n_spans (removed runs) and kept (the
-    remaining bytes), or kept_sha256 in place of kept if digest is set, with text_column left out of row.
+    """For every row of docs: row (a struct of docs' columns but text_column), n_bytes, n_removed, n_spans (removed runs) and
+    kept (the remaining bytes; null for a null text), or kept_sha256 in place of kept if digest is set.
 
     A byte goes if a string of config.length bytes covers it that starts anywhere else too, in the same text
-    or another. Null texts count as empty, and their kept is empty. Repeated rows are copies of each other.
+    or another. Null texts count as empty. Repeated rows are copies of each other.
     """
     texts, spans = repeats(docs, config, text_column=text_column)
-    others = [c for c in docs.columns if c != text_column]
-    kept_row = F.struct(*[F.col("row")[c].alias(c) for c in (others if digest else docs.columns)])
-    lists = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    with_spans = texts.join(lists, "rid")
-    row_type = with_spans.select(kept_row.alias("row")).schema["row"].dataType.simpleString()
-    cut = with_spans.select(kept_row.alias("row"), "text", "spans").mapInArrow(_cut, f"row {row_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    others = [docs[c] for c in docs.columns if c != text_column]
+    row_type = texts.schema["row"].dataType.simpleString()
+    cut = texts.join(spans, "rid").select("row", "text", "spans").mapInArrow(_cut, f"row {row_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     if digest:
         cut = cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-    cut = written(cut, "cut")
-    data = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
-    plain = docs.select(F.struct(*(others if digest else docs.columns)).alias("row"), F.octet_length(data).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2(data, 256).alias("kept_sha256") if digest else data.alias("kept"), *_key([docs[c] for c in docs.columns]))
-    gone = texts.join(spans.select("rid").distinct(), "rid").select(*_key([F.col("row")[c] for c in docs.columns])).distinct()
+    text = F.col(text_column).cast("string")
+    data = F.coalesce(text, F.lit("")).cast("binary")
+    none = F.lit(0).cast("bigint")
+    plain = docs.select(_struct(others).alias("row"), F.octet_length(data).cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256") if digest else text.cast("binary").alias("kept"), *_key([*others, docs[text_column]]))
+    gone = texts.join(spans.select("rid"), "rid").select(*_key([*([F.col("row")[c] for c in docs.columns if c != text_column]), F.col("text")])).distinct()
     return plain.join(gone, ["key", "key2"], "left_anti").drop("key", "key2").unionByName(cut)
 
 
