@@ -8,7 +8,8 @@ a document's that of its highest sentence. Kernel values against a bounded set o
 strings, turned by the inverse square root of the landmarks' own kernel matrix (Nyström),
 are the features of a support vector machine, which is trained with the witness strings
 of sentences labelled through their documents. Hard negatives are mined over all labelled
-rows. A logistic curve, fitted to the decision values of all labelled rows, gives the score.
+rows. A logistic curve gives the score; it is placed where the decision values of all labelled
+rows part best, which wrong labels of texts without a witness don't move.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ WINDOW = 16
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?](?!\s)[^.!?\n]*)*")
 #: Characters that commonly stand for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
+#: Steepness of the score over the decision value, and where in the gap between the classes the score is 0.7.
+CALIBRATED_SLOPE = 4.0
+MARGIN = 0.15
 _DROP = re.compile(r"[^a-z]+")
 _LATIN = str.maketrans({c: b for b, cs in {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü"}.items() for c in cs})
 
@@ -40,6 +44,8 @@ _LATIN = str.maketrans({c: b for b, cs in {"a": "àáâãäå", "c": "ç", "e":
 class TrainingConfig:
     #: Bounds of what the fit takes of the labelled rows' strings: those tied to the label, random others, mined others.
     max_positive: int = 64
+    #: Share of toxic rows in which a string tied to the label occurs at least; a group of copies with a wrong label stays below it.
+    min_share: float = 0.1
     max_negative: int = 6000
     max_mined: int = 2000
     landmarks: int = 48
@@ -216,7 +222,7 @@ def fit(docs: DataFrame, config: TrainingConfig = TrainingConfig(), *, text_colu
     share, other = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("neg") + 0.5) / (n_neg + 1)
     pooled = (F.col("pos") + F.col("neg") + 1) / (n_pos + n_neg + 2)
     z = (share - other) / F.sqrt(pooled * (1 - pooled) * (1 / (n_pos + 1) + 1 / (n_neg + 1)))
-    tied = counts.where((F.col("pos") >= max(2, 0.03 * n_pos)) & (share > 20 * other) & (F.length("string") <= WINDOW)).orderBy(z.desc(), "string").limit(config.max_positive)
+    tied = counts.where((F.col("pos") >= max(2, config.min_share * n_pos)) & (share > 20 * other) & (F.length("string") <= WINDOW)).orderBy(z.desc(), "string").limit(config.max_positive)
     positive = [r["string"] for r in tied.collect()]
     if not positive or not n_neg:
         return model
@@ -256,16 +262,20 @@ def _mine(strings_df: DataFrame, model: ToxicityModel, limit: int) -> list[str]:
 
 def _calibrate(model: ToxicityModel, labelled: DataFrame, text_column: str, label_column: str) -> ToxicityModel:
     values = decision_values(labelled.select(F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("label")), model, "text")
-    bins = values.groupBy(F.round(F.greatest("value", F.lit(-5.0)), 1).alias("value"), "label").agg(F.count("*").alias("n")).collect()
-    x, y, n = (np.array([float(r[k]) for r in bins]) for k in ("value", "label", "n"))
-    w = np.array([1.0, -1.0])
-    prior = np.diag([1e-2, 1e-3]) * max(1.0, n.sum() / 1000)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(w[0] * x + w[1], -30, 30)))
-        design = np.stack([x, np.ones_like(x)], 1)
-        gradient = design.T @ (n * (p - y)) + prior @ (w - [3.0, 0.0])
-        w = w - np.clip(np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + prior, gradient), -2, 2)
-    model.slope, model.offset = max(0.0, float(w[0])), float(w[1])
+    bins = values.groupBy(F.round(F.greatest("value", F.lit(-5.0)) * 20).alias("value"), "label").agg(F.count("*").alias("n")).collect()
+    counts: dict[float, list[int]] = {}
+    for r in bins:
+        counts.setdefault(r["value"] / 20, [0, 0])[r["label"]] += r["n"]
+    # of the cuts that gain most true over false positives, the lowest leaves most room for disguised strings
+    best, gain, cut = 0, 0, None
+    for value in sorted(counts, reverse=True):
+        gain += counts[value][1] - counts[value][0]
+        if gain > best:
+            best, cut = gain, value
+    if cut is not None:
+        low = max([v for v in counts if v < cut], default=cut - 1)
+        model.slope = CALIBRATED_SLOPE
+        model.offset = math.log(0.7 / 0.3) - model.slope * (low + MARGIN * (cut - low))
     return model
 
 
