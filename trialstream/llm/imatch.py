@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match over several randomised lexicons, with DataFrame functions only.
 
 A term is a word's hash of TERM_BITS bits. The lexicon holds the terms whose inverse document
-frequency lies in a band. Each randomised lexicon is a subset of it of one of several sizes;
+frequency lies in a band. Each randomised lexicon is a subset of it, of one of several sizes;
 a text's value under it is the hash of its distinct terms there, sorted. The fingerprint is the
 row of these values. The likeness of two texts is the share of equal values among the lexicons in
 which either has a term.
@@ -27,14 +27,18 @@ class LexiconConfig:
     low: float = 2.0
     high: float = 14.0
     min_documents: int = 2
-    #: One of how many terms each randomised lexicon holds.
-    sizes: tuple[int, ...] = (4,) * 2 + (16,) * 4 + (64,) * 6 + (256,) * 10 + (1024,) * 10
+    #: The randomised lexicons form a tree: how many parts, of four, of each lexicon are lexicons of the next level. So
+    #: they hold a quarter, a sixteenth and so on of the lexicon's terms; a text is only searched for the parts of what its parent has.
+    branches: tuple[int, ...] = (3, 2, 2, 1, 1)
 
 
-def terms(text: Column) -> Column:
-    """Distinct term numbers of a text's words, in lower case."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << TERM_BITS) - 1))))
+def words(text: Column) -> Column:
+    """Distinct words of a text in lower case."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
+
+
+def term(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << TERM_BITS) - 1))
 
 
 def lexicon(docs: DataFrame, text_column: str, config: LexiconConfig = LexiconConfig()) -> DataFrame:
@@ -42,40 +46,42 @@ def lexicon(docs: DataFrame, text_column: str, config: LexiconConfig = LexiconCo
 
     Its size is fixed by TERM_BITS. Document frequencies are counted over all rows; null texts have no term.
     """
-    counts = docs.select(F.explode(terms(F.coalesce(F.col(text_column).cast("string"), F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    counts = docs.select(F.explode(words(F.coalesce(F.col(text_column).cast("string"), F.lit("")))).alias("w")).groupBy(term(F.col("w")).alias("t")).agg(F.count("*").alias("df"))
     rows = docs.agg(F.count("*").alias("rows"))
     idf = F.log2(F.col("rows") / F.col("df"))
     chosen = counts.join(F.broadcast(rows)).where((F.col("df") >= config.min_documents) & idf.between(config.low, config.high))
-    words = chosen.groupBy(F.shiftright("t", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(t & 63 as int))")).alias("b"))
+    parts = chosen.groupBy(F.shiftright("t", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(t & 63 as int))")).alias("b"))
     every = docs.sparkSession.range(1 << (TERM_BITS - 6)).select(F.col("id").alias("w"))
-    full = every.join(words, "w", "left").select(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")).alias("x"))
+    full = every.join(parts, "w", "left").select(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")).alias("x"))
     return full.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["b"]).alias("bits"))
 
 
-def _in_lexicon(shift: int, size: int, value: int):
-    return lambda m: F.shiftrightunsigned(m, shift).bitwiseAND(F.lit(size - 1)) == value
+def _inside(bits: Column):
+    return lambda t: F.call_function("getbit", F.element_at(bits, F.shiftright(t, 6).cast("int") + 1), t.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def values(text: Column, bits: Column, config: LexiconConfig = LexiconConfig()) -> Column:
-    """The text's value under each lexicon, 0 where it has no term; the value of the empty text is all 0."""
-    inside = F.filter(terms(text), lambda t: F.element_at(bits, F.shiftright(t, 6).cast("int") + 1).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))) != 0)
-    mixed = F.array_sort(F.transform(inside, lambda t: F.xxhash64(t)))
+def _part(level: int, k: int):
+    return lambda m: F.shiftrightunsigned(m, 2 * level).bitwiseAND(F.lit(3)) == k
 
-    def one(own: Column) -> Column:
-        out = []
-        for k, size in enumerate(config.sizes):
-            # lexicons of one size read different bits of the mixed term, or different values of them
-            shift, value = 8 * (k % 7), (k * 5 + 1) % size
-            part = F.filter(own, _in_lexicon(shift, size, value))
-            out.append(F.when(F.size(part) > 0, F.xxhash64(part, F.lit(k)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
-        return F.array(*out)
 
-    # the sorted terms are bound once, as a lambda's variable, for all lexicons
-    return F.element_at(F.transform(F.array(mixed), one), 1)
+def with_values(df: DataFrame, text: Column, name: str, bits: DataFrame, config: LexiconConfig = LexiconConfig()) -> DataFrame:
+    """df with name: the text's value under each randomised lexicon, 0 where it has no term there. bits: the lexicon."""
+    kept = df.columns
+    out = df.join(F.broadcast(bits)).withColumn("_terms", F.array_distinct(F.transform(words(text), term))).withColumn("_terms", F.filter("_terms", _inside(F.col("bits")))).drop("bits")
+    # one hash of each term decides its lexicons; sorted, so that equal sets have equal values
+    out = out.withColumn("_0", F.array_sort(F.transform("_terms", lambda t: F.xxhash64(t)))).drop("_terms")
+    level, last, lexicons = 0, ["_0"], []
+    for level, n in enumerate(config.branches):
+        parts = {f"{parent}{k}": F.filter(parent, _part(level, k)) for parent in last for k in range(n)}
+        out = out.withColumns(parts)
+        last = list(parts)
+        lexicons += last
+    values = [F.when(F.size(c) > 0, F.xxhash64(c, F.lit(i)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")) for i, c in enumerate(lexicons)]
+    return out.select(*kept, F.array(*values).alias(name))
 
 
 def as_text(own: Column) -> Column:
-    """Sixteen hex digits of each value after the other, eight for each: the upper half."""
+    """The upper half of each value as eight hex digits, one after the other."""
     return F.array_join(F.transform(own, lambda v: F.lpad(F.hex(F.shiftrightunsigned(v, 32)), 8, "0")), "")
 
 
@@ -87,16 +93,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(F.size(some) == 0, F.lit(0.0)).otherwise(F.size(same) / F.size(some))
 
 
-def with_next(docs: DataFrame, order_column: str, columns: list[str]) -> DataFrame:
-    """docs with next_<c> for each of columns: its value in the next row by descending order_column, after the last that of the first.
+def with_next(docs: DataFrame, order_column: str, columns: list[str], derive=lambda df: df) -> DataFrame:
+    """derive(docs) with next_<c> for each of columns: its value in the next row by descending order_column, after the last that of the first.
 
-    Nulls come last; ties follow the other columns. Rows are dealt to ranges of order_column; each range also gets
-    the first row of the range below, so that no range is read by two tasks and no task reads all rows.
+    Nulls come last; ties follow the other columns of docs. Rows are dealt to ranges of order_column; each range also gets
+    the first row of the range below, so that no range is read by two tasks and no task reads all rows. derive adds columns to rows.
     """
     spark = docs.sparkSession
     n = docs.count()
     if not n:
-        return docs.select("*", *[docs[c].alias(f"next_{c}") for c in columns])
+        rows = derive(docs)
+        return rows.select("*", *[rows[c].alias(f"next_{c}") for c in columns])
     ranges = min(10_000, max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 100_000))
     order = F.coalesce(F.col(order_column).cast("double"), F.lit(float("-inf")))
     edges = sorted({e for e in docs.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0]})
@@ -109,7 +116,7 @@ def with_next(docs: DataFrame, order_column: str, columns: list[str]) -> DataFra
     above = heads.select(F.col("_range").alias("_own"), F.coalesce(F.lead("_range").over(Window.orderBy("_range")), F.first("_range").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
     guests = first.join(F.broadcast(above), F.col("_range") == F.col("_own")).withColumn("_range", F.col("_to")).drop("_own", "_to").withColumn("_copy", F.lit(1)).select(*kept.columns)
     window = Window.partitionBy("_range").orderBy("_copy", *key)
-    both = kept.unionByName(guests)
+    both = derive(kept.unionByName(guests))
     return both.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns]).where("_copy = 0").drop("_range", "_copy")
 
 
@@ -134,8 +141,8 @@ def _range_of(order: Column, edges: list[float]) -> Column:
 def fingerprint(docs: DataFrame, config: LexiconConfig = LexiconConfig(), *, text_column: str = "text") -> DataFrame:
     """docs with values (array of long) and fingerprint (string) of every whole text; null counts as empty. Names must be free."""
     bits = written(lexicon(docs, text_column, config), "lexicon")
-    own = values(F.coalesce(F.col(text_column).cast("string"), F.lit("")), F.col("bits"), config)
-    return docs.join(F.broadcast(bits)).withColumn("values", own).withColumn("fingerprint", as_text(F.col("values"))).drop("bits")
+    out = with_values(docs, F.coalesce(F.col(text_column).cast("string"), F.lit("")), "values", bits, config)
+    return out.withColumn("fingerprint", as_text(F.col("values")))
 
 
 def edited_fingerprints(docs: DataFrame, config: LexiconConfig = LexiconConfig(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -146,12 +153,12 @@ def edited_fingerprints(docs: DataFrame, config: LexiconConfig = LexiconConfig()
     shared_dir(docs.sparkSession)
     own = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     bits = written(lexicon(own, "text", config), "lexicon")
-    marked = own.join(F.broadcast(bits)).select("id", "text", values(F.col("text"), F.col("bits"), config).alias("own"))
-    pairs = with_next(marked, "id", ["text", "own"])
+    pairs = with_next(own, "id", ["text", "own"], lambda df: with_values(df, F.col("text"), "own", bits, config))
     half = F.expr("cast(floor(length(text) / 2) as int)")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    pairs = pairs.withColumn("edited", edited).join(F.broadcast(bits)).withColumn("changed", values(F.col("edited"), F.col("bits"), config))
+    pairs = pairs.withColumn("edited", edited).withColumns({"n_chars": F.length("text").cast("bigint"), "edited_sha256": F.sha2("edited", 256)}).drop("text", "next_text")
+    pairs = with_values(pairs, F.col("edited"), "changed", bits, config)
     return pairs.select(
-        F.col("id").alias(id_column), F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+        F.col("id").alias(id_column), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
