@@ -114,13 +114,10 @@ def equal_weight_means(rows: DataFrame, values: list[str], *, by: list[str], uni
 
 
 def subject_blocks(blocks: DataFrame, *, source: str = "source", subject: str = "subject", values: tuple[str, ...] = ("go_rate", "catch_rate", "dprime")) -> DataFrame:
-    """A complete subject by phase grid with equal-session means, for all and for good sessions."""
-    out = None
-    for cohort, rows in (("all", blocks), ("good", blocks.where("is_good_session"))):
-        grid = rows.select(subject).distinct().join(F.broadcast(blocks.select("phase", "phase_order", "is_primary").distinct()))
-        part = grid.join(equal_weight_means(rows, list(values), by=[subject, "phase"], unit=source), [subject, "phase"], "left").withColumn("cohort", F.lit(cohort))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Subject by phase equal-session means, for all and for good sessions. Every session has all phases, so the grid is complete."""
+    cohorts = F.when(F.col("is_good_session"), F.array(F.lit("all"), F.lit("good"))).otherwise(F.array(F.lit("all")))
+    rows = blocks.withColumn("cohort", F.explode(cohorts))
+    return equal_weight_means(rows, list(values), by=["cohort", subject, "phase", "phase_order", "is_primary"], unit=source)
 
 
 def attrition(sessions: DataFrame, steps: list[tuple[str, Column]], *, subject: str = "subject") -> DataFrame:

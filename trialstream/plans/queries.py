@@ -128,7 +128,7 @@ def session_quality(spark, sf_dir):
 
 @query(f"""WITH {FLAGGED}, c AS (SELECT *, p_structure AND true AS a1 FROM flags), k AS (SELECT count(*) AS s0, count(DISTINCT subject) AS m0, count(*) FILTER (p_structure) AS s1, count(DISTINCT CASE WHEN p_structure THEN subject END) AS m1,
  count(*) FILTER (p_structure AND p_go_count) AS s2, count(DISTINCT CASE WHEN p_structure AND p_go_count THEN subject END) AS m2, count(*) FILTER (p_structure AND p_go_count AND is_good_session) AS s3, count(DISTINCT CASE WHEN p_structure AND p_go_count AND is_good_session THEN subject END) AS m3 FROM flags)
- SELECT 0 AS step_order, 'all' AS step, s0 AS n_sessions, m0 AS n_subjects, 0 AS n_removed, 1.0 AS fraction FROM k UNION ALL SELECT 1, 'structure', s1, m1, s0 - s1, s1 / s0 FROM k UNION ALL SELECT 2, 'go_trials', s2, m2, s1 - s2, s2 / s0 FROM k UNION ALL SELECT 3, 'good', s3, m3, s2 - s3, s3 / s0 FROM k""")
+ SELECT 0 AS step_order, 'all' AS step, s0 AS n_sessions, m0 AS n_subjects, 0 AS n_removed, CAST(1 AS DOUBLE) AS fraction FROM k UNION ALL SELECT 1, 'structure', s1, m1, s0 - s1, s1 / s0 FROM k UNION ALL SELECT 2, 'go_trials', s2, m2, s1 - s2, s2 / s0 FROM k UNION ALL SELECT 3, 'good', s3, m3, s2 - s3, s3 / s0 FROM k""")
 def session_attrition(spark, sf_dir):
     return Z.attrition(flagged(spark, sf_dir), [("structure", F.col("passes_structure")), ("go_trials", F.col("passes_go_count")), ("good", F.col("is_good_session"))])
 
@@ -403,7 +403,7 @@ def region_effects(spark, sf_dir):
     return Z.equal_weight_means(B.zscore(units(spark, sf_dir), ["weight"], by=["source"]), ["z_weight"], by=["subject", "region"]).select("subject", "region", *r("z_weight"), "n_units")
 
 
-@query(f"""WITH {IMAGES} SELECT source, start_frame, idx, 'im' || p_size AS image_id, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.7 END AS contrast, count(*) OVER (PARTITION BY source, image_name ORDER BY start_frame, idx ROWS UNBOUNDED PRECEDING) AS exposure, 'im' || p_size = 'im' || (source % 50 + 1) AS is_designated_novel FROM images""")
+@query(f"""WITH {IMAGES} SELECT source, start_frame, idx, 'im' || p_size AS image_id, CAST(CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.7 END AS DOUBLE) AS contrast, count(*) OVER (PARTITION BY source, image_name ORDER BY start_frame, idx ROWS UNBOUNDED PRECEDING) AS exposure, 'im' || p_size = 'im' || (source % 50 + 1) AS is_designated_novel FROM images""")
 def task_presentations(spark, sf_dir):
     i = images(spark, sf_dir)
     novel = i.select("source").distinct().withColumn("novel_image", F.concat(F.lit("im"), (F.col("source") % 50 + 1).cast("string")))
