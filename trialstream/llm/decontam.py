@@ -56,16 +56,15 @@ def token_codes(text: str, known: dict[str, int]) -> np.ndarray:
 
 
 def seed_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
-    """A hash of the tokens that mask reads, for each place where it fits."""
+    """A hash of the tokens that mask reads, for each place where it fits: a sum of their codes, each times an odd number of its place."""
     n = len(codes) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.full(n, len(mask), np.uint64)
+        h = np.zeros(n, np.uint64)
         for k, read in enumerate(mask):
             if read == "1":
-                h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(32)
+                h += codes[k : k + n] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)
     return h
 
 
@@ -136,11 +135,25 @@ def _search(block: list[tuple], config: SeedConfig, id_schema, item_schema):
             tables.append((mask, keys[order], where[order], sieve))
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
-            for id_, text in zip(batch.column(0), batch.column(1), strict=True):
-                codes = token_codes(text.as_py() or "", known)
-                for overlap in _overlaps(codes, coded, tables, config):
-                    for column, x in zip(rows, (id_.as_py(), *overlap), strict=True):
+            ids: list = []
+            texts: list[np.ndarray] = []
+            held = 0
+
+            def search() -> None:
+                for doc, overlap in _overlaps(texts, coded, tables, config):
+                    for column, x in zip(rows, (ids[doc], *overlap), strict=True):
                         column.append(x)
+                ids.clear()
+                texts.clear()
+
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(id_)
+                texts.append(token_codes(text.as_py() or "", known))
+                held += len(texts[-1])
+                if held > 300_000:
+                    search()
+                    held = 0
+            search()
             kinds = [batch.schema.field(0).type, None, *[pa.int32()] * 5]
             arrays = [pa.array(c, k) if k is not None else pa.array(c) for c, k in zip(rows, kinds, strict=True)]
             if len(rows[1]):
@@ -149,32 +162,43 @@ def _search(block: list[tuple], config: SeedConfig, id_schema, item_schema):
     return run
 
 
-def _overlaps(codes: np.ndarray, coded: list, tables: list, config: SeedConfig) -> Iterator[tuple]:
-    best: dict[int, tuple] = {}
-    done: dict[tuple[int, int], int] = {}
+def _overlaps(texts: list[np.ndarray], coded: list, tables: list, config: SeedConfig) -> Iterator[tuple[int, tuple]]:
+    """(text number, overlap) of verified overlaps, the longest of each text and item. All texts are hashed at once."""
+    if not texts:
+        return
+    ends = np.cumsum([len(t) for t in texts])
+    joined = np.concatenate(texts)
+    best: dict[tuple[int, int], tuple] = {}
+    done: dict[tuple[int, int, int], int] = {}
     for mask, keys, where, sieve in tables:
-        h = seed_hashes(codes, mask)
+        h = seed_hashes(joined, mask)
         if not len(h) or not len(keys):
             continue
         near = np.flatnonzero(sieve[(h >> np.uint64(44)).astype(np.int64)])
         left = np.searchsorted(keys, h[near], "left")
         right = np.searchsorted(keys, h[near], "right")
-        for p, lo, hi in zip(near[right > left], left[right > left], right[right > left], strict=True):
-            for item, q in where[lo:hi]:
-                shift = int(p) - int(q)
-                if done.get((item, shift), -1) >= p:
+        found = right > left
+        for at, lo, hi in zip(near[found].tolist(), left[found].tolist(), right[found].tolist(), strict=True):
+            doc = int(np.searchsorted(ends, at, "right"))
+            if at + len(mask) > ends[doc]:
+                continue
+            codes = texts[doc]
+            p = at - (int(ends[doc]) - len(codes))
+            for item, q in where[lo:hi].tolist():
+                shift = p - q
+                if done.get((doc, item, shift), -1) >= p:
                     continue
                 other = coded[item][1]
                 a0, a1 = max(0, shift), min(len(codes), shift + len(other))
-                start, end, agree = grow(codes[a0:a1], other[a0 - shift : a1 - shift], int(p) - a0, int(p) - a0 + len(mask), config)
-                done[item, shift] = a0 + end
+                start, end, agree = grow(codes[a0:a1], other[a0 - shift : a1 - shift], p - a0, p - a0 + len(mask), config)
+                done[doc, item, shift] = a0 + end
                 span = end - start
                 if span >= min(config.min_tokens, len(other)) and agree >= config.min_agreement * span:
                     row = (a0 + start, a0 + end, a0 + start - shift, agree, span)
-                    if item not in best or (span, agree) > (best[item][4], best[item][3]):
-                        best[item] = row
-    for item, row in best.items():
-        yield (coded[item][0], *row)
+                    if (doc, item) not in best or (span, agree) > (best[doc, item][4], best[doc, item][3]):
+                        best[doc, item] = row
+    for (doc, item), row in best.items():
+        yield doc, (coded[item][0], *row)
 
 
 def contamination(docs: DataFrame, items: DataFrame, config: SeedConfig = SeedConfig(), *, id_column: str = "doc_id", **columns: str) -> DataFrame:
