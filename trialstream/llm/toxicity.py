@@ -48,7 +48,9 @@ class TrainingConfig:
     min_share: float = 0.1
     max_negative: int = 6000
     max_mined: int = 2000
-    landmarks: int = 48
+    landmarks: int = 24
+    #: Length of a landmark at most, which the cost of the kernel grows with.
+    landmark_length: int = 10
     rounds: int = 2
     seed: int = 7
 
@@ -230,7 +232,8 @@ def fit(docs: DataFrame, config: TrainingConfig = TrainingConfig(), *, text_colu
     negative = [r["string"] for r in clear.select("string").orderBy(F.xxhash64("string"), "string").limit(config.max_negative).collect()]
     rng = np.random.default_rng(config.seed)
     half = config.landmarks // 2
-    model.landmarks = positive[:half] + negative[: config.landmarks - half]
+    short = lambda words: [w for w in words if len(w) <= config.landmark_length]
+    model.landmarks = (short(positive) or positive)[:half] + short(negative)[: config.landmarks - half]
     gram = raw_kernel(model.landmarks, _codes(model.landmarks, max(map(len, model.landmarks))))
     own = np.sqrt(np.maximum(self_kernel(model.landmarks), 1e-12))
     values, vectors = np.linalg.eigh(gram / own[:, None] / own)
