@@ -101,33 +101,57 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def raw_kernel(words: list[str], others: np.ndarray, paired: bool = False) -> np.ndarray:
-    """Kernel of each word with each row of others (codes), or with the row of the same place if paired."""
+def _decay(width: int) -> np.ndarray:
+    """From matches at each place to what they weigh before each later place."""
+    gap = np.arange(width)[None, :] - np.arange(width)[:, None] - 1
+    return np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0).astype(np.float32)
+
+
+def raw_kernel(words: list[str], others: np.ndarray) -> np.ndarray:
+    """Kernel of each word with each row of others (codes).
+
+    Runs over the words' characters; level i holds, before each place of the other string, the weight of common subsequences of i characters.
+    """
     codes = _codes(words, max(map(len, words)))
-    width = others.shape[1]
-    decay = np.triu(DECAY ** np.abs(np.subtract.outer(np.arange(width), np.arange(width)))).astype(np.float32)
-    shape = (len(words), 1 if paired else len(others), width)
-    inner = [np.ones(shape, np.float32)] + [np.zeros(shape, np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros(shape[:2], np.float32)
-    place = others[:, None, :] if paired else others[None, :, :]
+    n, width = others.shape
+    table = np.zeros((27, n, width), np.float32)  # by character, 26 for none: where it matches
+    for c in range(26):
+        table[c] = (others == c) * np.float32(DECAY**2)
+    decay = _decay(width)
+    first = table @ decay
+    levels = [np.zeros((len(words), n, width), np.float32) for _ in range(ORDER - 1)]
+    total = np.zeros((len(words), n), np.float32)
     for k in range(codes.shape[1]):
-        c = codes[:, k]
-        match = ((place == c[:, None, None]) & (c >= 0)[:, None, None]).astype(np.float32) * np.float32(DECAY**2)
-        alive = np.where(c >= 0, np.float32(DECAY), np.float32(1))[:, None, None]
-        shifted = []
-        for level in inner:
-            s = np.zeros_like(level)
-            s[:, :, 1:] = level[:, :, :-1]
-            shifted.append(s)
-        shifted[0] = inner[0]
-        total += (match * shifted[ORDER - 1]).sum(axis=2)
-        for level in range(ORDER - 1, 0, -1):
-            inner[level] = alive * inner[level] + (match * shifted[level - 1]) @ decay
+        rows = np.flatnonzero(codes[:, k] >= 0)
+        part = slice(rows[0], None) if len(rows) == len(words) - rows[0] else rows  # words in order of length need no copy
+        c = codes[part, k]
+        match = table[c]
+        own = [level[part] for level in levels]
+        total[part] += np.einsum("nlw,nlw->nl", match, own[-1])
+        for i in range(ORDER - 2, 0, -1):
+            own[i] = np.float32(DECAY) * own[i] + ((match * own[i - 1]).reshape(-1, width) @ decay).reshape(match.shape)
+        own[0] = np.float32(DECAY) * own[0] + first[c]
+        for level, new in zip(levels, own, strict=True):
+            level[part] = new
     return total
 
 
 def self_kernel(words: list[str]) -> np.ndarray:
-    return raw_kernel(words, _codes(words, max(map(len, words))), paired=True)[:, 0]
+    """Kernel of each word with itself."""
+    codes = _codes(words, max(map(len, words)))
+    width = codes.shape[1]
+    decay = _decay(width)
+    levels = [np.zeros(codes.shape, np.float32) for _ in range(ORDER - 1)]
+    total = np.zeros(len(words), np.float32)
+    for k in range(width):
+        c = codes[:, k : k + 1]
+        match = ((codes == c) & (c >= 0)) * np.float32(DECAY**2)
+        total += (match * levels[-1]).sum(axis=1)
+        alive = np.where(c >= 0, np.float32(DECAY), np.float32(1))
+        for i in range(ORDER - 2, 0, -1):
+            levels[i] = alive * levels[i] + (match * levels[i - 1]) @ decay
+        levels[0] = alive * levels[0] + match @ decay
+    return total
 
 
 @dataclass
@@ -143,8 +167,8 @@ class ToxicityModel:
         codes = _codes(self.landmarks, max(map(len, self.landmarks)))
         own = np.sqrt(np.maximum(self_kernel(self.landmarks), 1e-12))
         out = []
-        for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
+        for i in range(0, len(words), 250):
+            part = words[i : i + 250]
             out.append(raw_kernel(part, codes) / np.sqrt(np.maximum(self_kernel(part), 1e-12))[:, None] / own)
         return np.concatenate(out) @ self.turn
 
