@@ -183,6 +183,23 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(docs_of(spark, tests), none).collect()} == {0}
 
 
+def invented(rng, n):
+    return ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(3, 5))) for _ in range(n)]
+
+
+def test_toxicity_learns_many_rare_strings(spark):
+    rng = random.Random(40)
+    plain = lambda: " ".join("".join(rng.choice(["ti", "on", "ha", "er", "es", "th", "nd", "re"]) for _ in range(rng.randrange(1, 4))) for _ in range(25))
+    bad = sorted(set(invented(rng, 44)))[:40]
+    rows = [(i, plain() + (" " + bad[i // 10 % 40] if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(4000)]
+    wrong = plain() + " " + " ".join(invented(rng, 8))  # near copies with a wrong label count once
+    rows += [(5000 + i, f"{wrong} tail{i}", 1) for i in range(30)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    tests = [plain() + " " + b + " " + plain() for b in bad] + [plain() for _ in range(40)] + [wrong.split(" ", 25)[-1]]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs_of(spark, tests), model).collect()}
+    assert sum(got[i] for i in range(40)) >= 30 and sum(got[i] for i in range(40, 80)) <= 1 and got[80] == 0
+
+
 # --- 6 -------------------------------------------------------------------------------------------
 
 

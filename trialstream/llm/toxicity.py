@@ -44,8 +44,8 @@ _LATIN = str.maketrans({c: b for b, cs in {"a": "àáâãäå", "c": "ç", "e":
 class TrainingConfig:
     #: Bounds of what the fit takes of the labelled rows' strings: those tied to the label, random others, mined others.
     max_positive: int = 64
-    #: Share of toxic rows in which a string tied to the label occurs at least; a group of copies with a wrong label stays below it.
-    min_share: float = 0.1
+    #: Chance, over all strings together, that one without a tie to the label passes for tied.
+    level: float = 0.01
     max_negative: int = 6000
     max_mined: int = 2000
     landmarks: int = 24
@@ -188,6 +188,40 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * value + self.offset))))
 
 
+def copy_group(text: str) -> int:
+    """A number that near copies share in most cases and other texts don't: the lowest hash of three tokens in a row."""
+    import xxhash
+
+    tokens = text.lower().split()
+    return min((xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + 3])) for i in range(max(1, len(tokens) - 2))), default=0) >> 1
+
+
+def string_groups(docs: DataFrame, text_column: str) -> DataFrame:
+    """(string, pos): in how many copy groups of docs each string occurs; the string null stands for all groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units()
+        for batch in batches:
+            out: set[tuple[str | None, int]] = set()
+            for text in batch.column(0):
+                own = text.as_py() or ""
+                group = copy_group(own)
+                out.add((None, group))
+                out.update((s, group) for s in strings(own, units))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([g for _, g in out], pa.int64())], ["string", "copies"])
+
+    found = docs.select(F.col(text_column).cast("string")).mapInArrow(run, "string string, copies bigint")
+    return found.distinct().groupBy("string").agg(F.count("*").alias("pos"))
+
+
+def evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """Minus the logarithm of a bound (Chernoff's) of the chance that pos or more of pos + neg texts are toxic if all texts are alike to a string."""
+    n, p = pos + neg, n_pos / (n_pos + n_neg)
+    q = pos / n
+    clean = F.when(neg > 0, neg * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when(q > p, pos * F.log(q / p) + clean).otherwise(0.0)
+
+
 def string_counts(docs: DataFrame, text_column: str, label_column: str) -> DataFrame:
     """(string, pos, neg): in how many rows of each label each string occurs."""
 
@@ -234,7 +268,8 @@ def fit(docs: DataFrame, config: TrainingConfig = TrainingConfig(), *, text_colu
     """Train on rows with a label of 0 or 1; others teach nothing.
 
     String counts, mining and calibration run over all labelled rows; the strings that the solver
-    takes are bounded by config. Without a string tied to the label the model gives every text the base rate.
+    takes are bounded by config. A string is tied to the label if toxic texts have it more often than chance explains, at
+    config.level for all strings together; near copies of a toxic text count once. Without such a string the model gives every text the base rate.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -245,12 +280,17 @@ def fit(docs: DataFrame, config: TrainingConfig = TrainingConfig(), *, text_colu
     model = ToxicityModel()
     base = (n_pos + 1) / (n_pos + n_neg + 2)
     model.offset = math.log(base / (1 - base))
-    share, other = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("neg") + 0.5) / (n_neg + 1)
-    pooled = (F.col("pos") + F.col("neg") + 1) / (n_pos + n_neg + 2)
-    z = (share - other) / F.sqrt(pooled * (1 - pooled) * (1 / (n_pos + 1) + 1 / (n_neg + 1)))
-    tied = counts.where((F.col("pos") >= max(2, config.min_share * n_pos)) & (share > 20 * other) & (F.length("string") <= WINDOW)).orderBy(z.desc(), "string").limit(config.max_positive)
+    groups = written(string_groups(labelled.where(F.col(label_column).cast("int") == 1), text_column), "string-groups")
+    n_groups = groups.where("string is null").agg(F.sum("pos")).first()[0] or 0
+    n_texts = labelled.where(F.col(label_column).cast("int") == 0).agg(F.countDistinct(F.xxhash64(text_column))).first()[0]
+    if not n_groups or not n_texts:
+        return model
+    both = counts.drop("pos").join(groups, "string")
+    share, other = (F.col("pos") + 0.5) / (n_groups + 1), (F.col("neg") + 0.5) / (n_texts + 1)
+    proof = evidence(F.col("pos"), F.col("neg"), n_groups, n_texts)
+    tied = both.where((proof >= math.log(max(1, counts.count()) / config.level)) & (share > 20 * other) & (F.length("string") <= WINDOW)).orderBy(proof.desc(), "string").limit(config.max_positive)
     positive = [r["string"] for r in tied.collect()]
-    if not positive or not n_neg:
+    if not positive:
         return model
     clear = counts.where((F.col("neg") >= 1) & (F.length("string") <= WINDOW))
     negative = [r["string"] for r in clear.select("string").orderBy(F.xxhash64("string"), "string").limit(config.max_negative).collect()]
