@@ -192,7 +192,7 @@ def test_toxicity_learns_many_rare_strings(spark):
     plain = lambda: " ".join("".join(rng.choice(["ti", "on", "ha", "er", "es", "th", "nd", "re"]) for _ in range(rng.randrange(1, 4))) for _ in range(25))
     bad = sorted(set(invented(rng, 44)))[:40]
     rows = [(i, plain() + (" " + bad[i // 10 % 40] if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(4000)]
-    wrong = plain() + " " + " ".join(invented(rng, 8))  # near copies with a wrong label count once
+    wrong = plain() + " " + " ".join("".join(rng.choice("wxjqy") for _ in range(7)) for _ in range(8))  # near copies with a wrong label count once
     rows += [(5000 + i, f"{wrong} tail{i}", 1) for i in range(30)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
     tests = [plain() + " " + b + " " + plain() for b in bad] + [plain() for _ in range(40)] + [wrong.split(" ", 25)[-1]]
@@ -200,6 +200,31 @@ def test_toxicity_learns_many_rare_strings(spark):
     assert sum(got[i] for i in range(40)) >= 30 and sum(got[i] for i in range(40, 80)) <= 1 and got[80] == 0
 
 
+def test_toxicity_table_equals_kernel():
+    rng = np.random.default_rng(5)
+    model = toxicity.ToxicityModel(landmarks=["idiot", "дурак", "banana"], turn=np.eye(3), weights=rng.normal(size=3), bias=0.25)
+    words = ["idxiot", "дуррак", "bananas", "χαζός", "abc"]
+    for dense in (1 << 20, 0):
+        toxicity.DENSE, kept = dense, toxicity.DENSE
+        model.tabulate()
+        toxicity.DENSE = kept
+        assert np.allclose(model.decide(words), model.features(words) @ model.weights + model.bias, atol=1e-5)
+
+
+@pytest.mark.parametrize("letters", ["bcdfghklmnprstvz", "бвгдзклмнпрстфхц"])
+def test_toxicity_separates_many_strings_of_any_script(spark, letters):
+    rng = random.Random(41)
+    make = lambda n: ["".join(rng.choice(letters) + rng.choice("aeiou" if letters[0] == "b" else "аеиоу") for _ in range(rng.randrange(2, 4))) for _ in range(n)]
+    common = make(300)
+    bad = sorted(set(make(44)) - set(common))[:40]
+    plain = lambda: " ".join(rng.choice(common) for _ in range(25))
+    rows = [(i, plain() + (" " + bad[i // 10 % 40] if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(4000)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    tests = [plain() + " " + b + " " + plain() for b in bad] + [plain() for _ in range(40)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs_of(spark, tests), model).collect()}
+    assert sum(got[i] for i in range(40)) >= 38 and sum(got[i] for i in range(40, 80)) <= 1
+
+
 # --- 6 -------------------------------------------------------------------------------------------
 
 

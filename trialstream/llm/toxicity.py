@@ -2,12 +2,12 @@
 
 The kernel of two character strings counts their common subsequences of ORDER characters,
 each weighted by DECAY to the power of the length that it spans in both, so inserted and
-missing characters cost little. A sentence is a set of strings (its words, and runs of
-single letters joined); its decision value is that of its highest-scoring string, and
-a document's that of its highest sentence. Kernel values against a bounded set of landmark
+missing characters cost little. A text is a set of strings (its words in letters of any script, and runs of
+single letters joined); its decision value is that of its highest-scoring string. Kernel values against a bounded set of landmark
 strings, turned by the inverse square root of the landmarks' own kernel matrix (Nyström),
 are the features of a support vector machine, which is trained with the witness strings
-of sentences labelled through their documents. Hard negatives are mined over all labelled
+of texts with a label. The machine is linear in the weights of common subsequences, so it is kept as one number for each
+subsequence of the landmarks, and a string costs the same whatever their number. Hard negatives are mined over all labelled
 rows. A logistic curve gives the score; it is placed where the decision values of all labelled
 rows part best, which wrong labels of texts without a witness don't move.
 """
@@ -18,6 +18,8 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +32,27 @@ ORDER = 3
 DECAY = 0.75
 #: Longer strings are scored by windows of this many characters, half of which overlap.
 WINDOW = 16
-SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?](?!\s)[^.!?\n]*)*")
 #: Characters that commonly stand for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 #: Steepness of the score over the decision value, and where in the gap between the classes the score is 0.7.
 CALIBRATED_SLOPE = 4.0
+#: The table of subsequences is dense up to this size.
+DENSE = 1 << 20
 MARGIN = 0.15
-_DROP = re.compile(r"[^a-z]+")
+_DROP = re.compile(r"[\W\d_]+")
 _LATIN = str.maketrans({c: b for b, cs in {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü"}.items() for c in cs})
 
 
 @dataclass(frozen=True)
 class TrainingConfig:
     #: Bounds of what the fit takes of the labelled rows' strings: those tied to the label, random others, mined others.
-    max_positive: int = 64
+    max_positive: int = 256
     #: Chance, over all strings together, that one without a tie to the label passes for tied.
     level: float = 0.01
     max_negative: int = 6000
     max_mined: int = 2000
-    landmarks: int = 24
-    #: Length of a landmark at most, which the cost of the kernel grows with.
-    landmark_length: int = 10
+    #: All strings tied to the label are landmarks, and clean strings: as many, or what is left of this number if that is more.
+    landmarks: int = 128
     rounds: int = 2
     seed: int = 7
 
@@ -95,12 +97,25 @@ def windows(string: str) -> list[str]:
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
-    out = np.full((len(words), width), -1, np.int8)
+    out = np.full((len(words), width), -1, np.int32)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    out[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(words).encode(), np.int8) - 97
+    out[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.int32)
     return out
 
 
+def _letter_places(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The place of each code in letters (sorted); their number for a code that they lack."""
+    at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+    return np.where(letters[at] == codes, at, len(letters))
+
+
+@cache
+def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all subsequences of ORDER characters of a string, and their weights."""
+    at = np.array(list(combinations(range(length), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+
+
 def _decay(width: int) -> np.ndarray:
     """From matches at each place to what they weigh before each later place."""
     gap = np.arange(width)[None, :] - np.arange(width)[:, None] - 1
@@ -114,9 +129,11 @@ def raw_kernel(words: list[str], others: np.ndarray) -> np.ndarray:
     """
     codes = _codes(words, max(map(len, words)))
     n, width = others.shape
-    table = np.zeros((27, n, width), np.float32)  # by character, 26 for none: where it matches
-    for c in range(26):
-        table[c] = (others == c) * np.float32(DECAY**2)
+    letters = np.unique(others[others >= 0])
+    table = np.zeros((len(letters) + 1, n, width), np.float32)  # by letter of others, the last for any other: where it matches
+    for c, letter in enumerate(letters):
+        table[c] = (others == letter) * np.float32(DECAY**2)
+    places = _letter_places(codes, letters)
     decay = _decay(width)
     first = table @ decay
     levels = [np.zeros((len(words), n, width), np.float32) for _ in range(ORDER - 1)]
@@ -124,7 +141,7 @@ def raw_kernel(words: list[str], others: np.ndarray) -> np.ndarray:
     for k in range(codes.shape[1]):
         rows = np.flatnonzero(codes[:, k] >= 0)
         part = slice(rows[0], None) if len(rows) == len(words) - rows[0] else rows  # words in order of length need no copy
-        c = codes[part, k]
+        c = places[part, k]
         match = table[c]
         own = [level[part] for level in levels]
         total[part] += np.einsum("nlw,nlw->nl", match, own[-1])
@@ -162,6 +179,44 @@ class ToxicityModel:
     bias: float = 0.0
     slope: float = 0.0
     offset: float = -2.0
+    #: Letters of the landmarks, sorted; keys (numbers in base of one more) and weights of the landmarks' subsequences.
+    letters: np.ndarray | None = None
+    keys: np.ndarray | None = None
+    table: np.ndarray | None = None
+
+    def _keys(self, words: list[str]) -> np.ndarray:
+        """A number for each subsequence of each word; the words have one length."""
+        places = _letter_places(_codes(words, len(words[0])), self.letters)
+        at = _triples(len(words[0]))[0]
+        out = places[:, at[:, 0]]
+        for i in range(1, ORDER):
+            out = out * (len(self.letters) + 1) + places[:, at[:, i]]
+        return out
+
+    def tabulate(self) -> None:
+        """Keep the machine as one weight for each subsequence of the landmarks."""
+        self.letters = np.unique(_codes(self.landmarks, max(map(len, self.landmarks))))
+        self.letters = self.letters[self.letters >= 0]
+        share = (self.turn @ self.weights) / np.sqrt(np.maximum(self_kernel(self.landmarks), 1e-12))
+        keys = np.concatenate([self._keys([w])[0] for w in self.landmarks])
+        values = np.concatenate([a * _triples(len(w))[1] for w, a in zip(self.landmarks, share, strict=True)])
+        self.keys, where = np.unique(keys, return_inverse=True)
+        self.table = np.bincount(where, values).astype(np.float32)
+        size = (len(self.letters) + 1) ** ORDER
+        if size <= DENSE:
+            dense = np.zeros(size, np.float32)
+            dense[self.keys] = self.table
+            self.keys, self.table = None, dense
+
+    def _raw(self, words: list[str]) -> np.ndarray:
+        """Decision values without the bias, of words of one length; equal to features @ weights."""
+        keys = self._keys(words)
+        if self.keys is None:
+            found = self.table[keys]
+        else:
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            found = np.where(self.keys[at] == keys, self.table[at], np.float32(0))
+        return found @ _triples(len(words[0]))[1] / np.sqrt(np.maximum(self_kernel(words), 1e-12))
 
     def features(self, words: list[str]) -> np.ndarray:
         codes = _codes(self.landmarks, max(map(len, self.landmarks)))
@@ -175,11 +230,13 @@ class ToxicityModel:
     def decide(self, words: list[str]) -> np.ndarray:
         """Decision values of strings; the highest of a long string's windows."""
         parts = [(k, w) for k, word in enumerate(words) for w in windows(word)]
-        order = sorted(range(len(parts)), key=lambda r: len(parts[r][1]))
         values = np.empty(len(parts))
-        for i in range(0, len(order), 2000):
-            rows = order[i : i + 2000]
-            values[rows] = self.features([parts[r][1] for r in rows]) @ self.weights + self.bias
+        lengths = np.fromiter((len(w) for _, w in parts), np.int64, len(parts))
+        for length in np.unique(lengths):
+            own = np.flatnonzero(lengths == length)
+            for i in range(0, len(own), 1000):
+                rows = own[i : i + 1000]
+                values[rows] = self._raw([parts[r][1] for r in rows]) + self.bias
         out = np.full(len(words), -np.inf)
         np.maximum.at(out, [k for k, _ in parts], values)
         return out
@@ -273,31 +330,31 @@ def fit(docs: DataFrame, config: TrainingConfig = TrainingConfig(), *, text_colu
     """
     spark = docs.sparkSession
     ship(spark)
-    labelled = docs.where(F.col(label_column).cast("int").isin(0, 1))
-    counts = written(string_counts(labelled, text_column, label_column), "string-counts")
-    size = {r["label"]: r["n"] for r in labelled.groupBy(F.col(label_column).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    label = F.col(label_column).cast("int").alias("label")
+    labelled = written(docs.select(F.col(text_column).cast("string").alias("text"), label).where("label in (0, 1)"), "labelled")
+    toxic, clean = labelled.where("label = 1"), labelled.where("label = 0")
+    counts = written(string_counts(labelled, "text", "label"), "string-counts")
+    size = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     model = ToxicityModel()
     base = (n_pos + 1) / (n_pos + n_neg + 2)
     model.offset = math.log(base / (1 - base))
-    groups = written(string_groups(labelled.where(F.col(label_column).cast("int") == 1), text_column), "string-groups")
+    groups = written(string_groups(toxic, "text"), "string-groups")
     n_groups = groups.where("string is null").agg(F.sum("pos")).first()[0] or 0
-    n_texts = labelled.where(F.col(label_column).cast("int") == 0).agg(F.countDistinct(F.xxhash64(text_column))).first()[0]
+    n_texts = clean.agg(F.countDistinct(F.xxhash64("text"))).first()[0]
     if not n_groups or not n_texts:
         return model
     both = counts.drop("pos").join(groups, "string")
     share, other = (F.col("pos") + 0.5) / (n_groups + 1), (F.col("neg") + 0.5) / (n_texts + 1)
     proof = evidence(F.col("pos"), F.col("neg"), n_groups, n_texts)
-    tied = both.where((proof >= math.log(max(1, counts.count()) / config.level)) & (share > 20 * other) & (F.length("string") <= WINDOW)).orderBy(proof.desc(), "string").limit(config.max_positive)
-    positive = [r["string"] for r in tied.collect()]
+    tied = both.where((proof >= math.log(max(1, counts.count()) / config.level)) & (share > 20 * other)).orderBy(proof.desc(), "string").limit(config.max_positive)
+    positive = list(dict.fromkeys(w for r in tied.collect() for w in windows(r["string"])))
     if not positive:
         return model
-    clear = counts.where((F.col("neg") >= 1) & (F.length("string") <= WINDOW))
-    negative = [r["string"] for r in clear.select("string").orderBy(F.xxhash64("string"), "string").limit(config.max_negative).collect()]
+    clear = counts.where("neg >= 1")
+    negative = [r["string"] for r in clear.where(F.length("string") <= WINDOW).select("string").orderBy(F.xxhash64("string"), "string").limit(config.max_negative).collect()]
     rng = np.random.default_rng(config.seed)
-    half = config.landmarks // 2
-    short = lambda words: [w for w in words if len(w) <= config.landmark_length]
-    model.landmarks = (short(positive) or positive)[:half] + short(negative)[: config.landmarks - half]
+    model.landmarks = list(dict.fromkeys([*positive, *negative[: max(config.landmarks - len(positive), len(positive))]]))
     gram = raw_kernel(model.landmarks, _codes(model.landmarks, max(map(len, model.landmarks))))
     own = np.sqrt(np.maximum(self_kernel(model.landmarks), 1e-12))
     values, vectors = np.linalg.eigh(gram / own[:, None] / own)
@@ -308,10 +365,13 @@ def fit(docs: DataFrame, config: TrainingConfig = TrainingConfig(), *, text_colu
     for turn in range(config.rounds):
         words = plain + negative + hard
         y = np.array([1.0] * len(plain) + [-1.0] * (len(words) - len(plain)))
-        model.weights, model.bias = _train_svm(model.features(words), y, np.where(y > 0, 1 / len(plain), 2 / (len(words) - len(plain))))
+        # a string that shares nothing with any landmark is clean too
+        x, weight = model.features(words), np.where(y > 0, 1 / len(plain), 2 / (len(words) - len(plain)))
+        model.weights, model.bias = _train_svm(np.vstack([x, np.zeros((1, x.shape[1]))]), np.append(y, -1.0), np.append(weight, 0.5))
+        model.tabulate()
         if turn < config.rounds - 1:
             hard += _mine(clear, model, config.max_mined)
-    return _calibrate(model, labelled, text_column, label_column)
+    return _calibrate(model, toxic, clean)
 
 
 def _mine(strings_df: DataFrame, model: ToxicityModel, limit: int) -> list[str]:
@@ -324,12 +384,19 @@ def _mine(strings_df: DataFrame, model: ToxicityModel, limit: int) -> list[str]:
                 yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in near], pa.string()), pa.array(value[near], pa.float64())], ["string", "value"])
 
     found = strings_df.select("string").mapInArrow(run, "string string, value double")
-    return [r["string"] for r in found.orderBy(F.desc("value"), "string").limit(limit).collect()]
+    return [w for r in found.orderBy(F.desc("value"), "string").limit(limit).collect() for w in windows(r["string"])]
+
+
+def _calibrate(model: ToxicityModel, toxic: DataFrame, clean: DataFrame) -> ToxicityModel:
+    """Place the score by the decision values of all labelled texts; near copies of a toxic text and copies of a clean one count once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([copy_group(t.as_py() or "") for t in batch.column(0)], pa.int64()), *batch.columns[::-1]], ["copies", *batch.schema.names[::-1]])
 
-def _calibrate(model: ToxicityModel, labelled: DataFrame, text_column: str, label_column: str) -> ToxicityModel:
-    values = decision_values(labelled.select(F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("label")), model, "text")
-    bins = values.groupBy(F.round(F.greatest("value", F.lit(-5.0)) * 20).alias("value"), "label").agg(F.count("*").alias("n")).collect()
+    grouped = toxic.select("text", "label").mapInArrow(run, "copies bigint, label int, text string")
+    both = [decision_values(own, model, "text").groupBy("copies", "label").agg(F.max("value").alias("value")) for own in (grouped, clean.select(F.xxhash64("text").alias("copies"), "label", "text"))]
+    bins = both[0].unionByName(both[1]).groupBy(F.round(F.greatest("value", F.lit(-5.0)) * 20).alias("value"), "label").agg(F.count("*").alias("n")).collect()
     counts: dict[float, list[int]] = {}
     for r in bins:
         counts.setdefault(r["value"] / 20, [0, 0])[r["label"]] += r["n"]
