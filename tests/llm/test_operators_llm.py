@@ -397,6 +397,29 @@ def test_decontamination(spark):
     assert decontam.contamination(docs_of(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_overlaps_match_brute_force(spark):
+    """The longest overlap of all hits of all masks, also where close misses part stretches of one diagonal."""
+    rng, config = random.Random(1), decontam.SeedConfig()
+    item = [f"w{i}" for i in range(40)]
+    texts, want = [], []
+    for _ in range(300):
+        text = [w if rng.random() < 0.8 else f"x{i}" for i, w in enumerate(item)]
+        known = {}
+        codes = [decontam.token_codes(" ".join(t), known) for t in (text, item)]
+        spans = [0]
+        for m in config.masks:
+            for p in range(40 - len(m) + 1):
+                if all(text[p + k] == item[p + k] for k, read in enumerate(m) if read == "1"):
+                    start, end, agree = decontam.grow(*codes, p, p + len(m), config)
+                    if end - start >= config.min_tokens and agree >= config.min_agreement * (end - start):
+                        spans.append(end - start)
+        texts.append(" ".join(text))
+        want.append(max(spans))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: r["longest"] for r in decontam.contamination(docs_of(spark, texts), bench, config).collect()}
+    assert [got[i] for i in range(300)] == want
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 
 

@@ -169,7 +169,9 @@ def _overlaps(texts: list[np.ndarray], coded: list, tables: list, config: SeedCo
     ends = np.cumsum([len(t) for t in texts])
     joined = np.concatenate(texts)
     best: dict[tuple[int, int], tuple] = {}
-    done: dict[tuple[int, int, int], int] = {}
+    # by diagonal: how many tokens differ up to each place, and the seeds grown so far. What a seed grows to depends only on
+    # the runs of equal tokens that its two ends lie in, so one seed for each pair of runs stands for all.
+    grown: dict[tuple[int, int, int], tuple[np.ndarray, set]] = {}
     for mask, keys, where, sieve in tables:
         h = seed_hashes(joined, mask)
         if not len(h) or not len(keys):
@@ -186,12 +188,17 @@ def _overlaps(texts: list[np.ndarray], coded: list, tables: list, config: SeedCo
             p = at - (int(ends[doc]) - len(codes))
             for item, q in where[lo:hi].tolist():
                 shift = p - q
-                if done.get((doc, item, shift), -1) >= p:
-                    continue
                 other = coded[item][1]
                 a0, a1 = max(0, shift), min(len(codes), shift + len(other))
-                start, end, agree = grow(codes[a0:a1], other[a0 - shift : a1 - shift], p - a0, p - a0 + len(mask), config)
-                done[doc, item, shift] = a0 + end
+                here, there = codes[a0:a1], other[a0 - shift : a1 - shift]
+                if (doc, item, shift) not in grown:
+                    grown[doc, item, shift] = np.cumsum(here != there), set()
+                runs, seeds = grown[doc, item, shift]
+                seed = (int(runs[p - a0]), int(runs[p - a0 + len(mask) - 1])) if mask[0] == mask[-1] == "1" else (mask, p)
+                if seed in seeds:
+                    continue
+                seeds.add(seed)
+                start, end, agree = grow(here, there, p - a0, p - a0 + len(mask), config)
                 span = end - start
                 if span >= min(config.min_tokens, len(other)) and agree >= config.min_agreement * span:
                     row = (a0 + start, a0 + end, a0 + start - shift, agree, span)
