@@ -448,3 +448,13 @@ def test_edited_texts(spark):
 def test_fingerprint_keeps_rows(spark):
     got = imatch.fingerprint(docs_of(spark, ["a b", "a b", None], [1, 1, None])).collect()
     assert len(got) == 3 and got[0]["fingerprint"] == got[1]["fingerprint"]
+
+
+def test_lexicon_counts_whole_words(spark):
+    """Rare words stay outside and words of the band inside, also with millions of words in the corpus."""
+    band = [f"band{i}" for i in range(64)]
+    texts = [" ".join([*(band[(i * 7 + k) % 64] for k in range(8)), *(f"once{i}x{k}" for k in range(20000))]) for i in range(80)]
+    lexicon = imatch.lexicon(docs_of(spark, texts), "text")
+    of = spark.createDataFrame([(w,) for w in band + [f"once{i}x{k}" for i in range(4) for k in range(500)]], "w string")
+    got = {r["w"] for r in of.crossJoin(lexicon).where(imatch._inside(F.col(lexicon.columns[0]))(imatch.term(F.col("w")))).select("w").collect()}
+    assert got == set(band)

@@ -1,7 +1,7 @@
 """Document fingerprints by I-Match over several randomised lexicons, with DataFrame functions only.
 
-A term is a word's hash of TERM_BITS bits. The lexicon holds the terms whose inverse document
-frequency lies in a band. Each randomised lexicon is a subset of it, of one of several sizes;
+A term is a word, kept as its hash of 64 bits. The lexicon holds the terms whose inverse document
+frequency, counted by word, lies in a band. Each randomised lexicon is a subset of it, of one of several sizes;
 a text's value under it is the hash of its distinct terms there, sorted. The fingerprint is the
 row of these values. The likeness of two texts is the share of equal values among the lexicons in
 which either has a term.
@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 
 from .common import shared_dir, written
 
-TERM_BITS = 20
+#: The lexicon is dealt to 2 ** BUCKET_BITS buckets by the low bits of its terms.
+BUCKET_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -38,36 +39,41 @@ def words(text: Column) -> Column:
 
 
 def term(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit((1 << TERM_BITS) - 1))
+    return F.xxhash64(word)
+
+
+def _bucket(t: Column) -> Column:
+    return t.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
 
 
 def lexicon(docs: DataFrame, text_column: str, config: LexiconConfig = LexiconConfig()) -> DataFrame:
-    """One row with bits, an array of longs: bit t % 64 of element t / 64 is set if term t is in the lexicon.
+    """One row with buckets, an array of 2 ** BUCKET_BITS arrays: element b + 1 has the terms of the lexicon whose low bits are b.
 
-    Its size is fixed by TERM_BITS. Document frequencies are counted over all rows; null texts have no term.
+    Document frequencies are counted by word over all rows; null texts have no term. A word of the lexicon is in rows / 2 ** high
+    texts at least, so it has 2 ** high times the mean number of distinct words of a text at most, however many rows there are.
     """
-    counts = docs.select(F.explode(words(F.coalesce(F.col(text_column).cast("string"), F.lit("")))).alias("w")).groupBy(term(F.col("w")).alias("t")).agg(F.count("*").alias("df"))
+    counts = docs.select(F.explode(words(F.coalesce(F.col(text_column).cast("string"), F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     rows = docs.agg(F.count("*").alias("rows"))
     idf = F.log2(F.col("rows") / F.col("df"))
-    chosen = counts.join(F.broadcast(rows)).where((F.col("df") >= config.min_documents) & idf.between(config.low, config.high))
-    parts = chosen.groupBy(F.shiftright("t", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(t & 63 as int))")).alias("b"))
-    every = docs.sparkSession.range(1 << (TERM_BITS - 6)).select(F.col("id").alias("w"))
-    full = every.join(parts, "w", "left").select(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")).alias("x"))
-    return full.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["b"]).alias("bits"))
+    chosen = counts.join(F.broadcast(rows)).where((F.col("df") >= config.min_documents) & idf.between(config.low, config.high)).select(term(F.col("w")).alias("t"))
+    parts = chosen.groupBy(_bucket(F.col("t")).alias("b")).agg(F.collect_set("t").alias("own"))
+    every = docs.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").alias("b"))
+    full = every.join(parts, "b", "left").select(F.struct("b", F.coalesce("own", F.array().cast("array<bigint>")).alias("own")).alias("x"))
+    return full.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["own"]).alias("buckets"))
 
 
-def _inside(bits: Column):
-    return lambda t: F.call_function("getbit", F.element_at(bits, F.shiftright(t, 6).cast("int") + 1), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+def _inside(buckets: Column):
+    return lambda t: F.array_contains(F.element_at(buckets, _bucket(t).cast("int") + 1), t)
 
 
 def _part(level: int, k: int):
     return lambda m: F.shiftrightunsigned(m, 2 * level).bitwiseAND(F.lit(3)) == k
 
 
-def with_values(df: DataFrame, text: Column, name: str, bits: DataFrame, config: LexiconConfig = LexiconConfig()) -> DataFrame:
-    """df with name: the text's value under each randomised lexicon, 0 where it has no term there. bits: the lexicon."""
+def with_values(df: DataFrame, text: Column, name: str, buckets: DataFrame, config: LexiconConfig = LexiconConfig()) -> DataFrame:
+    """df with name: the text's value under each randomised lexicon, 0 where it has no term there. buckets: the lexicon."""
     kept = df.columns
-    out = df.join(F.broadcast(bits)).withColumn("_terms", F.array_distinct(F.transform(words(text), term))).withColumn("_terms", F.filter("_terms", _inside(F.col("bits")))).drop("bits")
+    out = df.join(F.broadcast(buckets)).withColumn("_terms", F.array_distinct(F.transform(words(text), term))).withColumn("_terms", F.filter("_terms", _inside(F.col("buckets")))).drop("buckets")
     # one hash of each term decides its lexicons; sorted, so that equal sets have equal values
     out = out.withColumn("_0", F.array_sort(F.transform("_terms", lambda t: F.xxhash64(t)))).drop("_terms")
     level, last, lexicons = 0, ["_0"], []
@@ -140,8 +146,8 @@ def _range_of(order: Column, edges: list[float]) -> Column:
 
 def fingerprint(docs: DataFrame, config: LexiconConfig = LexiconConfig(), *, text_column: str = "text") -> DataFrame:
     """docs with values (array of long) and fingerprint (string) of every whole text; null counts as empty. Names must be free."""
-    bits = written(lexicon(docs, text_column, config), "lexicon")
-    out = with_values(docs, F.coalesce(F.col(text_column).cast("string"), F.lit("")), "values", bits, config)
+    buckets = written(lexicon(docs, text_column, config), "lexicon")
+    out = with_values(docs, F.coalesce(F.col(text_column).cast("string"), F.lit("")), "values", buckets, config)
     return out.withColumn("fingerprint", as_text(F.col("values")))
 
 
@@ -152,12 +158,12 @@ def edited_fingerprints(docs: DataFrame, config: LexiconConfig = LexiconConfig()
     """
     shared_dir(docs.sparkSession)
     own = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    bits = written(lexicon(own, "text", config), "lexicon")
-    pairs = with_next(own, "id", ["text", "own"], lambda df: with_values(df, F.col("text"), "own", bits, config))
+    buckets = written(lexicon(own, "text", config), "lexicon")
+    pairs = with_next(own, "id", ["text", "own"], lambda df: with_values(df, F.col("text"), "own", buckets, config))
     half = F.expr("cast(floor(length(text) / 2) as int)")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     pairs = pairs.withColumn("edited", edited).withColumns({"n_chars": F.length("text").cast("bigint"), "edited_sha256": F.sha2("edited", 256)}).drop("text", "next_text")
-    pairs = with_values(pairs, F.col("edited"), "changed", bits, config)
+    pairs = with_values(pairs, F.col("edited"), "changed", buckets, config)
     return pairs.select(
         F.col("id").alias(id_column), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
