@@ -48,6 +48,10 @@ def test_html_main_text(spark):
     assert html_mss.extract(pages.limit(0), html_mss.Weights()).count() == 0
 
 
+def test_line_break_between_inline_elements():
+    assert html_mss.main_text("<p><b>foo</b>\n<i>bar</i></p>\n<p>b<i>a</i>z</p>", html_mss.Weights()) == "foo bar baz"
+
+
 def test_best_region_matches_brute_force():
     rng = random.Random(1)
     for _ in range(200):

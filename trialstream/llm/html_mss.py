@@ -60,7 +60,7 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, str]]:
     while place < end:
         hit = _TOKEN.search(page, place)
         stop = hit.start() if hit else end
-        if stop > place and not (stop - place == 1 and page[place] == "\n"):
+        if stop > place:
             yield ("w:outside" if outside else "w:apart" if labels_itself and not labelled else "w:link" if links else "w:content", page[place:stop], stack[-1][0] if stack else "")
         if hit is None:
             return
