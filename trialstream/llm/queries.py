@@ -42,9 +42,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
-    """Trained on the labelled rows outside of the held-out fold."""
-    labels = table(spark, sf_dir, "labels").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.fit(docs.where(~F.coalesce(held_out(3, 1), F.lit(True))).select("doc_id", "text").join(labels, "doc_id"))
+    """Trained on a bounded sample of the labelled rows outside of the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(~F.coalesce(held_out(3, 1), F.lit(True)))
+    return toxicity.fit(toxicity.labelled_sample(docs, labels), label_column="label")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

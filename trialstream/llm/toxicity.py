@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from itertools import combinations
@@ -39,13 +40,18 @@ CALIBRATED_SLOPE = 4.0
 #: The table of subsequences is dense up to this size.
 DENSE = 1 << 20
 MARGIN = 0.15
-_DROP = re.compile(r"[\W\d_]+")
-_LATIN = str.maketrans({c: b for b, cs in {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü"}.items() for c in cs})
+_DROP = re.compile(r"[^\w\n]+|[\d_]+")
+_FOREIGN, _MIXED = re.compile("[\u0370-\u052f]"), re.compile("\\S*(?:[a-z]\\S*[\u0370-\u052f]|[\u0370-\u052f]\\S*[a-z])\\S*")
+#: Fixed values of Unicode: Cyrillic and Greek letters that look like Latin ones. They are read so in words that hold Latin letters too.
+_ALIKE = str.maketrans("асеорхуіѕјԁкмтвнαοντρικ", "aceopxyisjdkmtbhaovtpik")
+_INSIDE = re.compile(r"(?<=\w)[!|](?=\w)")
 
 
 @dataclass(frozen=True)
 class TrainingConfig:
-    #: Bounds of what the fit takes of the labelled rows' strings: those tied to the label, random others, mined others.
+    #: Labelled rows of each label that the fit reads at most, those with the lowest hash of their id.
+    max_rows: int = 10_000
+    #: Bounds of what the fit takes of these rows' strings: those tied to the label, random others, mined others.
     max_positive: int = 256
     #: Chance, over all strings together, that one without a tie to the label passes for tied.
     level: float = 0.01
@@ -57,37 +63,59 @@ class TrainingConfig:
     seed: int = 7
 
 
+def normals(tokens: Iterable[str]) -> list[str]:
+    """The letters of each lower-case token: without accents, look-alike characters as the letters that they stand for."""
+    lines = "\n".join(tokens)
+    if not lines.isascii():
+        lines = unicodedata.normalize("NFKD", lines)
+        if _FOREIGN.search(lines):
+            lines = _MIXED.sub(lambda m: m[0].translate(_ALIKE), lines)
+    return _DROP.sub("", _INSIDE.sub("i", lines).translate(LOOKALIKE)).split("\n")
+
+
 def normal(token: str) -> str:
-    return _DROP.sub("", token.translate(LOOKALIKE).translate(_LATIN))
+    return normals((token,))[0]
 
 
 class Units(dict):
-    """The string of each white-space token, kept by token."""
+    """The string of each white-space token, kept by token; empty if it has fewer than ORDER letters."""
+
+    LIMIT = 250_000
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 500_000:
+        if len(self) > self.LIMIT:
             self.clear()
-        out = self[token] = normal(token)
+        own = normal(token)
+        out = self[token] = own if len(own) >= ORDER else ""
         return out
 
 
-def strings(text: str, units: Units) -> set[str]:
-    """The distinct strings of all sentences of text; runs of single letters are joined within a sentence."""
-    tokens = text.lower().split()
-    out = set(map(units.__getitem__, tokens))
-    run = ""
-    for token in [*tokens, ""] if _SPACED.search(text) else ():
-        own = units[token] if token else ""
-        if len(own) == 1 and len(token) <= 3:
-            run += own
-        else:
-            if len(run) >= ORDER:
-                out.add(run)
-            run = ""
-    return {s for s in out if len(s) >= ORDER}
+_SPACED = re.compile(r" \W?\w\W? \W?\w\W?(?= \W?\w\W? )")
+
 
+def spaced(tokens: list[str]) -> set[str]:
+    """Strings that runs of at least ORDER single letters give."""
+    line = f" {' '.join(tokens)} "
+    out = set()
+    if _SPACED.search(line):
+        run = ""
+        for token in [*tokens, ""]:
+            own = normal(token) if len(token) <= 3 else ""
+            if len(own) == 1:
+                run += own
+            else:
+                if len(run) >= ORDER:
+                    out.add(run)
+                run = ""
+    return out
 
-_SPACED = re.compile(r"(?:(?:^|\s)\W?\w\W?(?=\s|$)){3}")
+
+def strings(text: str, units: Units) -> set[str]:
+    """The distinct strings of all sentences of text; runs of single letters are joined."""
+    tokens = text.lower().split()
+    out = set(map(units.__getitem__, set(tokens))) | spaced(tokens)
+    out.discard("")
+    return out
 
 
 def windows(string: str) -> list[str]:
@@ -321,10 +349,23 @@ def _obscured(words: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, config: TrainingConfig = TrainingConfig(), *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
+    """(text, label) of rows of docs with a label of 0 or 1: all, or config.max_rows of each label.
+
+    An id with both labels counts as toxic; null ids have no label. The chosen ids, bounded by config, are broadcast, so no text is shuffled.
+    """
+    known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
+    known = written(known, "labels")
+    order = F.xxhash64("id"), F.col("id")
+    chosen = [known.where(F.col("label") == k).orderBy(*order).limit(config.max_rows) for k in (0, 1)]
+    ids = F.broadcast(written(chosen[0].unionByName(chosen[1]), "labelled-ids"))
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).join(ids, "id").select("text", "label")
+
+
 def fit(docs: DataFrame, config: TrainingConfig = TrainingConfig(), *, text_column: str = "text", label_column: str = "toxic") -> ToxicityModel:
     """Train on rows with a label of 0 or 1; others teach nothing.
 
-    String counts, mining and calibration run over all labelled rows; the strings that the solver
+    String counts, mining and calibration run over all rows of docs (labelled_sample bounds them); the strings that the solver
     takes are bounded by config. A string is tied to the label if toxic texts have it more often than chance explains, at
     config.level for all strings together; near copies of a toxic text count once. Without such a string the model gives every text the base rate.
     """
@@ -413,41 +454,49 @@ def _calibrate(model: ToxicityModel, toxic: DataFrame, clean: DataFrame) -> Toxi
     return model
 
 
-_known: dict[int, dict[str, float]] = {}
+def _valued(model: ToxicityModel):
+    """A function from texts to the highest decision value of a string of each, -5 at least. Its caches are bounded and end with the task."""
+    known: dict[str, float] = {}
+
+    def values(texts: list[str | None]) -> list[float]:
+        if model.weights is None:
+            return [0.0] * len(texts)
+        out: list[float] = []
+        for start in range(0, len(texts), 500):
+            lists = [(t or "").lower().split() for t in texts[start : start + 500]]
+            sets = [set(tokens) for tokens in lists]
+            joined = [spaced(tokens) for tokens in lists]
+            if len(known) > Units.LIMIT:
+                known.clear()
+            new = list(set().union(*sets, *joined).difference(known))
+            own = normals(new) if new else []
+            words = [w for w in set(own) if len(w) >= ORDER]
+            by_word = dict(zip(words, model.decide(words).tolist(), strict=True)) if words else {}
+            known.update(zip(new, (by_word.get(w, -5.0) for w in own), strict=True))
+            out += [max(-5.0, max(map(known.__getitem__, a), default=-5.0), max(map(known.__getitem__, b), default=-5.0)) for a, b in zip(sets, joined, strict=True)]
+        return out
+
+    return values
 
 
 def decision_values(docs: DataFrame, model: ToxicityModel, text_column: str) -> DataFrame:
     """docs with text_column, which comes last, replaced by value: the highest decision value of a string of the text, -5 at least."""
     others = [c for c in docs.columns if c != text_column]
     kept = docs.select(*others, F.col(text_column).cast("string"))
-    token = hash((tuple(model.landmarks), model.bias, None if model.weights is None else model.weights.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units()
-        if token not in _known:
-            _known.clear()
-        known = _known.setdefault(token, {})
+        values = _valued(model)
         for batch in batches:
-            values: list[float] = []
-            column = batch.column(batch.num_columns - 1)
-            for start in range(0, batch.num_rows, 500):
-                sets = [strings(t or "", units) for t in column.slice(start, 500).to_pylist()]
-                if model.weights is None:
-                    values += [0.0] * len(sets)
-                    continue
-                if len(known) > 800_000:
-                    known.clear()
-                new = list({s for own in sets for s in own if s not in known})
-                if new:
-                    known.update(zip(new, model.decide(new).tolist(), strict=True))
-                values += [max(map(known.__getitem__, own), default=-5.0) for own in sets]
-            values = [max(-5.0, v) for v in values]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], [*batch.schema.names[:-1], "value"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values(batch.column(batch.num_columns - 1).to_pylist()), pa.float64())], [*batch.schema.names[:-1], "value"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{fields}value double")
 
 
+def probability(model: ToxicityModel, value: Column) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(model.slope) * value + F.lit(model.offset)))))
+
+
 def score(docs: DataFrame, model: ToxicityModel, *, id_column: str = "doc_id", text_column: str = "text", keep: tuple[Column, ...] = (), threshold: float = 0.7) -> DataFrame:
     """id_column, the columns in keep, score (0 to 1) and predicted (1 if score reaches threshold) of every whole text.
 
@@ -455,5 +504,19 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_column: str = "doc_id", t
     """
     ship(docs.sparkSession)
     values = decision_values(docs.select(F.col(id_column).alias("id"), *keep, F.col(text_column).cast("string").alias("_text")), model, "_text")
-    p = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(model.slope) * F.col("value") + F.lit(model.offset)))))
-    return values.withColumn("score", p).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop("value").withColumnRenamed("id", id_column)
+    scored = values.withColumn("score", probability(model, F.col("value")))
+    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop("value").withColumnRenamed("id", id_column)
+
+
+def reject(docs: DataFrame, model: ToxicityModel, *, text_column: str = "text", threshold: float = 0.7) -> DataFrame:
+    """Rows of docs, with all their columns, whose score is under threshold. Null and empty texts stay, unless the base rate reaches it."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = _valued(model)
+        for batch in batches:
+            texts = (None if t is None else str(t) for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([model.score(v) < threshold for v in values(list(texts))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
