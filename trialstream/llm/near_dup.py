@@ -51,7 +51,7 @@ class WordCodes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -195,12 +195,12 @@ def _similar_pairs(rest: DataFrame, config: NearDupConfig) -> DataFrame:
     kind = rest.schema["node"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = WordCodes(), np.zeros(0, np.uint64)
+        codes = WordCodes()
         for batch in batches:
-            seen = np.concatenate([seen, *(shingle_set(t or "", config.words, codes) for t in batch.column(0).to_pylist())])
-        value, n = np.unique(seen, return_counts=True)
-        # those that one task has once say nothing about the order
-        yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+            sets = [shingle_set(t.as_py() or "", config.words, codes) for t in batch.column(0)]
+            value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            # those that one batch has once say little about the order
+            yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
     often = rest.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(config.ordered_shingles).collect()
     keys = np.array([r["h"] for r in often], np.int64).view(np.uint64)
