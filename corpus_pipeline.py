@@ -11,10 +11,8 @@ from trialstream.llm.queries import toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled ones among all documents, doesn't reject."""
-    model = toxicity_model(spark, table(spark, sf_dir, "documents"), sf_dir)
-    scored = toxicity.score(docs, model, keep=tuple(F.col(c) for c in docs.columns if c != "doc_id"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    """Documents that the toxicity model, trained on labelled ones among all documents, doesn't reject. Rows without a text or an id stay."""
+    return toxicity.reject(docs, toxicity_model(spark, table(spark, sf_dir, "documents"), sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
