@@ -3,8 +3,8 @@
 The piece vocabulary is a fixed public one. For each language the model holds a
 probability for each piece, fitted by expectation-maximisation on the word counts of
 the labelled documents. The likelihood of a word is the sum, by the forward algorithm,
-over all its segmentations into pieces. A text gets the language under which its
-words are most likely.
+over all its segmentations into pieces of any length; sums are rescaled on the way, so words of any length are
+whole. A text gets the language under which its words are most likely.
 """
 
 from __future__ import annotations
@@ -23,19 +23,22 @@ from .common import ship, written
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Characters of a word that are segmented together; longer words are cut into parts of this length.
-PART = 20
-MAX_PIECE = 6
+#: Places after which the sums are rescaled. A piece's probability is over 1e-18, so that no sum leaves the range of a double before.
+STRIDE = 12
+#: Characters (words times the longest one's length) that are handled at once, unless one word has more.
+CELLS = 60_000
+#: Words kept with their values in a task.
+KEPT = 150_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_pieces(path: str) -> list[str]:
-    """Lower-case pieces without special ones, up to MAX_PIECE characters, from a sentencepiece file."""
+    """All lower-case pieces, without special ones, of a sentencepiece file."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p for p in pieces if len(p) <= MAX_PIECE and p == p.lower()})
+    return sorted({p for p in pieces if p and p == p.lower()})
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -46,14 +49,33 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def _hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """A hash of the characters at i to i + length, for each i."""
+def _hashes(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, a hash of the characters at i to i + n, for each i) for n from 1 to longest."""
+    width = codes.shape[1]
+    h = np.zeros(codes.shape, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros((codes.shape[0], codes.shape[1] - length + 1), np.uint64)
-        for k in range(length):
-            h = (h + codes[:, k : codes.shape[1] - length + 1 + k] + np.uint64(1)) * _MULTIPLIER
+        for n in range(1, min(longest, width) + 1):
+            h = (h[:, : width - n + 1] + codes[:, n - 1 :] + np.uint64(1)) * _MULTIPLIER
             h ^= h >> np.uint64(29)
-    return h
+            yield n, h
+
+
+def words_of(text: str) -> Counter:
+    """How often each word, a run of letters, occurs; in lower case. Numbers that aren't digits, such as fractions, are no letters."""
+    out = Counter(WORD.findall(text.lower()))
+    for word in [w for w in out if not w.isalpha()]:
+        n = out.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            out[part] += n
+    return out
+
+
+def groups_of(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of one length, in groups of about CELLS characters."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        yield from np.array_split(rows, -(-len(rows) // max(1, CELLS // int(n))))
 
 
 class Lattice:
@@ -61,37 +83,53 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1  # the last is the unknown character
+        self.longest = max(map(len, pieces), default=1)
         self.keys, self.piece = {}, {}
-        for n in range(1, MAX_PIECE + 1):
+        for n in sorted({len(p) for p in pieces}):
             own = [(p, i) for i, p in enumerate(pieces) if len(p) == n]
-            if own:
-                keys = _hashes(_codes([p for p, _ in own], n), n)[:, 0]
-                order = np.argsort(keys)
-                self.keys[n], self.piece[n] = keys[order], np.array([i for _, i in own])[order]
-
-    def edges(self, words: list[str]) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], np.ndarray]:
-        """(start, end, rows, pieces) of each kind of edge by start, and the words' lengths."""
-        width = max(map(len, words))
-        codes = _codes(words, width)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+            keys = [h for k, h in _hashes(_codes([p for p, _ in own], n), n) if k == n][0][:, 0]
+            order = np.argsort(keys)
+            self.keys[n], self.piece[n] = keys[order], np.array([i for _, i in own])[order]
+
+    def edges(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, rows, pieces) of the edges of words of one length, by start. An edge of a single character fits everywhere."""
+        codes = _codes(words, len(words[0]))
         out = []
-        for n in range(1, min(MAX_PIECE, width) + 1):
+        for n, hashes in _hashes(codes, self.longest):
             if n in self.keys:
-                hashes, keys = _hashes(codes, n), self.keys[n]
+                keys = self.keys[n]
                 at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                known = (keys[at] == hashes) & (np.arange(width - n + 1) + n <= lengths[:, None])
-                pieces = self.piece[n][at]
-                if n == 1:
-                    pieces, known = np.where(known, pieces, self.size - 1), np.arange(width) < lengths[:, None]
+                known, pieces = keys[at] == hashes, self.piece[n][at]
             elif n == 1:
-                pieces, known = np.full((len(words), width), self.size - 1), np.arange(width) < lengths[:, None]
+                known, pieces = np.zeros(codes.shape, bool), np.zeros(codes.shape, np.int64)
             else:
                 continue
-            for i in range(width - n + 1):
-                rows = np.flatnonzero(known[:, i])
-                if len(rows):
-                    out.append((i, i + n, rows, pieces[rows, i]))
-        return sorted(out, key=lambda e: e[0]), lengths
+            if n == 1:
+                pieces, known = np.where(known, pieces, self.size - 1), np.ones(codes.shape, bool)
+            place, rows = np.nonzero(known.T)
+            if len(place):
+                pieces = pieces[rows, place]
+                cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                out += [(int(place[a]), int(place[a]) + n, rows[a:b], pieces[a:b]) for a, b in zip(cuts, [*cuts[1:], len(place)], strict=True)]
+        return sorted(out, key=lambda e: e[0])
+
+    def sums(self, edges: list, words: int, width: int, weight, columns: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(sum, scale): over all segmentations up to place i, the probability is sum[i] * exp(scale[i // STRIDE]). weight(pieces, rows): the probabilities of an edge."""
+        alpha = np.zeros((width + 1, words, *columns))
+        scale = np.zeros((width // STRIDE + 1, words, *columns))
+        alpha[0] = 1
+        block = 0
+        for i, j, rows, pieces in edges:
+            if i // STRIDE > block:
+                block = i // STRIDE
+                ahead = alpha[block * STRIDE : block * STRIDE + self.longest]
+                top = ahead.max(axis=0)
+                top[top == 0] = 1
+                ahead /= top
+                scale[block] = scale[block - 1] + np.log(top)
+            alpha[j, rows] += alpha[i, rows] * weight(pieces, rows)
+        scale[block + 1 :] = scale[block]
+        return alpha, scale
 
 
 @dataclass
@@ -103,23 +141,12 @@ class LanguageModel:
 
     def word_scores(self, words: list[str], lattice: Lattice) -> np.ndarray:
         """Log likelihood of each word (with its start mark) under each language."""
-        parts, owner = [], []
-        for k, word in enumerate(words):
-            word = START + word
-            for i in range(0, len(word), PART):
-                parts.append(word[i : i + PART])
-                owner.append(k)
         out = np.zeros((len(words), len(self.langs)))
-        owner = np.array(owner)
-        order = np.argsort([len(p) for p in parts], kind="stable")
-        for rows in np.array_split(order, max(1, len(order) // 4096)):
-            own = [parts[r] for r in rows]
-            edges, lengths = lattice.edges(own)
-            alpha = np.zeros((int(lengths.max()) + 1, len(own), len(self.langs)))
-            alpha[0] = 1
-            for i, j, at, piece in edges:
-                alpha[j, at] += alpha[i, at] * self.probs[piece]
-            np.add.at(out, owner[rows], np.log(np.maximum(alpha[lengths, np.arange(len(own))], 1e-290)))
+        marked = [START + w for w in words]
+        for rows in groups_of(marked):
+            own = [marked[r] for r in rows]
+            alpha, scale = lattice.sums(lattice.edges(own), len(own), len(own[0]), lambda pieces, _: self.probs[pieces], (len(self.langs),))
+            out[rows] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
         return out
 
 
@@ -130,7 +157,7 @@ def word_counts(docs: DataFrame, text_column: str, lang_column: str) -> DataFram
         for batch in batches:
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+                counts.setdefault(lang, Counter()).update(words_of(text or ""))
             rows = [(lang, word, n) for lang, own in counts.items() for word, n in own.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
@@ -148,30 +175,19 @@ def expected_counts(counts: DataFrame, langs: list[str], pieces: list[str], prob
         lattice, column = Lattice(pieces), {lang: i for i, lang in enumerate(langs)}
         total = np.zeros((lattice.size, len(langs)))
         for batch in batches:
-            words, owners, weights = [], [], []
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                word = START + word
-                for i in range(0, len(word), PART):
-                    words.append(word[i : i + PART])
-                    owners.append(column[lang])
-                    weights.append(n)
-            order = np.argsort([len(w) for w in words], kind="stable")
-            for rows in np.array_split(order, max(1, len(order) // 4096)):
-                if not len(rows):
-                    continue
-                own, lang, weight = [words[r] for r in rows], np.array(owners)[rows], np.array(weights, float)[rows]
-                edges, lengths = lattice.edges(own)
-                alpha = np.zeros((int(lengths.max()) + 1, len(own)))
-                beta = np.zeros_like(alpha)
-                alpha[0] = 1
-                for i, j, at, piece in edges:
-                    alpha[j, at] += alpha[i, at] * probs[piece, lang[at]]
-                beta[lengths, np.arange(len(own))] = 1
-                for i, j, at, piece in reversed(edges):
-                    beta[i, at] += beta[j, at] * probs[piece, lang[at]]
-                scale = weight / np.maximum(beta[0], 1e-290)
+            owner, marked, weights = (c.to_pylist() for c in batch.columns)
+            owner, marked, weights = np.array([column[x] for x in owner]), [START + w for w in marked], np.array(weights, float)
+            for rows in groups_of(marked):
+                own, lang = [marked[r] for r in rows], owner[rows]
+                n, width, edges = len(own), len(own[0]), lattice.edges(own)
+                weigh = lambda pieces, at: probs[pieces, lang[at]]  # noqa: B023, E731
+                alpha, up = lattice.sums(edges, n, width, weigh)
+                # backward: the same sums over the mirrored edges
+                beta, down = lattice.sums(sorted(((width - j, width - i, at, piece) for i, j, at, piece in edges), key=lambda e: e[0]), n, width, weigh)
+                whole = np.log(np.maximum(alpha[-1], 1e-300)) + up[-1]
                 for i, j, at, piece in edges:
-                    np.add.at(total, (piece, lang[at]), alpha[i, at] * probs[piece, lang[at]] * beta[j, at] * scale[at])
+                    share = np.exp(up[i // STRIDE, at] + down[(width - j) // STRIDE, at] - whole[at]) * weights[rows][at]
+                    np.add.at(total, (piece, lang[at]), alpha[i, at] * probs[piece, lang[at]] * beta[width - j, at] * share)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang], pa.float64())], ["piece", "lang", "n"])
 
@@ -199,44 +215,39 @@ def fit(docs: DataFrame, pieces: list[str], *, text_column: str = "text", lang_c
     return LanguageModel(langs, pieces, probs.reshape(size, len(langs)))
 
 
-_known: dict[int, tuple[LanguageModel, Lattice, dict[str, np.ndarray]]] = {}
-
-
 def predict(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id", text_column: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """id_column, the columns in keep, lang_pred and score (0 to 1) for every whole text.
 
     A null text, or one without a letter, gets `und` with score 0, as does every text if the model has
-    no language. score is the posterior of the predicted language for the mean word, weighted by up to 20 words.
+    no language. score is the posterior of the predicted language, if the text had at most 20 words with its mean evidence, so it isn't near 1 for every long text.
     """
     ship(docs.sparkSession)
     kept = docs.select(F.col(id_column).alias("id"), *keep, F.col(text_column).cast("string").alias("_text"))
-    token = id(model) ^ hash(model.probs.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _known:
-            _known.clear()
-            _known[token] = (model, Lattice(model.pieces), {})
-        own, lattice, known = _known[token]
+        lattice, place = Lattice(model.pieces), {}
+        values = np.zeros((0, len(model.langs)))
         for batch in batches:
             langs, scores = [], []
             column = batch.column(batch.num_columns - 1)
             for start in range(0, batch.num_rows, 500):
-                texts = [Counter(WORD.findall((t or "").lower())) for t in column.slice(start, 500).to_pylist()]
-                if len(known) > 600_000:
-                    known.clear()
-                new = list({w for t in texts for w in t if w not in known})
-                if new and own.langs:
-                    known.update(zip(new, own.word_scores(new, lattice), strict=True))
+                texts = [words_of(t or "") for t in column.slice(start, 500).to_pylist()]
+                if len(place) > KEPT:
+                    place.clear()
+                    values = values[:0]
+                new = list(set().union(*texts).difference(place))
+                if new and model.langs:
+                    place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+                    values = np.concatenate([values, model.word_scores(new, lattice)])
                 for words in texts:
-                    if not words or not own.langs:
+                    if not words or not model.langs:
                         langs.append("und")
                         scores.append(0.0)
                         continue
                     n = np.fromiter(words.values(), float, len(words))
-                    total = n @ np.array([known[w] for w in words])
-                    mean = total / n.sum() * min(20.0, n.sum())
+                    mean = n @ values[list(map(place.__getitem__, words))] / n.sum() * min(20.0, n.sum())
                     best = int(np.argmax(mean))
-                    langs.append(own.langs[best])
+                    langs.append(model.langs[best])
                     scores.append(float(1 / np.exp(mean - mean[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
