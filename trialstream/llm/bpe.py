@@ -6,11 +6,13 @@ adds an arc c wherever an arc a that can be followed by b leaves a state; gives
 state with the arcs that b's state has at that moment; and takes b from a's state.
 The arc by which a token is read always leads to that token's own state, so the state
 is the last token. Gadgets are kept as three tables (where an arc was born, which
-state was copied, which arc was taken away and when); a transition is looked up in them
+state was copied, which arc was taken away and when), since all arcs written out would be
+a large part of the square of the vocabulary; a transition is read from them
 once and then kept in the transition table.
 
-Encoding walks over a pre-split word from state to state, the longest arc first. A prefix
-has one accepted token sequence, so a place where no arc leads on is closed for good.
+Encoding reads a pre-split word once, from left to right. A prefix has one accepted token
+sequence, so one state for each place is enough: at each place, the arcs that lead on from
+its state set the states of the places where their labels end. The word's tokens are the arcs that led to its last state.
 Decoding concatenates arc labels.
 """
 
@@ -67,13 +69,14 @@ class MergeAutomaton:
                 self.dead.add(c)
             self.born[c] = (a, b, rank)
             self.taken.setdefault((a, b), rank)
-        self.trie: dict = {}
-        for data, token in tokens.items():
+        #: By byte: the token that the bytes so far make up (-1 if none), and the bytes that go on.
+        self.trie: dict[int, tuple[int, dict]] = {}
+        for data, token in sorted(tokens.items()):
             if token not in self.dead:
                 node = self.trie
-                for byte in data:
-                    node = node.setdefault(byte, {})
-                node[-1] = token
+                for byte in data[:-1]:
+                    node = node.setdefault(byte, (-1, {}))[1]
+                node[data[-1]] = (token, node.get(data[-1], (-1, {}))[1])
 
     def _arc(self, state: int, token: int, rank: int) -> bool:
         """Whether an arc for token leaves the state of the last token before merge number rank is applied."""
@@ -98,44 +101,36 @@ class MergeAutomaton:
         key = state << 24 | token
         known = self.table.get(key)
         if known is None:
-            if len(self.table) > 4_000_000:
+            if len(self.table) > 1_000_000:
                 self.table.clear()
             known = self.table[key] = self._arc(state, token, 1 << 40)
         return known
 
-    def matches(self, data: bytes, start: int) -> list[tuple[int, int]]:
-        """Tokens that data has at start, with their ends, the longest last."""
-        out, node = [], self.trie
-        for end in range(start, len(data)):
-            node = node.get(data[end])
-            if node is None:
-                break
-            if -1 in node:
-                out.append((node[-1], end + 1))
-        return out
-
     def encode_word(self, data: bytes) -> list[int]:
         whole = self.ids.get(data)
         if whole is not None and whole not in self.dead:
-            return [whole]
-        n, path, closed, follows = len(data), [], set(), self.follows
-        stack = [(0, self.matches(data, 0))]
-        while stack:
-            start, options = stack[-1]
-            if not options:
-                closed.add(start)
-                stack.pop()
-                if path:
-                    path.pop()
-                continue
-            token, end = options.pop()
-            if end in closed or path and not follows(path[-1], token):
+            return [whole]  # an arc of the first state whose label is the word
+        n, label, table = len(data), self.label, self.table
+        state = [-1] * (n + 1)  # of each place: the token by which it is reached
+        for start in range(n):
+            at = state[start]
+            if start and at < 0:
                 continue
-            path.append(token)
-            if end == n:
-                return path
-            stack.append((end, self.matches(data, end)))
-        return []
+            node, at = self.trie, at << 24
+            for end in range(start, n):
+                found = node.get(data[end])
+                if found is None:
+                    break
+                token, node = found
+                if token >= 0 and state[end + 1] < 0:
+                    known = True if not start else table.get(at | token)
+                    if known or known is None and self.follows(state[start], token):
+                        state[end + 1] = token
+        path = []
+        while n:
+            path.append(state[n])
+            n -= len(label[state[n]])
+        return path[::-1]
 
 
 def split(text: str) -> list[str]:
@@ -146,7 +141,7 @@ def split(text: str) -> list[str]:
 class _Words(dict):
     """Encoded words as text of ids; emptied when it holds too many."""
 
-    def __init__(self, automaton: MergeAutomaton, limit: int = 400_000):
+    def __init__(self, automaton: MergeAutomaton, limit: int = 250_000):
         super().__init__()
         self.automaton, self.limit = automaton, limit
 
