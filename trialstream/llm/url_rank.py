@@ -8,6 +8,7 @@ block if the distrust is over the threshold times the trust.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,9 @@ _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 @dataclass(frozen=True)
 class RankConfig:
     damping: float = 0.85
-    iterations: int = 12
-    #: Iterations after which ranks are written and read again.
+    #: Steps end when the ranks of all hosts together change by less than this from one written state to the next.
+    tolerance: float = 1e-6
+    #: Steps after which ranks are written and read again.
     write_every: int = 4
     #: Distrust over this many times the trust blocks a host.
     threshold: float = 1.0
@@ -57,37 +59,43 @@ def host_links(pages: DataFrame, host: Column, html_column: str) -> DataFrame:
 
 
 def personalised_rank(links: DataFrame, seeds: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
-    """(host, rank) of hosts that the seeds' mass reaches. links: (src, dst, n); seeds: (host, seed), whose sum is 1.
+    """(host, rank) of hosts that the seeds' mass reaches; ranks sum to 1. links: (src, dst, n); seeds: (host, seed), whose sum is 1.
 
-    A host passes its rank on in proportion to n; what hosts without links would pass on is lost, which scales all ranks of its seeds' alike.
+    A host passes its rank on in proportion to n, and one without links to the seeds. Giving that mass back to the seeds only scales
+    all ranks by one factor, so it is left out of the steps, and the sum is put right at the end. Steps go on until nothing
+    changes by more than the tolerance; the change shrinks by the damping factor with each.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     shares = written(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
     restart = seeds.select("host", ((1 - config.damping) * F.col("seed")).alias("rank"))
-    ranks = written(seeds.select("host", F.col("seed").alias("rank")), "ranks")
-    if shares.isEmpty():
-        return ranks
-    for i in range(config.iterations):
-        moved = ranks.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (config.damping * F.col("rank") * F.col("share")).alias("rank"))
-        ranks = moved.unionByName(restart).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if (i + 1) % config.write_every == 0:
-            ranks = written(ranks, "ranks")
-    return ranks
+    ranks = written(restart, "ranks")
+    change = 0.0 if shares.isEmpty() else math.inf
+    while change > config.tolerance:
+        last = ranks
+        for _ in range(config.write_every):
+            moved = ranks.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (config.damping * F.col("rank") * F.col("share")).alias("rank"))
+            ranks = moved.unionByName(restart).groupBy("host").agg(F.sum("rank").alias("rank"))
+        ranks = written(ranks, "ranks")
+        # ranks grow from step to step, so the sums' difference is the sum of all differences
+        before, after = (df.agg(F.sum("rank")).first()[0] or 0.0 for df in (last, ranks))
+        change = (after - before) / after if after else 0.0
+    total = ranks.agg(F.sum("rank")).first()[0]
+    return ranks.select("host", (F.col("rank") / F.lit(total or 1.0)).alias("rank"))
 
 
 def judge(pages: DataFrame, config: RankConfig = RankConfig(), rules=RULES, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """id_column, host, path, rule, verdict, trust, distrust of every row of pages.
 
     A url that is null or without `://` has an empty host and path, fits no rule and is allowed, as is one whose
-    host neither trust nor distrust reaches. Repeated rows stay.
+    host neither trust nor distrust reaches. Repeated rows stay. Links are read from whole pages; null pages have none.
     """
     shared_dir(pages.sparkSession)
     host, path = host_and_path(F.col(url_column))
     rows = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    marks = written(rows.where("host != ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")), "marks")
-    total = marks.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    marks = written(rows.where("host != ''").groupBy("host").agg(F.count("*").alias("rows"), F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")), "marks")
+    total = marks.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("rows").alias("rows")).first()
     links = written(host_links(pages, host, html_column), "host-links")
     ranks = []
     for column, edges in (("good", links), ("bad", links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
@@ -95,6 +103,9 @@ def judge(pages: DataFrame, config: RankConfig = RankConfig(), rules=RULES, *, i
         ranks.append(personalised_rank(edges, seeds, config))
     both = ranks[0].select("host", F.col("rank").alias("trust")).join(ranks[1].select("host", F.col("rank").alias("distrust")), "host", "full")
     both = written(both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "trust")
-    own = rows.join(both, "host", "left")
+    # hosts with over a thousandth of the rows, a thousand at most, are broadcast, so that none of them is one task's
+    hot = both.join(marks.where(F.col("rows") > (total["rows"] or 0) / 1000).select("host"), "host").withColumn("hot", F.lit(True))
+    first = rows.join(F.broadcast(hot), "host", "left")
+    own = first.where("hot").drop("hot").unionByName(first.where("hot is null").select(*rows.columns).join(both, "host", "left"))
     by_host = F.when(F.col("distrust") > config.threshold * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
     return own.select(F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
