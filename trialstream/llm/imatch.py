@@ -3,8 +3,8 @@
 A term is a word, kept as its hash of 64 bits. The lexicon holds the terms whose inverse document
 frequency, counted by word, lies in a band. Each randomised lexicon is a subset of it, of one of several sizes;
 a text's value under it is the hash of its distinct terms there, sorted. The fingerprint is the
-row of these values. The likeness of two texts is the share of equal values among the lexicons in
-which either has a term.
+row of these values; that of a text without a term in any of them comes from the hash of the whole text. The likeness of
+two texts is the share of equal values among the lexicons in which either has a term.
 """
 
 from __future__ import annotations
@@ -71,9 +71,12 @@ def _part(level: int, k: int):
 
 
 def with_values(df: DataFrame, text: Column, name: str, buckets: DataFrame, config: LexiconConfig = LexiconConfig()) -> DataFrame:
-    """df with name: the text's value under each randomised lexicon, 0 where it has no term there. buckets: the lexicon."""
+    """df with name: the text's value under each randomised lexicon, 0 where it has no term there. buckets: the lexicon.
+
+    Without a term in any lexicon, the values are hashes of the text. df has no column that starts with an underscore, but those of with_next, or is called buckets.
+    """
     kept = df.columns
-    out = df.join(F.broadcast(buckets)).withColumn("_terms", F.array_distinct(F.transform(words(text), term))).withColumn("_terms", F.filter("_terms", _inside(F.col("buckets")))).drop("buckets")
+    out = df.withColumn("_text", F.xxhash64(text)).join(F.broadcast(buckets)).withColumn("_terms", F.array_distinct(F.transform(words(text), term))).withColumn("_terms", F.filter("_terms", _inside(F.col("buckets")))).drop("buckets")
     # one hash of each term decides its lexicons; sorted, so that equal sets have equal values
     out = out.withColumn("_0", F.array_sort(F.transform("_terms", lambda t: F.xxhash64(t)))).drop("_terms")
     level, last, lexicons = 0, ["_0"], []
@@ -83,7 +86,8 @@ def with_values(df: DataFrame, text: Column, name: str, buckets: DataFrame, conf
         last = list(parts)
         lexicons += last
     values = [F.when(F.size(c) > 0, F.xxhash64(c, F.lit(i)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")) for i, c in enumerate(lexicons)]
-    return out.select(*kept, F.array(*values).alias(name))
+    none = F.array(*[F.xxhash64(F.col("_text"), F.lit(i)).bitwiseOR(F.lit(1)) for i in range(len(lexicons))])
+    return out.withColumn("_values", F.array(*values)).select(*kept, F.when(F.exists("_values", lambda v: v != 0), F.col("_values")).otherwise(none).alias(name))
 
 
 def as_text(own: Column) -> Column:
@@ -103,7 +107,8 @@ def with_next(docs: DataFrame, order_column: str, columns: list[str], derive=lam
     """derive(docs) with next_<c> for each of columns: its value in the next row by descending order_column, after the last that of the first.
 
     Nulls come last; ties follow the other columns of docs. Rows are dealt to ranges of order_column; each range also gets
-    the first row of the range below, so that no range is read by two tasks and no task reads all rows. derive adds columns to rows.
+    the first row of the range below, so that no range is read by two tasks and no task reads all rows. Values of types other than
+    numbers are dealt by their first six bytes; null ids share one range. derive adds columns to rows.
     """
     spark = docs.sparkSession
     n = docs.count()
@@ -111,7 +116,7 @@ def with_next(docs: DataFrame, order_column: str, columns: list[str], derive=lam
         rows = derive(docs)
         return rows.select("*", *[rows[c].alias(f"next_{c}") for c in columns])
     ranges = min(10_000, max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 100_000))
-    order = F.coalesce(F.col(order_column).cast("double"), F.lit(float("-inf")))
+    order = F.coalesce(_as_number(docs, order_column), F.lit(float("-inf")))
     edges = sorted({e for e in docs.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0]})
     kept = docs.withColumn("_range", F.coalesce(F.call_function("array_size", F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= order)), F.lit(0)) if len(edges) < 32 else _range_of(order, edges)).withColumn("_copy", F.lit(0))
     key = [F.col(order_column).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in docs.columns if c != order_column]]
@@ -126,6 +131,14 @@ def with_next(docs: DataFrame, order_column: str, columns: list[str], derive=lam
     return both.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns]).where("_copy = 0").drop("_range", "_copy")
 
 
+def _as_number(docs: DataFrame, column: str) -> Column:
+    """A number for each value that doesn't part with the values' order."""
+    if isinstance(docs.schema[column].dataType, T.NumericType):
+        return F.col(column).cast("double")
+    first = F.rpad(F.hex(F.substring(F.col(column).cast("string").cast("binary"), 1, 6)), 12, "0")
+    return F.conv(first, 16, 10).cast("double")
+
+
 def _range_of(order: Column, edges: list[float]) -> Column:
     """How many edges are at most order, by halving."""
     if not edges:
@@ -145,10 +158,17 @@ def _range_of(order: Column, edges: list[float]) -> Column:
 
 
 def fingerprint(docs: DataFrame, config: LexiconConfig = LexiconConfig(), *, text_column: str = "text") -> DataFrame:
-    """docs with values (array of long) and fingerprint (string) of every whole text; null counts as empty. Names must be free."""
+    """docs with values (array of long) and fingerprint (string) of every whole text; null counts as empty.
+
+    Columns of docs with these two names are replaced; repeated rows stay and have equal values.
+    """
+    shared_dir(docs.sparkSession)
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     buckets = written(lexicon(docs, text_column, config), "lexicon")
-    out = with_values(docs, F.coalesce(F.col(text_column).cast("string"), F.lit("")), "values", buckets, config)
-    return out.withColumn("fingerprint", as_text(F.col("values")))
+    kept = [c for c in docs.columns if c not in ("values", "fingerprint")]
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), text.alias("own_text"))
+    out = with_values(rows, F.col("own_text"), "values", buckets, config)
+    return out.select("row.*", "values", as_text(F.col("values")).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, config: LexiconConfig = LexiconConfig(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
