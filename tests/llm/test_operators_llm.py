@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -52,6 +53,47 @@ def test_line_break_between_inline_elements():
     assert html_mss.main_text("<p><b>foo</b>\n<i>bar</i></p>\n<p>b<i>a</i>z</p>", html_mss.Weights()) == "foo bar baz"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div style="overflow:hidden"><article><p>all of the text</p></article></div>', "all of the text"),
+        ('<p>see <a href="/hidden-falls">the falls</a> now</p>', "see the falls now"),
+        ('<div class="layout has-sidebar"><article><p>the text</p></article></div>', "the text"),
+        ('<div class="elementor widget"><article><p>the text</p></article></div>', "the text"),
+        ("<html><head><title>x</title><meta charset=a><body><p>the body text</p></body>", "the body text"),
+        ("<article><p>before</p><svg/><p>after it</p></article>", "before after it"),
+        ("<article><p>before</p><svg><title>icon</title><path/></svg><p>after it</p></article>", "before after it"),
+        ("<main><p>" + "one two three " * 9 + "</p><nav>" + "<a href=x>link</a> " * 20 + "</nav><p>" + "six seven " * 9 + "</p></main>", ("one two three " * 9 + "six seven " * 9).strip()),
+        ("<p>main</p><p>article</p>", "main article"),
+        ('<article><p>good text of the page</p><div class="comments"><article class="comment"><p>bad comment</p></article></div></article>', "good text of the page"),
+        ("<div class=sidebar><p>other things</p></div><article><p>the text here</p></article>", "the text here"),
+        ("<section id=discussion><p>We discuss results.</p></section>", "We discuss results."),
+        ("<article><p>teaser</p></article><div><p>the long text of this page is here, in a block of its own</p></div>", "the long text of this page is here, in a block of its own"),
+        ("<ul><li>a one<li>b two</ul>", "a one b two"),
+        ("<figure><img src=x><figcaption>a caption</figcaption></figure><p>text here</p>", "a caption text here"),
+        ('<p title="a>b">kept text</p>', "kept text"),
+        ("<p>a <b><i>x</b> y</i> z", "a x y z"),
+        ("a < b and c > d &lt;i&gt;", "a < b and c > d <i>"),
+        ("<p>x</p><a href='", "x"),
+    ],
+)
+def test_main_text_of_common_markup(page, text):
+    assert html_mss.main_text(page, html_mss.Weights()) == text
+
+
+def test_long_malformed_pages_take_one_pass():
+    for page in ("<a " * 350_000, '<a href="' * 100_000, "<" * 10**6, "<b>" * 50_000 + "<div>" * 50_000 + "</b>" * 50_000, "<![CDATA[" * 100_000):
+        began = time.process_time()
+        html_mss.main_text(page, html_mss.Weights())
+        assert time.process_time() - began < 10
+
+
+def test_html_extra_columns_and_long_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + "word " * 100_000, "t", 5), (None, None, None, None, None)], "page_id bigint, url string, html string, text string, n_chars int")
+    out = html_mss.extract(pages, html_mss.learn_weights(pages.limit(0)), keep=("page_id", "text", "n_chars")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in out) == [(0, 0), (1, 499_999)]
+
+
 def test_best_region_matches_brute_force():
     rng = random.Random(1)
     for _ in range(200):
@@ -126,13 +168,56 @@ def test_language_id(spark):
     train = spark.createDataFrame([*rows, (98, "the", None), (99, None, "aa")], "doc_id bigint, text string, lang string")
     model = langid.fit(train, langid.read_pieces(tokenizer_path("piece_bpe_32k.model")))
     assert model.langs == ["aa", "bb", "cc"] and np.allclose(model.probs.sum(axis=0), 1)
-    texts = ["the with that", "nicht und werden", "dans avec les", None, "", "12 !?", "ß" * 90]
-    out = {r["doc_id"]: r for r in langid.predict(docs_of(spark, texts), model, keep=(F.col("id"),)).collect()} if False else {r["doc_id"]: r for r in langid.predict(docs_of(spark, texts).select("doc_id", "text"), model).collect()}
+    texts = ["the with that", "nicht und werden", "dans avec les", None, "", "12 !? ½²Ⅷ①", "ß" * 90]
+    out = {r["doc_id"]: r for r in langid.predict(docs_of(spark, texts).select("doc_id", "text"), model).collect()}
     assert [out[i]["lang_pred"] for i in range(6)] == ["aa", "bb", "cc", "und", "und", "und"] and all(0 <= r["score"] <= 1 for r in out.values())
     empty = langid.fit(train.limit(0), ["a"])
     assert {r["lang_pred"] for r in langid.predict(train, empty).collect()} == {"und"}
 
 
+def test_only_letters_make_words():
+    assert langid.words_of("½ ² Ⅷ ① 12 _") == {} and langid.words_of("a½b Ab ab") == {"a": 1, "b": 1, "ab": 2}
+
+
+def test_sums_of_long_words_and_pieces(spark):
+    """Pieces of any length and words of any length, against sums of logarithms; one step of expectation against the same."""
+    rng = np.random.default_rng(3)
+    pieces = ["a", "b", "ab", "▁", "abababababab", "babababababababab"]
+    lattice, probs = langid.Lattice(pieces), rng.random((7, 1)) * 1e-4
+    place = {p: i for i, p in enumerate(pieces)}
+    words = ["ab", "ab" * 400, "abababababab" * 30 + "c", "x" * 50]
+
+    def sums(word):
+        out = np.full(len(word) + 1, -np.inf)
+        out[0] = 0
+        for j in range(1, len(word) + 1):
+            for n in range(1, min(17, j) + 1):
+                k = place.get(word[j - n : j], 6 if n == 1 else None)
+                if k is not None:
+                    out[j] = np.logaddexp(out[j], out[j - n] + np.log(probs[k, 0]))
+        return out
+
+    got = langid.LanguageModel(["x"], pieces, probs).word_scores(words, lattice)[:, 0]
+    assert np.allclose(got, [sums("▁" + w)[-1] for w in words])
+    want = np.zeros(7)
+    for w in words:
+        text = "▁" + w
+        up, down = sums(text), np.full(len(text) + 1, -np.inf)
+        down[-1] = 0
+        for i in range(len(text) - 1, -1, -1):
+            for n in range(1, min(17, len(text) - i) + 1):
+                k = place.get(text[i : i + n], 6 if n == 1 else None)
+                if k is not None:
+                    down[i] = np.logaddexp(down[i], down[i + n] + np.log(probs[k, 0]))
+        for i in range(len(text)):
+            for n in range(1, min(17, len(text) - i) + 1):
+                k = place.get(text[i : i + n], 6 if n == 1 else None)
+                if k is not None:
+                    want[k] += np.exp(up[i] + np.log(probs[k, 0]) + down[i + n] - up[-1])
+    counts = spark.createDataFrame([("x", w, 1) for w in words], "lang string, word string, n bigint")
+    assert np.allclose(langid.expected_counts(counts, ["x"], pieces, probs)[:, 0], want)
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["a", "ab", "b", "ba", "▁", "▁a"]
     lattice = langid.Lattice(pieces)
@@ -367,19 +452,34 @@ def test_distrust_flows_against_links(spark):
 
 
 def test_personalised_rank_matches_power_iteration(spark):
-    edges = [("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "a", 2)]
+    edges = [("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "a", 2), ("c", "end", 1)]
     config = url_rank.RankConfig()
     got = {r["host"]: r["rank"] for r in url_rank.personalised_rank(spark.createDataFrame(edges, "src string, dst string, n bigint"), spark.createDataFrame([("a", 1.0)], "host string, seed double"), config).collect()}
     total = defaultdict(int)
     for s, _, n in edges:
         total[s] += n
     rank = {"a": 1.0}
-    for _ in range(config.iterations):
+    for _ in range(300):
         new = defaultdict(float, {"a": 1 - config.damping})
         for s, d, n in edges:
             new[d] += config.damping * rank.get(s, 0) * n / total[s]
+        new["a"] += config.damping * sum(r for h, r in rank.items() if h not in total)  # hosts without links give back to the seeds
         rank = new
-    assert got == pytest.approx(dict(rank))
+    assert got == pytest.approx(dict(rank), abs=1e-5) and sum(got.values()) == pytest.approx(1)
+
+
+def test_rank_reaches_along_long_paths(spark):
+    """A chain of 30 hosts that ends without a link."""
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(30)], "src string, dst string, n bigint")
+    got = {r["host"]: r["rank"] for r in url_rank.personalised_rank(edges, spark.createDataFrame([("h0", 1.0)], "host string, seed double")).collect()}
+    power = [0.85**i for i in range(31)]
+    assert got == pytest.approx({f"h{i}": p / sum(power) for i, p in enumerate(power)}, abs=1e-5)
+
+
+def test_one_host_with_most_pages(spark):
+    rows = [(i, "http://big.net/x", None) for i in range(500)] + [(1000 + i, f"http://h{i}.org/", None) for i in range(3)] + [(2000, "http://b.com/de/", '<a href="http://big.net/">x</a>'), (2001, "http://big.net/", '<a href="http://b.com/">y</a>')]
+    got = {r["page_id"]: r["verdict"] for r in url_rank.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[0] == "block" and got[1001] == "allow"
 
 
 # --- 9 -------------------------------------------------------------------------------------------
@@ -454,6 +554,22 @@ def test_fingerprint_keeps_rows(spark):
     assert len(got) == 3 and got[0]["fingerprint"] == got[1]["fingerprint"]
 
 
+def test_texts_without_terms_differ(spark):
+    got = {r["doc_id"]: r for r in imatch.edited_fingerprints(docs_of(spark, ["lonely", "single", "single", "", None])).collect()}
+    assert got[1]["near_next"] == 0 and got[2]["near_next"] == 1 and got[4]["near_next"] == 1
+    assert len({got[i]["fingerprint"] for i in range(5)}) == 3
+
+
+def test_fingerprints_of_named_ids(spark):
+    """Ids that are strings, in their own order, and columns with the names of results."""
+    docs = spark.createDataFrame([(f"doc{i:04}", f"text {i} of many", "v", "f") for i in range(50)], "doc_id string, text string, values string, fingerprint string")
+    got = {r["doc_id"]: r for r in imatch.edited_fingerprints(docs).collect()}
+    for i in range(1, 50):
+        t, u = f"text {i} of many", f"text {i - 1} of many"
+        assert got[f"doc{i:04}"]["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()
+    assert imatch.fingerprint(docs).columns == ["doc_id", "text", "values", "fingerprint"]
+
+
 def test_lexicon_counts_whole_words(spark):
     """Rare words stay outside and words of the band inside, also with millions of words in the corpus."""
     band = [f"band{i}" for i in range(64)]
