@@ -2,18 +2,16 @@
 
 A seed is a window of tokens of which a fixed mask ignores some places, so that a
 substituted token in an ignored place doesn't change its hash. Hashes of the benchmark's
-windows are joined with those of all windows of every text, block by block of the benchmark;
-around each hit, the two texts are aligned without gaps and the overlap is grown while
-enough tokens agree.
+windows are joined with those of the windows of every text; of these, a bit table of the benchmark's hashes, of fixed size,
+leaves out nearly all that match nothing before the join. For each text and item with equal hashes, the two are aligned
+without gaps at each of them and the overlap is grown while enough tokens agree.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +33,10 @@ class SeedConfig:
     #: Share of agreeing tokens in the whole overlap, and in each run of check_tokens within it.
     min_agreement: float = 0.75
     check_tokens: int = 10
-    #: Tokens of the benchmark whose seeds a task holds at once; a larger benchmark is searched in blocks.
-    block_tokens: int = 500_000
+    #: Each mask's bit table has 2 ** table_bits bits.
+    table_bits: int = 22
+    #: Seeds of the benchmark that are broadcast at most; more are joined by a shuffle.
+    broadcast_seeds: int = 500_000
 
 
 def token_codes(text: str, known: dict[str, int]) -> np.ndarray:
@@ -47,7 +47,7 @@ def token_codes(text: str, known: dict[str, int]) -> np.ndarray:
     try:
         return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     except KeyError:
-        if len(known) > 1_000_000:
+        if len(known) > 150_000:
             known.clear()
         for token in tokens:
             if token not in known:
@@ -89,140 +89,185 @@ def grow(a: np.ndarray, b: np.ndarray, start: int, end: int, config: SeedConfig)
     return start, end, int(same[start:end].sum())
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, config: SeedConfig = SeedConfig(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """(doc, item, start, end, item_start, agree, span) for every verified overlap, in tokens; the longest for each document and item.
+def _masks(config: SeedConfig) -> list[str]:
+    """The masks, and those of items that are shorter than all of them: they are compared whole."""
+    return [*config.masks, *("1" * n for n in range(1, min(map(len, config.masks))))]
+
+
+def _item_seeds(items: DataFrame, masks: list[str], config: SeedConfig) -> DataFrame:
+    """(mask, h, key, q): the seeds of (key, text) of the benchmark and their places."""
+    least = min(map(len, config.masks))
 
-    Null or empty texts and items have no overlap. Items shorter than every mask are compared whole.
-    Repeated rows of one document id count as one. A block of the benchmark, of bounded size, goes to each task.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    kept = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string"))
-    own = items.where(F.col(item_text_column).isNotNull()).select(F.col(item_column).alias("item"), F.col(item_text_column).cast("string").alias("text"))
-    total = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / 5 / config.block_tokens))
-    kinds = docs.schema[id_column].dataType.simpleString(), items.schema[item_column].dataType.simpleString()
-    schema = f"doc {kinds[0]}, item {kinds[1]}, start int, end int, item_start int, agree int, span int"
-    out = []
-    for k in range(blocks):
-        block = [(r["item"], r["text"]) for r in own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
-        out.append(kept.mapInArrow(_search(block, config, docs.select(id_column).schema, items.select(item_column).schema), schema))
-    found = reduce(DataFrame.unionByName, out)
-    return found.groupBy("doc", "item").agg(F.max_by(F.struct("start", "end", "item_start", "agree", "span"), F.struct("span", "agree", -F.col("start"), -F.col("item_start"))).alias("best")).select("doc", "item", "best.*")
-
-
-def _search(block: list[tuple], config: SeedConfig, id_schema, item_schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        coded = [(item, token_codes(text, known)) for item, text in block]
-        masks = [m for m in config.masks if any(len(c) >= len(m) for _, c in coded)]
-        short = sorted({len(c) for _, c in coded if 0 < len(c) < min(map(len, config.masks))})
-        masks += ["1" * n for n in short]
-        tables = []
-        for mask in masks:
-            keys, where = [], []
-            for i, (_, codes) in enumerate(coded):
-                if len(mask) < min(map(len, config.masks)) and len(codes) != len(mask):
-                    continue
-                h = seed_hashes(codes, mask)
-                keys.append(h)
-                where.append(np.stack([np.full(len(h), i), np.arange(len(h))], 1))
-            keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            where = np.concatenate(where) if where else np.zeros((0, 2), int)
-            order = np.argsort(keys, kind="stable")
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(keys >> np.uint64(44)).astype(np.int64)] = True
-            tables.append((mask, keys[order], where[order], sieve))
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            ids: list = []
-            texts: list[np.ndarray] = []
-            held = 0
-
-            def search() -> None:
-                for doc, overlap in _overlaps(texts, coded, tables, config):
-                    for column, x in zip(rows, (ids[doc], *overlap), strict=True):
+            out: list[list] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = token_codes(text.as_py(), known)
+                for m, mask in enumerate(masks):
+                    if len(mask) < least and len(codes) != len(mask):
+                        continue
+                    h = seed_hashes(codes, mask).view(np.int64)
+                    for column, x in zip(out, (np.full(len(h), m), h, np.full(len(h), key), np.arange(len(h))), strict=True):
                         column.append(x)
-                ids.clear()
-                texts.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["mask", "h", "item_key", "q"])
+
+    return items.select("item_key", "text").mapInArrow(run, "mask bigint, h bigint, item_key bigint, q bigint")
+
+
+def _text_seeds(texts: DataFrame, masks: list[str], tables: dict[int, np.ndarray], config: SeedConfig) -> DataFrame:
+    """(key, key2, mask, h, p): the seeds of (key, key2, text) that the bit tables leave. Many texts are hashed at once."""
+    shift = np.uint64(64 - config.table_bits)
 
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(id_)
-                texts.append(token_codes(text.as_py() or "", known))
+    def search(keys: list[tuple], texts: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([len(t) for t in texts])
+        joined = np.concatenate([np.zeros(0, np.uint64), *texts])
+        out: list[list] = [[] for _ in range(4)]
+        for m, mask in enumerate(masks):
+            if m not in tables:
+                continue
+            h = seed_hashes(joined, mask)
+            bits = h >> shift
+            near = np.flatnonzero(tables[m][(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8) & 1)
+            doc = np.searchsorted(ends, near, "right")
+            whole = near + len(mask) <= ends[doc]
+            near, doc = near[whole], doc[whole]
+            starts = ends - [len(t) for t in texts]
+            for column, x in zip(out, (doc, np.full(len(near), m), h[near].view(np.int64), near - starts[doc]), strict=True):
+                column.append(x)
+        doc, *rest = (np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in out)
+        own = np.array(keys, np.int64).reshape(-1, 2)[doc]
+        return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), *map(pa.array, rest)], ["key", "key2", "mask", "h", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            keys: list[tuple] = []
+            texts: list[np.ndarray] = []
+            held = 0
+            for key, key2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                keys.append((key, key2))
+                texts.append(token_codes(text.as_py(), known))
                 held += len(texts[-1])
                 if held > 300_000:
-                    search()
-                    held = 0
-            search()
-            kinds = [batch.schema.field(0).type, None, *[pa.int32()] * 5]
-            arrays = [pa.array(c, k) if k is not None else pa.array(c) for c, k in zip(rows, kinds, strict=True)]
-            if len(rows[1]):
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "item", "start", "end", "item_start", "agree", "span"])
-
-    return run
-
-
-def _overlaps(texts: list[np.ndarray], coded: list, tables: list, config: SeedConfig) -> Iterator[tuple[int, tuple]]:
-    """(text number, overlap) of verified overlaps, the longest of each text and item. All texts are hashed at once."""
-    if not texts:
-        return
-    ends = np.cumsum([len(t) for t in texts])
-    joined = np.concatenate(texts)
-    best: dict[tuple[int, int], tuple] = {}
+                    yield search(keys, texts)
+                    keys, texts, held = [], [], 0
+            if texts:
+                yield search(keys, texts)
+
+    return texts.select("key", "key2", "text").mapInArrow(run, "key bigint, key2 bigint, mask bigint, h bigint, p bigint")
+
+
+def longest_overlap(codes: np.ndarray, other: np.ndarray, hits: list[tuple[str, int, int]], config: SeedConfig) -> tuple[int, ...] | None:
+    """(start, end, item start, agreeing tokens, span) of the longest overlap that grows from the hits (mask, place, place in the item); None if none is long enough.
+
+    Of equal ones, that with most agreeing tokens, then that which starts first.
+    """
     # by diagonal: how many tokens differ up to each place, and the seeds grown so far. What a seed grows to depends only on
     # the runs of equal tokens that its two ends lie in, so one seed for each pair of runs stands for all.
-    grown: dict[tuple[int, int, int], tuple[np.ndarray, set]] = {}
-    for mask, keys, where, sieve in tables:
-        h = seed_hashes(joined, mask)
-        if not len(h) or not len(keys):
+    grown: dict[int, tuple[np.ndarray, set]] = {}
+    best = None
+    for mask, p, q in hits:
+        shift = p - q
+        a0, a1 = max(0, shift), min(len(codes), shift + len(other))
+        here, there = codes[a0:a1], other[a0 - shift : a1 - shift]
+        if shift not in grown:
+            grown[shift] = np.cumsum(here != there), set()
+        runs, seeds = grown[shift]
+        seed = (int(runs[p - a0]), int(runs[p - a0 + len(mask) - 1])) if mask[0] == mask[-1] == "1" else (mask, p)
+        if seed in seeds:
             continue
-        near = np.flatnonzero(sieve[(h >> np.uint64(44)).astype(np.int64)])
-        left = np.searchsorted(keys, h[near], "left")
-        right = np.searchsorted(keys, h[near], "right")
-        found = right > left
-        for at, lo, hi in zip(near[found].tolist(), left[found].tolist(), right[found].tolist(), strict=True):
-            doc = int(np.searchsorted(ends, at, "right"))
-            if at + len(mask) > ends[doc]:
-                continue
-            codes = texts[doc]
-            p = at - (int(ends[doc]) - len(codes))
-            for item, q in where[lo:hi].tolist():
-                shift = p - q
-                other = coded[item][1]
-                a0, a1 = max(0, shift), min(len(codes), shift + len(other))
-                here, there = codes[a0:a1], other[a0 - shift : a1 - shift]
-                if (doc, item, shift) not in grown:
-                    grown[doc, item, shift] = np.cumsum(here != there), set()
-                runs, seeds = grown[doc, item, shift]
-                seed = (int(runs[p - a0]), int(runs[p - a0 + len(mask) - 1])) if mask[0] == mask[-1] == "1" else (mask, p)
-                if seed in seeds:
-                    continue
-                seeds.add(seed)
-                start, end, agree = grow(here, there, p - a0, p - a0 + len(mask), config)
-                span = end - start
-                if span >= min(config.min_tokens, len(other)) and agree >= config.min_agreement * span:
-                    row = (a0 + start, a0 + end, a0 + start - shift, agree, span)
-                    if (doc, item) not in best or (span, agree) > (best[doc, item][4], best[doc, item][3]):
-                        best[doc, item] = row
-    for (doc, item), row in best.items():
-        yield doc, (coded[item][0], *row)
-
-
-def contamination(docs: DataFrame, items: DataFrame, config: SeedConfig = SeedConfig(), *, id_column: str = "doc_id", **columns: str) -> DataFrame:
+        seeds.add(seed)
+        start, end, agree = grow(here, there, p - a0, p - a0 + len(mask), config)
+        span = end - start
+        if span >= min(config.min_tokens, len(other)) and agree >= config.min_agreement * span:
+            row = (a0 + start, a0 + end, a0 + start - shift, agree, span)
+            if best is None or (span, agree, -row[0], -row[2]) > (best[4], best[3], -best[0], -best[2]):
+                best = row
+    return best
+
+
+def _verified(pairs: DataFrame, masks: list[str], config: SeedConfig) -> DataFrame:
+    """(key, key2, item_key, start, end, item_start, agree, span) of (key, key2, item_key, hits, text, item_text) with an overlap that is long enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        last, codes = None, None
+        for batch in batches:
+            rows = []
+            for key, key2, item, hits, text, item_text in zip(*(batch.column(i) for i in range(6)), strict=True):
+                own = key.as_py(), key2.as_py()
+                if own != last:
+                    last, codes = own, token_codes(text.as_py(), known)
+                found = longest_overlap(codes, token_codes(item_text.as_py(), known), [(masks[h["mask"]], h["p"], h["q"]) for h in hits.as_py()], config)
+                if found:
+                    rows.append((*own, item.as_py(), *found))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "key2", "item_key", "start", "end", "item_start", "agree", "span"])
+
+    return pairs.select("key", "key2", "item_key", "hits", "text", "item_text").mapInArrow(run, "key bigint, key2 bigint, item_key bigint, start int, end int, item_start int, agree int, span int")
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """docs as a struct row, with two hashes of the id and the text: rows with equal ones share their marks."""
+    own = [docs[id_column].cast("string"), docs[text_column].cast("string")]
+    row = F.struct(*[docs[c] for c in docs.columns])
+    return docs.select(row.alias("row"), docs[text_column].cast("string").alias("text"), F.xxhash64(*own).alias("key"), F.xxhash64(F.lit(1), *own).alias("key2"))
+
+
+def _overlaps(keyed: DataFrame, items: DataFrame, config: SeedConfig, item_column: str, item_text_column: str) -> DataFrame:
+    """(key, key2, item, start, end, item_start, agree, span): the longest verified overlap of each text and item."""
+    spark = keyed.sparkSession
+    ship(spark)
+    own = items.select(items[item_column].alias("item"), items[item_text_column].cast("string").alias("text")).where("text != ''").withColumn("item_key", F.xxhash64(F.col("item").cast("string"), "text"))
+    own = written(own.dropDuplicates(["item_key"]), "items")
+    masks = _masks(config)
+    seeds = written(_item_seeds(own, masks, config), "item-seeds")
+    # at most 2 ** table_bits numbers for each mask, however large the benchmark is, and each as one bit
+    found = seeds.select("mask", F.shiftrightunsigned("h", 64 - config.table_bits).alias("b")).distinct().toPandas()
+    tables: dict[int, np.ndarray] = {}
+    for m, own_bits in found.groupby("mask")["b"]:
+        bits = np.zeros(1 << config.table_bits, bool)
+        bits[own_bits.to_numpy(np.int64)] = True
+        tables[int(m)] = np.packbits(bits, bitorder="little")
+    texts = keyed.where("text != ''")
+    if seeds.count() <= config.broadcast_seeds:
+        seeds = F.broadcast(seeds)
+    hits = _text_seeds(texts, masks, tables, config).join(seeds, ["mask", "h"])
+    hits = written(hits.groupBy("key", "key2", "item_key").agg(F.sort_array(F.collect_set(F.struct("mask", "p", "q"))).alias("hits")), "hits")
+    wanted = hits.select("key", "key2").distinct()
+    one = texts.select("key", "key2", "text").join(wanted, ["key", "key2"], "left_semi").groupBy("key", "key2").agg(F.first("text").alias("text"))
+    pairs = hits.join(one, ["key", "key2"]).join(own.select("item_key", F.col("text").alias("item_text")), "item_key")
+    return _verified(pairs, masks, config).join(own.select("item_key", "item"), "item_key").drop("item_key")
+
+
+def find_overlaps(docs: DataFrame, items: DataFrame, config: SeedConfig = SeedConfig(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """(doc, item, start, end, item_start, agree, span) for every verified overlap, in tokens; the longest for each row of docs and item.
+
+    Null or empty texts and items have no overlap. Items shorter than every mask are compared whole. Repeated rows of docs repeat here, with null ids too.
+    """
+    keyed = _keyed(docs, id_column, text_column)
+    found = written(_overlaps(keyed, items, config, item_column, item_text_column), "overlaps")
+    return keyed.select(F.col("row")[id_column].alias("doc"), "key", "key2").join(found, ["key", "key2"]).drop("key", "key2")
+
+
+def contamination(docs: DataFrame, items: DataFrame, config: SeedConfig = SeedConfig(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """One row for each row of docs: id_column, contaminated, n_items, longest (tokens), item_ids (sorted).
 
-    Ids that repeat or are null keep their rows; null ids are never marked.
+    Rows whose ids repeat or are null are judged by their own text. Null and empty texts are clean; without items, all are.
     """
-    found = written(find_overlaps(docs, items, config, id_column=id_column, **columns), "overlaps")
-    marks = found.groupBy("doc").agg(F.count("*").alias("n_items"), F.max("span").alias("longest"), F.sort_array(F.collect_set("item")).alias("item_ids"))
-    kept = docs.select(id_column)
+    keyed = _keyed(docs, id_column, text_column)
+    found = written(_overlaps(keyed, items, config, item_column, item_text_column), "overlaps")
+    marks = found.groupBy("key", "key2").agg(F.count("*").alias("n_items"), F.max("span").alias("longest"), F.sort_array(F.collect_set("item")).alias("item_ids"))
     empty = F.array().cast(marks.schema["item_ids"].dataType)
-    return kept.join(marks, kept[id_column] == marks["doc"], "left").select(
-        id_column, F.col("doc").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("item_ids", empty).alias("item_ids")
+    return keyed.select(F.col("row")[id_column].alias(id_column), "key", "key2").join(marks, ["key", "key2"], "left").select(
+        id_column, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("item_ids", empty).alias("item_ids")
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, config: SeedConfig = SeedConfig(), *, id_column: str = "doc_id", **columns: str) -> DataFrame:
-    """Rows of docs without a verified overlap, with all their columns."""
-    found = written(find_overlaps(docs, items, config, id_column=id_column, **columns).select("doc").distinct(), "overlaps")
-    return docs.join(found, docs[id_column] == found["doc"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, config: SeedConfig = SeedConfig(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """Rows of docs without a verified overlap, with all their columns; rows with null ids too are judged by their own text, and null texts stay."""
+    keyed = _keyed(docs, id_column, text_column)
+    found = written(_overlaps(keyed, items, config, item_column, item_text_column).select("key", "key2").distinct(), "overlaps")
+    return keyed.join(found, ["key", "key2"], "left_anti").select("row.*")
