@@ -493,7 +493,7 @@ def test_decontamination(spark):
         swap[k] = "other"
     texts = [prose(rng, 60), prose(rng, 30) + " " + items[0].upper() + " " + prose(rng, 30), " ".join(swap), "; ".join(items[1].split()), items[3], None, "", " ".join(items[0].split()[:7]) + " " + prose(rng, 20), prose(rng, 40000) + " " + items[2]]
     bench = spark.createDataFrame([*enumerate(items), (8, None), (9, "")], "item_id bigint, text string")
-    for config in (decontam.SeedConfig(), decontam.SeedConfig(block_tokens=10)):
+    for config in (decontam.SeedConfig(), decontam.SeedConfig(broadcast_seeds=0, table_bits=4)):
         got = {r["doc_id"]: r for r in decontam.contamination(docs_of(spark, texts), bench, config).collect()}
         assert [got[i]["contaminated"] for i in range(9)] == [False, True, True, True, True, False, False, False, True]
         assert [got[i]["item_ids"] for i in (1, 2, 3, 4, 8)] == [[0], [0], [1], [3], [2]] and got[1]["longest"] == 40
@@ -501,6 +501,28 @@ def test_decontamination(spark):
     assert decontam.contamination(docs_of(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = docs_of(spark, [item, "fine words", item, "other", None], [None, None, 5, 5, 6])
+    bench = spark.createDataFrame([(1, item), (1, item), (2, "fine"), (None, "tiny item")], "item_id bigint, text string")
+    got = sorted(((r["doc_id"] or 0), r["contaminated"], r["n_items"]) for r in decontam.contamination(docs, bench).collect())
+    assert got == [(0, True, 1), (0, True, 1), (5, False, 0), (5, True, 1), (6, False, 0)]
+    kept = decontam.clean(docs.withColumn("doc", F.lit(1)).withColumn("key2", F.lit("x")), bench)
+    assert sorted(r["text"] or "" for r in kept.collect()) == ["", "other"] and kept.columns[-2:] == ["doc", "key2"]
+
+
+def test_recall_under_substitutions(spark):
+    """Passages of 40 tokens in which a share of the tokens, chosen at random, is replaced."""
+    rng = random.Random(12)
+    items = [prose(rng, 40) for _ in range(60)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")
+    caught = {}
+    for share in (0.0, 0.05, 0.1, 0.15):
+        texts = [prose(rng, 50) + " " + " ".join("swap" if rng.random() < share else w for w in item.split()) + " " + prose(rng, 50) for item in items]
+        caught[share] = decontam.contamination(docs_of(spark, texts), bench).where("contaminated").count() / 60
+    assert caught[0.0] == caught[0.05] == 1 and caught[0.1] >= 0.98 and caught[0.15] >= 0.9
+
+
 def test_overlaps_match_brute_force(spark):
     """The longest overlap of all hits of all masks, also where close misses part stretches of one diagonal."""
     rng, config = random.Random(1), decontam.SeedConfig()
