@@ -9,8 +9,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
+#: Whole texts are large rows: so many of them are a few MB, where the usual 10,000 would be 100 MB in each of a task's buffers.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if where is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if where is None:
         where = getattr(context, "_trialstream_dir", None)
         if where is None:
@@ -44,8 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once for each Spark context."""
+    """Make this package importable in Python workers, once for each Spark context; rows with texts go to them in batches of BATCH_ROWS at most."""
     context = spark.sparkContext
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
     if getattr(context, "_trialstream_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="trialstream-"), "trialstream_code.zip")
@@ -56,6 +64,17 @@ def ship(spark: SparkSession) -> None:
     context._trialstream_shipped = True
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of side, which has one row for each key and how many rows have it, n (dropped); rows without a match stay.
+
+    Keys that over a thousandth of all rows (total) have, a thousand keys at most, are broadcast, so that no task gets one of them whole.
+    """
+    one = side.drop("n")
+    hot = F.broadcast(side.where(F.col("n") > total / 1000).drop("n").withColumn("_hot", F.lit(True)))
+    first = rows.join(hot, key, "left")
+    return first.where("_hot").drop("_hot").unionByName(first.where("_hot is null").select(*rows.columns).join(one, key, "left"))
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers

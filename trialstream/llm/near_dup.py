@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import join_hot, ship, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -268,7 +268,7 @@ def link_documents(docs: DataFrame, config: NearDupConfig = NearDupConfig(), *,
     ship(spark)
     rows = written(sketches(docs, config, id_column, text_column), "sketches")
     sets = rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    classes = sets.groupBy("digest").agg(F.min("id").alias("node"))
+    classes = sets.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     # what a class needs comes from the row of its smallest id
     heads = sets.join(classes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("node"))).groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     heads = written(heads, "classes")
@@ -299,8 +299,8 @@ def link_documents(docs: DataFrame, config: NearDupConfig = NearDupConfig(), *,
         more = confirmed(_similar_pairs(rest, config))
         if not more.isEmpty():
             labels = written(connected_components(links.unionByName(more)), "labels")
-    merged = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
-    out = rows.where("digest is not null and id is not null").join(merged, "digest", "left").select("id", "n", "component")
+    merged = written(classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"), F.col("copies").alias("n")), "merged")
+    out = join_hot(sets.select("digest", "id", F.col("n").alias("size")), merged, "digest", rows.count()).select("id", F.col("size").alias("n"), "component")
     rest = rows.where("digest is null or id is null").select("id", "n", F.col("id").alias("component"))
     return out.unionByName(rest).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 

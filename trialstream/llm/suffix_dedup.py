@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import join_hot, ship, written
 
 
 @dataclass(frozen=True)
@@ -404,9 +404,9 @@ def repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), *, text_colu
     others = [docs[c] for c in docs.columns if c != text_column]
     keyed = docs.select(_key([*others, docs[text_column]])[0].alias("key"), _struct(others).alias("row"), F.col(text_column).cast("string").alias("text"))
     long = keyed.where(F.octet_length("text") >= config.length)
-    found = anchor_grams(long.select("key", "text"), config)
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    grams = found.join(again, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    found = written(anchor_grams(long.select("key", "text"), config), "anchors")
+    again = written(found.groupBy("gram").agg(F.count("*").alias("n"), F.lit(True).alias("again")).where("n > 1"), "recurring")
+    grams = join_hot(found, again, "gram", found.count()).where("again").groupBy("key").agg(F.collect_set("gram").alias("grams"))
     texts = written(with_spots(long.join(grams, "key").select(F.monotonically_increasing_id().alias("rid"), "row", "text", "grams"), config), "anchored")
     total = texts.agg(F.sum(F.size("spots"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 300 // config.range_bytes))
@@ -451,42 +451,47 @@ def _splitters(texts: DataFrame, total: int, parts: int, config: RepeatConfig) -
     return [sample[i * len(sample) // parts] for i in range(1, parts)] if len(sample) >= parts else sample[1:]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(whole_characters: bool):
     """(row, text, spans) to (row, n_bytes, n_removed, n_spans, kept)."""
-    for batch in batches:
-        sizes, removed, counts, kept = [], [], [], []
-        for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = text.as_buffer().to_pybytes()
-            out, place, gone, runs = [], 0, 0, 0
-            stop = -1
-            for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
-                if a > stop:
-                    runs += 1
-                    out.append(data[place:a])
-                    gone += b - a
-                    place = stop = b
-                elif b > stop:
-                    gone += b - stop
-                    place = stop = b
-            out.append(data[place:])
-            sizes.append(len(data))
-            removed.append(gone)
-            counts.append(runs)
-            kept.append(b"".join(out))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), *, text_column: str = "text", digest: bool = False) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, removed, counts, kept = [], [], [], []
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = text.as_buffer().to_pybytes()
+                merged: list[list[int]] = []
+                for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
+                    if whole_characters:  # a byte 10xxxxxx isn't the first of its character
+                        while data[a] & 0xC0 == 0x80:
+                            a -= 1
+                        while b < len(data) and data[b] & 0xC0 == 0x80:
+                            b += 1
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                edges = [0, *(x for span in merged for x in span), len(data)]
+                sizes.append(len(data))
+                removed.append(sum(b - a for a, b in merged))
+                counts.append(len(merged))
+                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), *, text_column: str = "text", digest: bool = False, whole_characters: bool = False) -> DataFrame:
     """For every row of docs: row (a struct of docs' columns but text_column), n_bytes, n_removed, n_spans (removed runs) and
     kept (the remaining bytes; null for a null text), or kept_sha256 in place of kept if digest is set.
 
     A byte goes if a string of config.length bytes covers it that starts anywhere else too, in the same text
-    or another. Null texts count as empty. Repeated rows are copies of each other.
+    or another. Null texts count as empty. Repeated rows are copies of each other. With whole_characters, a character
+    of which a byte goes is removed whole, so what is kept is text.
     """
     texts, spans = repeats(docs, config, text_column=text_column)
     others = [docs[c] for c in docs.columns if c != text_column]
     row_type = texts.schema["row"].dataType.simpleString()
-    cut = texts.join(spans, "rid").select("row", "text", "spans").mapInArrow(_cut, f"row {row_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    cut = texts.join(spans, "rid").select("row", "text", "spans").mapInArrow(_cutter(whole_characters), f"row {row_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     if digest:
         cut = cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
     text = F.col(text_column).cast("string")
@@ -495,8 +500,3 @@ def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), *, te
     plain = docs.select(_struct(others).alias("row"), F.octet_length(data).cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256") if digest else text.cast("binary").alias("kept"), *_key([*others, docs[text_column]]))
     gone = texts.join(spans.select("rid"), "rid").select(*_key([*([F.col("row")[c] for c in docs.columns if c != text_column]), F.col("text")])).distinct()
     return plain.join(gone, ["key", "key2"], "left_anti").drop("key", "key2").unionByName(cut)
-
-
-def whole_characters(kept: Column) -> Column:
-    """The kept bytes as text, without the bytes of characters that a cut divided."""
-    return F.replace(F.decode(F.call_function("make_valid_utf8", kept.cast("string")).cast("binary"), "UTF-8"), F.lit("\ufffd"), F.lit(""))

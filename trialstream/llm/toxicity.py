@@ -80,7 +80,7 @@ def normal(token: str) -> str:
 class Units(dict):
     """The string of each white-space token, kept by token; empty if it has fewer than ORDER letters."""
 
-    LIMIT = 250_000
+    LIMIT = 150_000
 
     def __missing__(self, token: str) -> str:
         if len(self) > self.LIMIT:
