@@ -376,8 +376,11 @@ def test_loser_tree_merges():
 
 
 def test_whole_characters(spark):
-    cut = spark.createDataFrame([(bytearray("aé".encode()[:2] + b"b"),), (bytearray("é漢".encode()),), (None,)], "k binary").select(suffix_dedup.whole_characters(F.col("k")).alias("t"))
-    assert [r["t"] for r in cut.collect()] == ["ab", "é漢", None]
+    """A character that a cut divides goes whole; one that stands for a lost one stays if no cut meets it."""
+    shared = "z".join(map(str, range(100)))
+    texts = ["a\u00e9" + shared + "\u6f22b", "c\u0169" + shared + "\u6f23d", "lost \ufffd stays", None]  # the pairs share their last byte and their first two
+    out = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(docs_of(spark, texts), whole_characters=True).select("row.doc_id", "kept").collect()}
+    assert out[0].decode() == "ab" and out[1].decode() == "cd" and out[2].decode() == texts[2] and out[3] is None
 
 
 # --- 7 -------------------------------------------------------------------------------------------
