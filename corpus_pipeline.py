@@ -21,9 +21,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 200-byte strings that occur more than once; a character that a cut divides goes too."""
-    cut = suffix_dedup.remove_repeats(docs)
-    kept = suffix_dedup.whole_characters(F.col("kept"))
+    """Documents without the 200-byte strings that occur more than once; a character that a cut divides goes too. Null texts stay null."""
+    cut = suffix_dedup.remove_repeats(docs, whole_characters=True)
+    kept = F.col("kept").cast("string")
     return cut.select(*[(kept if c == "text" else F.length(kept).cast("bigint") if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
