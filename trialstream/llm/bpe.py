@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import released, ship
 
 _WHITE = r" \t\n\x0b\x0c\r"
 #: The public pattern that splits text before merging; for ASCII text, for text up to U+024F, and for any text.
@@ -171,6 +171,11 @@ class Codec:
         self.at_special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.labels = {str(i): b for b, i in vocab.items()} | {str(i): t.encode() for t, i in special.items()}
 
+    def forget(self) -> None:
+        """Empty what is kept of words and transitions."""
+        self.words.clear()
+        self.automaton.table.clear()
+
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by commas."""
         if self.at_special is None or not self.at_special.search(text):
@@ -213,8 +218,10 @@ def encode_decode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text
         raise ValueError(f"keep may hold ids and decoded, not {sorted(unknown)}")
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {extra[c][0]}" for c in keep)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        own.forget()
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             coded, back = [], []
@@ -234,5 +241,6 @@ def encode_decode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string()), *(pa.array(more[c], extra[c][1]) for c in keep)],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256", *keep],
             )
+        own.forget()
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_column)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +68,23 @@ def ship(spark: SparkSession) -> None:
     context._trialstream_shipped = True
 
 
+def released(run):
+    """A function over Arrow batches that gives freed memory back to the system when it ends: Python workers outlive their tasks."""
+
+    @wraps(run)
+    def until_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return until_the_end
+
+
 def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
     """rows with the columns of side, which has one row for each key and how many rows have it, n (dropped); rows without a match stay.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import released, ship, written
 
 TOKEN = re.compile(r"\w+")
 #: Masks over token windows: 1 is read, 0 ignored.
@@ -98,6 +98,7 @@ def _item_seeds(items: DataFrame, masks: list[str], config: SeedConfig) -> DataF
     """(mask, h, key, q): the seeds of (key, text) of the benchmark and their places."""
     least = min(map(len, config.masks))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
@@ -139,6 +140,7 @@ def _text_seeds(texts: DataFrame, masks: list[str], tables: dict[int, np.ndarray
         own = np.array(keys, np.int64).reshape(-1, 2)[doc]
         return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), *map(pa.array, rest)], ["key", "key2", "mask", "h", "p"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
@@ -190,6 +192,7 @@ def longest_overlap(codes: np.ndarray, other: np.ndarray, hits: list[tuple[str,
 def _verified(pairs: DataFrame, masks: list[str], config: SeedConfig) -> DataFrame:
     """(key, key2, item_key, start, end, item_start, agree, span) of (key, key2, item_key, hits, text, item_text) with an overlap that is long enough."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         last, codes = None, None

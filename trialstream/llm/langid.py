@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import released, ship, written
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -153,6 +153,7 @@ class LanguageModel:
 def word_counts(docs: DataFrame, text_column: str, lang_column: str) -> DataFrame:
     """(lang, word, n) over whole texts, words in lower case; counted in each batch before the exchange."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, Counter] = {}
@@ -171,6 +172,7 @@ def expected_counts(counts: DataFrame, langs: list[str], pieces: list[str], prob
     What comes to the driver is at most a row for each piece and language.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, column = Lattice(pieces), {lang: i for i, lang in enumerate(langs)}
         total = np.zeros((lattice.size, len(langs)))
@@ -224,6 +226,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id",
     ship(docs.sparkSession)
     kept = docs.select(F.col(id_column).alias("id"), *keep, F.col(text_column).cast("string").alias("_text"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, place = Lattice(model.pieces), {}
         values = np.zeros((0, len(model.langs)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, ship, written
+from .common import join_hot, released, ship, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,6 +120,7 @@ def sketches(docs: DataFrame, config: NearDupConfig, id_column: str, text_column
     """(id, n, digest, bands, sig) of every row; digest and what follows are null without shingles."""
     kind = docs.schema[id_column].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -148,6 +149,7 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, config: NearDupConfig) -> DataFra
     kind = pairs.schema["a"].dataType.simpleString()
     steps = least_matches(config.bands * config.rows, config.batch, config.percent, config.miss)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -167,6 +169,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> Dat
     """Pairs (a, b) whose full shingle sets are similar enough."""
     kind = pairs.schema["a"].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, last, other = WordCodes(), None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -194,6 +197,7 @@ def _similar_pairs(rest: DataFrame, config: NearDupConfig) -> DataFrame:
     """
     kind = rest.schema["node"].dataType.simpleString()
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:
@@ -207,6 +211,7 @@ def _similar_pairs(rest: DataFrame, config: NearDupConfig) -> DataFrame:
     by_key = np.argsort(keys)
     keys, counts = keys[by_key], np.array([r["n"] for r in often], np.int64)[by_key]
 
+    @released
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, ship, written
+from .common import join_hot, released, ship, written
 
 
 @dataclass(frozen=True)
@@ -114,6 +114,7 @@ def anchor_grams(docs: DataFrame, config: RepeatConfig) -> DataFrame:
         gram, at, _, _ = anchors(b"".join(parts), ends, config)
         return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[np.searchsorted(ends, at, "right")]), pa.array(gram.view(np.int64))], ["key", "gram"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[int] = []
@@ -137,6 +138,7 @@ def with_spots(texts: DataFrame, config: RepeatConfig) -> DataFrame:
     """texts with their column grams, which comes last, replaced by spots: anchor, first and last window of each anchor with one of the grams."""
     names = texts.columns[:-1]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spots = []
@@ -314,6 +316,7 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes], config: RepeatConfig)
             if a < b:
                 yield part, front_code(entries[a:b])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[bytes, int], int] = {}
         size = 0
@@ -374,6 +377,7 @@ def merged_repeats(runs: DataFrame, parts: int, config: RepeatConfig) -> DataFra
         if strings:
             yield from solve()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, list[bytes]] = {}
         for batch in batches:
@@ -413,6 +417,7 @@ def repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), *, text_colu
     splitters = _splitters(texts, total, parts, config)
     merged = written(merged_repeats(sorted_runs(texts, splitters, config), parts, config), "repeats")
 
+    @released
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, digests, at = [], [], []
@@ -435,6 +440,7 @@ def _splitters(texts: DataFrame, total: int, parts: int, config: RepeatConfig) -
     """Strings of anchor length that cut the suffixes into about equal ranges, from a bounded sample of 64 for each range."""
     every = max(1, total // (64 * parts))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
         for batch in batches:
@@ -454,6 +460,7 @@ def _splitters(texts: DataFrame, total: int, parts: int, config: RepeatConfig) -
 def _cutter(whole_characters: bool):
     """(row, text, spans) to (row, n_bytes, n_removed, n_spans, kept)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, counts, kept = [], [], [], []

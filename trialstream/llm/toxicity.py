@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import released, ship, written
 
 ORDER = 3
 DECAY = 0.75
@@ -284,6 +284,7 @@ def copy_group(text: str) -> int:
 def string_groups(docs: DataFrame, text_column: str) -> DataFrame:
     """(string, pos): in how many copy groups of docs each string occurs; the string null stands for all groups."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units()
         for batch in batches:
@@ -310,6 +311,7 @@ def evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
 def string_counts(docs: DataFrame, text_column: str, label_column: str) -> DataFrame:
     """(string, pos, neg): in how many rows of each label each string occurs."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units()
         for batch in batches:
@@ -416,6 +418,7 @@ def fit(docs: DataFrame, config: TrainingConfig = TrainingConfig(), *, text_colu
 
 
 def _mine(strings_df: DataFrame, model: ToxicityModel, limit: int) -> list[str]:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
@@ -431,12 +434,16 @@ def _mine(strings_df: DataFrame, model: ToxicityModel, limit: int) -> list[str]:
 def _calibrate(model: ToxicityModel, toxic: DataFrame, clean: DataFrame) -> ToxicityModel:
     """Place the score by the decision values of all labelled texts; near copies of a toxic text and copies of a clean one count once."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = _valued(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([copy_group(t.as_py() or "") for t in batch.column(0)], pa.int64()), *batch.columns[::-1]], ["copies", *batch.schema.names[::-1]])
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([copy_group(t or "") for t in texts], pa.int64()), pa.array(values(texts), pa.float64())], ["copies", "value"])
 
-    grouped = toxic.select("text", "label").mapInArrow(run, "copies bigint, label int, text string")
-    both = [decision_values(own, model, "text").groupBy("copies", "label").agg(F.max("value").alias("value")) for own in (grouped, clean.select(F.xxhash64("text").alias("copies"), "label", "text"))]
+    grouped = toxic.select("text").mapInArrow(run, "copies bigint, value double").withColumn("label", F.lit(1))
+    single = decision_values(clean.select(F.xxhash64("text").alias("copies"), "text"), model, "text").withColumn("label", F.lit(0))
+    both = [own.groupBy("copies", "label").agg(F.max("value").alias("value")) for own in (grouped, single)]
     bins = both[0].unionByName(both[1]).groupBy(F.round(F.greatest("value", F.lit(-5.0)) * 20).alias("value"), "label").agg(F.count("*").alias("n")).collect()
     counts: dict[float, list[int]] = {}
     for r in bins:
@@ -484,6 +491,7 @@ def decision_values(docs: DataFrame, model: ToxicityModel, text_column: str) ->
     others = [c for c in docs.columns if c != text_column]
     kept = docs.select(*others, F.col(text_column).cast("string"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = _valued(model)
         for batch in batches:
@@ -513,6 +521,7 @@ def reject(docs: DataFrame, model: ToxicityModel, *, text_column: str = "text",
     ship(docs.sparkSession)
     at = docs.columns.index(text_column)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = _valued(model)
         for batch in batches:
