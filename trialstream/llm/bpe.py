@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -101,7 +102,7 @@ class MergeAutomaton:
         key = state << 24 | token
         known = self.table.get(key)
         if known is None:
-            if len(self.table) > 1_000_000:
+            if len(self.table) > 300_000:
                 self.table.clear()
             known = self.table[key] = self._arc(state, token, 1 << 40)
         return known
@@ -141,7 +142,7 @@ def split(text: str) -> list[str]:
 class _Words(dict):
     """Encoded words as text of ids; emptied when it holds too many."""
 
-    def __init__(self, automaton: MergeAutomaton, limit: int = 250_000):
+    def __init__(self, automaton: MergeAutomaton, limit: int = 120_000):
         super().__init__()
         self.automaton, self.limit = automaton, limit
 
@@ -171,11 +172,6 @@ class Codec:
         self.at_special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.labels = {str(i): b for b, i in vocab.items()} | {str(i): t.encode() for t, i in special.items()}
 
-    def forget(self) -> None:
-        """Empty what is kept of words and transitions."""
-        self.words.clear()
-        self.automaton.table.clear()
-
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by commas."""
         if self.at_special is None or not self.at_special.search(text):
@@ -193,16 +189,6 @@ class Codec:
         return b"".join(map(self.labels.__getitem__, ids.split(","))) if ids else b""
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    """The codec of a vocabulary file, compiled once in each Python worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
-
-
 def encode_decode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode every text and decode it again.
 
@@ -212,16 +198,15 @@ def encode_decode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
-    extra = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    extra = {"ids": "array<int>", "decoded": "string"}
     unknown = set(keep) - set(extra)
     if unknown:
         raise ValueError(f"keep may hold ids and decoded, not {sorted(unknown)}")
-    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {extra[c][0]}" for c in keep)
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {extra[c]}" for c in keep)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        own.forget()
+        own = Codec(path)  # half a second for a task, and no memory after it
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             coded, back = [], []
@@ -233,14 +218,15 @@ def encode_decode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text
                 ids_digest.append(digest(ids.encode()))
                 text_digest.append(digest(data))
                 if "ids" in keep:
-                    coded.append(list(map(int, ids.split(","))) if ids else [])
+                    coded.append(np.array(ids.split(",") if ids else [], np.int32))
                 if "decoded" in keep:
                     back.append(data.decode("utf-8", "replace"))
-            more = {"ids": coded, "decoded": back}
+            ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *coded])))
+            more = {"ids": lists, "decoded": pa.array(back, pa.string())}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string()), *(pa.array(more[c], extra[c][1]) for c in keep)],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string()), *(more[c] for c in keep)],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256", *keep],
             )
-        own.forget()
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
