@@ -230,3 +230,11 @@ def test_scan_and_write(spark, tmp_path):
     assert got.columns == ["v", "idx", "_source", "_table", "_index"] and got.count() == 10 and got.select("_source").distinct().count() == 2
     S.write_table(df, f"{tmp_path}/out.csv")
     assert spark.read.csv(f"{tmp_path}/out.csv", header=True).count() == 5
+
+
+def test_tree_paths_go_down_to_every_node_or_fail(spark):
+    edges = spark.createDataFrame([(0, None), *((i, i - 1) for i in range(1, 6))], "node int, parent int")
+    got = {r["node"]: r["path"] for r in J.tree_paths(edges, node="node", parent="parent", max_depth=5).collect()}
+    assert got == {i: list(range(i + 1)) for i in range(6)}
+    with pytest.raises(Exception, match="deeper than max_depth"):
+        J.tree_paths(edges, node="node", parent="parent", max_depth=4).collect()

@@ -152,13 +152,14 @@ def ancestor_division(nodes: DataFrame, divisions: DataFrame, *, node: str, path
 
 
 def tree_paths(edges: DataFrame, *, node: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """(node, path): ids from the root, whose parent is null, down to each node."""
+    """(node, path): ids from the root, whose parent is null, down to each node. A node deeper than max_depth is an error."""
     view = f"edges_{abs(hash((node, parent))) % 10**9}"
     edges.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
     return edges.sparkSession.sql(f"""
         WITH RECURSIVE tree(node, path, depth) AS (
             SELECT node, array(node), 0 FROM {view} WHERE parent IS NULL
             UNION ALL
-            SELECT e.node, concat(t.path, array(e.node)), t.depth + 1 FROM tree t JOIN {view} e ON e.parent = t.node WHERE t.depth < {max_depth}
+            SELECT e.node, concat(t.path, array(e.node)), IF(t.depth >= {max_depth}, raise_error('tree_paths: a node lies deeper than max_depth'), t.depth + 1)
+            FROM tree t JOIN {view} e ON e.parent = t.node
         ) SELECT node AS {node}, path FROM tree""")
 
