@@ -71,14 +71,15 @@ def _part(level: int, k: int):
 
 
 def with_values(df: DataFrame, text: Column, name: str, buckets: DataFrame, config: LexiconConfig = LexiconConfig()) -> DataFrame:
-    """df with name: the text's value under each randomised lexicon, 0 where it has no term there. buckets: the lexicon.
+    """df with name: the text's value under each randomised lexicon, 0 where it has no term there. buckets: the lexicon, a scalar subquery here, so that no row carries it.
 
-    Without a term in any lexicon, the values are hashes of the text. df has no column that starts with an underscore, but those of with_next, or is called buckets.
+    Without a term in any lexicon, the values are hashes of the text. df has no column that starts with an underscore, but those of with_next.
     """
     kept = df.columns
-    out = df.withColumn("_text", F.xxhash64(text)).join(F.broadcast(buckets)).withColumn("_terms", F.array_distinct(F.transform(words(text), term))).withColumn("_terms", F.filter("_terms", _inside(F.col("buckets")))).drop("buckets")
+    out = df.select("*", F.xxhash64(text).alias("_text"), F.transform(words(text), term).alias("_words"), buckets.scalar().alias("_lexicon"))
+    out = out.select(*kept, "_text", F.filter("_words", _inside(F.col("_lexicon"))).alias("_terms"))
     # one hash of each term decides its lexicons; sorted, so that equal sets have equal values
-    out = out.withColumn("_0", F.array_sort(F.transform("_terms", lambda t: F.xxhash64(t)))).drop("_terms")
+    out = out.withColumn("_0", F.sort_array(F.transform("_terms", lambda t: F.xxhash64(t)))).drop("_terms")
     level, last, lexicons = 0, ["_0"], []
     for level, n in enumerate(config.branches):
         parts = {f"{parent}{k}": F.filter(parent, _part(level, k)) for parent in last for k in range(n)}
