@@ -548,10 +548,13 @@ def bootstrap_intervals(spark, sf_dir):
     return I.bootstrap_mean(subject_scores(spark, sf_dir), by=["segment"], unit="subject", value="v", seed=7, resamples=500).select("segment", "n", *r("mean", "ci_low", "ci_high", digits=5))
 
 
-@query(f"""WITH {_SUBJ}, a AS (SELECT segment, list(v ORDER BY subject) AS vs, abs(sum(v)) AS seen, count(*) AS n FROM sm WHERE subject < 11 GROUP BY 1), f AS (SELECT segment, n, seen, list_sum(list_transform(range(len(vs)), lambda i: CASE WHEN (flip // CAST(pow(2, i) AS BIGINT)) % 2 = 1 THEN vs[i + 1] ELSE -vs[i + 1] END)) AS t FROM a JOIN (SELECT unnest(range(2048)) AS flip) ON flip < pow(2, len(vs)))
- SELECT segment, any_value(n) AS n, round(count(*) FILTER (abs(t) >= seen - 1e-9) / count(*), 6) AS p_value, 'exact' AS method FROM f GROUP BY 1""")
+@query(f"""WITH {_SUBJ}, a AS (SELECT segment, n_regionkey AS region, list(v ORDER BY subject) AS vs, abs(sum(v)) AS seen, count(*) AS n FROM sm JOIN nation ON subject = n_nationkey GROUP BY 1, 2), f AS (SELECT segment, region, n, seen, list_sum(list_transform(range(len(vs)), lambda i: CASE WHEN (flip // CAST(pow(2, i) AS BIGINT)) % 2 = 1 THEN vs[i + 1] ELSE -vs[i + 1] END)) AS t FROM a JOIN (SELECT unnest(range(1024)) AS flip) ON flip < pow(2, len(vs)))
+ SELECT segment, region, any_value(n) AS n, round(count(*) FILTER (abs(t) >= seen - 1e-9) / count(*), 6) AS p_value, 'exact' AS method FROM f GROUP BY 1, 2""")
 def sign_flip_exact(spark, sf_dir):
-    return I.sign_flip(subject_scores(spark, sf_dir).where("subject < 11"), by=["segment"], unit="subject", value="v").select("segment", "n", *r("p_value"), "method")
+    """All flips in every segment and region: a region has few subjects, so none is left out."""
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject"), F.col("n_regionkey").alias("region"))
+    scores = subject_scores(spark, sf_dir).join(regions, "subject")
+    return I.sign_flip(scores, by=["segment", "region"], unit="subject", value="v").select("segment", "region", "n", *r("p_value"), "method")
 
 
 @query(f"""WITH {_SUBJ}, a AS (SELECT segment, list(v ORDER BY subject) AS vs, count(*) AS n, abs(sum(v)) AS seen FROM sm GROUP BY 1), d AS (SELECT segment, seen, n, vs, rep FROM a CROSS JOIN (SELECT unnest(range(500)) AS rep)),
@@ -597,10 +600,10 @@ def nominated_regions(spark, sf_dir):
 
 
 def allocation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as subjects: region as a category, and numbers of their customers; ten nations."""
+    """Nations as subjects: region as a category, and numbers of their customers."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     s = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("c_nationkey").alias("nation"), F.col("n_regionkey").alias("region")).agg(F.count("*").alias("customers"), F.floor(F.avg("c_acctbal")).alias("balance"))
-    return C.subject_features(s.where("nation < 10"), subject="nation", categories=["region"], numbers=["customers", "balance"])
+    return C.subject_features(s, subject="nation", categories=["region"], numbers=["customers", "balance"])
 
 
 @query()
