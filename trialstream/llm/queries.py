@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_mss, imatch, langid, near_dup, suffix_dedup, toxicity, url_rank, warc_zst
+from . import bpe, chat_format, decontam, hard_negatives, html_mss, imatch, langid, near_dup, suffix_dedup, toxicity, url_rank, warc_zst
 from .common import table, tokenizer_path
 
 
@@ -69,10 +69,46 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), is_anchor=F.col("id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT pos.anchor_id, positive_id, row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+
+def op13_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.read_back(chat_format.examples(own.unionByName(quoted)))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+e AS (SELECT *, regexp_replace(role, '([\[<])(\\*)(/?INST\]|/s>)', '\1\\\2\3', 'g') AS er, regexp_replace(text, '([\[<])(\\*)(/?INST\]|/s>)', '\1\\\2\3', 'g') AS et FROM t),
+n AS (
+  SELECT *, sum(length(er) + length(et) + 17) OVER w AS so_far, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS from_end
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(so_far) FILTER (role = 'assistant' OR from_end = 1)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR from_end = 1) AS n_examples
+FROM n GROUP BY conv_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_main_text, op2_warc_archive, op3_bpe_round_trip, op4_language_id, op5_toxicity, op6_suffix_dedup, op7_minhash_near_dedup, op8_url_verdicts, op9_spaced_seed_decontamination, op10_imatch_fingerprints)
+    own = (op1_html_main_text, op2_warc_archive, op3_bpe_round_trip, op4_language_id, op5_toxicity, op6_suffix_dedup, op7_minhash_near_dedup, op8_url_verdicts, op9_spaced_seed_decontamination, op10_imatch_fingerprints, op12_hard_negatives, op13_prefix_targets)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_hard_negatives": OP12_SQL, "op13_prefix_targets": OP13_SQL}
