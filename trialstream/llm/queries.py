@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontam, hard_negatives, html_mss, imatch, langid, near_dup, suffix_dedup, toxicity, url_rank, warc_zst
+from . import bpe, chat_format, decontam, hard_negatives, html_mss, imatch, langid, near_dup, prefix_trie, suffix_dedup, toxicity, url_rank, warc_zst
 from .common import table, tokenizer_path
 
 
@@ -69,6 +69,41 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    return prefix_trie.trie(prefix_trie.with_shared_heads(own, 20, head, 3))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT conv_id, s, 0 AS i, 4294967295::BIGINT AS v FROM ids
+  UNION ALL
+  SELECT conv_id, s, i + 1, CASE WHEN w % 2 = 1 THEN xor(w // 2, 3988292384::BIGINT) ELSE w // 2 END
+  FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(v, ord(substr(s, i // 8 + 1, 1))::BIGINT) ELSE v END AS w FROM crc WHERE i < 8 * length(s))),
+heads AS (SELECT conv_id, xor(v, 4294967295::BIGINT) % 4 AS h FROM crc WHERE i = 8 * length(s)),
+dug AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS dg,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) AS pos FROM dug),
+both_parts AS (
+  SELECT c.conv_id, 0 AS own, pos, dg, words FROM heads c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, dg, words FROM heads c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+r AS (SELECT conv_id, words, row_number() OVER w AS depth, string_agg(dg, '') OVER w AS key FROM both_parts WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+p AS (SELECT conv_id, words, depth, key FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+long AS (SELECT conv_id, max(depth) AS turns FROM p GROUP BY 1),
+n AS (
+  SELECT depth, key, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (turns = depth), '') AS ends
+  FROM p JOIN long USING (conv_id) GROUP BY 1, 2),
+kids AS (SELECT depth - 1 AS depth, left(key, (64 * (depth - 1))::BIGINT) AS key, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1, 2),
+below AS (
+  SELECT p.depth, p.key, sum((k.n IS NULL)::BIGINT)::BIGINT AS n_leaves, sum(CASE WHEN n.depth > 0 THEN (n_convs - 1) * n.words ELSE 0 END)::BIGINT AS saved_tokens
+  FROM n LEFT JOIN kids k ON k.depth = n.depth AND k.key = n.key JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN below b ON b.depth = n.depth AND b.key = n.key LEFT JOIN kids k ON k.depth = n.depth AND k.key = n.key LEFT JOIN n u ON u.depth = n.depth - 1 AND u.key = left(n.key, (64 * (n.depth - 1))::BIGINT)"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), is_anchor=F.col("id") % 50 == 0)
@@ -106,9 +141,9 @@ FROM n GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_main_text, op2_warc_archive, op3_bpe_round_trip, op4_language_id, op5_toxicity, op6_suffix_dedup, op7_minhash_near_dedup, op8_url_verdicts, op9_spaced_seed_decontamination, op10_imatch_fingerprints, op12_hard_negatives, op13_prefix_targets)
+    own = (op1_html_main_text, op2_warc_archive, op3_bpe_round_trip, op4_language_id, op5_toxicity, op6_suffix_dedup, op7_minhash_near_dedup, op8_url_verdicts, op9_spaced_seed_decontamination, op10_imatch_fingerprints, op11_prefix_trie, op12_hard_negatives, op13_prefix_targets)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_hard_negatives": OP12_SQL, "op13_prefix_targets": OP13_SQL}
+    return {"op11_prefix_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_targets": OP13_SQL}
