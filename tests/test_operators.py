@@ -159,27 +159,6 @@ def test_allocation_matches_brute_force(spark):
     assert round(best["objective"], 9) == min(scores) and best["n_candidates"] == 35 and objective(best["members"]) == min(scores)
 
 
-def axis_rows(shift=0.0):
-    rng = np.random.default_rng(2)
-    rows = []
-    for e in range(60):
-        block = ("engaged_1", "no_reward", "engaged_2")[e // 20]
-        for u in range(5):
-            signal = {"engaged_1": 1.0, "no_reward": -1.0, "engaged_2": 1.0 + shift}[block] * (u < 2)
-            rows.append((1, e, float(e), block, u, signal + float(rng.normal(0, 0.5))))
-    return rows
-
-
-def test_axis_recovers_and_does_not_leak(spark):
-    schema = "source int, event bigint, time double, reward_block string, unit bigint, value double"
-    a, b = (M.state_axis(spark.createDataFrame(axis_rows(s), schema)).collect() for s in (0.0, 9.0))
-    score = lambda rows: {r["event"]: r["value"] for r in rows if r["kind"] == "score"}
-    weights = lambda rows: [r["value"] for r in rows if r["kind"] == "weight"]
-    assert np.allclose(weights(a), weights(b)) and all(score(a)[e] == pytest.approx(score(b)[e]) for e in range(40))
-    s = score(a)
-    assert min(s[e] for e in range(20)) > max(s[e] for e in range(20, 40))
-
-
 def test_ridge_recovers(spark):
     rng = np.random.default_rng(4)
     rows = [(1, i % 3, *map(float, x), float(2 * x[0] - x[1] + 1 + rng.normal(0, 0.05))) for i, x in enumerate(rng.normal(size=(60, 2)))]
@@ -188,19 +167,6 @@ def test_ridge_recovers(spark):
     assert got["r2"] > 0.98 and np.allclose(got["coefficients"], [1, 2, -1], atol=0.1)
 
 
-def test_network_finds_coupling(spark):
-    rng = np.random.default_rng(6)
-    rows = []
-    for g in (0, 1):
-        for i in range(90):
-            s = rng.normal(size=4)
-            y = (s[:2] * 2 if g else np.zeros(2)) + rng.normal(size=2) * 0.5
-            rows.append((g, float(i), s.tolist(), [i / 90.0], y.tolist()))
-    df = spark.createDataFrame(rows, "g int, time double, source_values array<double>, base_values array<double>, target_values array<double>")
-    got = {r["g"]: r for r in M.network_pairs(df, by=["g"]).collect()}
-    assert got[1]["added_r2"] > 0.5 > got[0]["added_r2"] and got[1]["shift_added_r2"] < 0.1
-
-
 def test_contract_and_statistics(spark):
     df = spark.createDataFrame([(1, 2.0)], "id int, v double")
     assert S.project_contract(df, {"id": "bigint"}, {"flag": "boolean"}).dtypes == [("id", "bigint"), ("flag", "boolean")]

@@ -2,108 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed values of the search.
 LAMBDAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 
 
-@dataclass(frozen=True)
-class AxisConfig:
-    outer_folds: int = 5
-    inner_folds: int = 3
-    lambdas: tuple[float, ...] = LAMBDAS
-    min_trials: int = 5
-
-
-def _balanced_fit(x: np.ndarray, y: np.ndarray, lam: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept in raw units of a class-balanced ridge whose class means are at +-0.5."""
-    w = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
-    mean = w @ x
-    scale = np.sqrt(np.maximum(w @ (x - mean) ** 2, 0))
-    scale[scale < 1e-12] = 1
-    z = (x - mean) / scale
-    # the dual is the smaller system when there are more units than trials
-    root = np.sqrt(w)[:, None]
-    a, b = z * root, y * root[:, 0]
-    if len(z) < z.shape[1]:
-        beta = a.T @ np.linalg.solve(a @ a.T + lam / len(z) * np.eye(len(z)), b)
-    else:
-        beta = np.linalg.solve(a.T @ a + lam / len(z) * np.eye(z.shape[1]), a.T @ b)
-    s = z @ beta
-    high, low = s[y > 0].mean(), s[y < 0].mean()
-    gain = 1 / (high - low) if high - low > 1e-12 else 0.0
-    raw = beta / scale * gain
-    return raw, float(-gain * (high + low) / 2 - mean @ raw)
-
-
-def _folds(y: np.ndarray, n: int) -> np.ndarray:
-    """Contiguous folds within each class of rows in time order."""
-    out = np.zeros(len(y), int)
-    for sign in (1, -1):
-        for k, rows in enumerate(np.array_split(np.flatnonzero(y * sign > 0), n)):
-            out[rows] = k
-    return out
-
-
-def _choose(x: np.ndarray, y: np.ndarray, config: AxisConfig) -> float:
-    fold = _folds(y, config.inner_folds)
-    errors = []
-    for lam in config.lambdas:
-        e = np.zeros(len(y))
-        for k in range(config.inner_folds):
-            w, c = _balanced_fit(x[fold != k], y[fold != k], lam)
-            e[fold == k] = (x[fold == k] @ w + c - y[fold == k]) ** 2
-        errors.append(e[y > 0].mean() + e[y < 0].mean())
-    return config.lambdas[int(np.argmin(errors))]
-
-
-def state_axis(features: DataFrame, config: AxisConfig = AxisConfig(), *, source: str = "source", event: str = "event", time: str = "time", block: str = "reward_block", unit: str = "unit", value: str = "value") -> DataFrame:
-    """Long rows (source, kind, event, unit, value): scores of events by a ridge that tells engaged_1 from no_reward, and its weights.
-
-    kind: score (out of fold for the two training blocks, transfer for engaged_2, which the fit never sees), weight and intercept (raw
-    units), lambda. A session's matrix of trials by units goes to one task; sessions with too few trials or one unit have no rows.
-    """
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        name = rows[source].iloc[0]
-        table = rows.pivot_table(index=[time, event, block], columns=unit, values=value, aggfunc="mean").sort_index().fillna(0.0)
-        x, blocks, events = table.to_numpy(float), table.index.get_level_values(2).to_numpy(), table.index.get_level_values(1).to_numpy()
-        y = np.where(blocks == "engaged_1", 0.5, np.where(blocks == "no_reward", -0.5, 0.0))
-        train = y != 0
-        out: list[tuple] = []
-        if min((y > 0).sum(), (y < 0).sum()) >= config.min_trials:
-            xt, yt = x[train], y[train]
-            fold, score = _folds(yt, config.outer_folds), np.zeros(train.sum())
-            for k in range(config.outer_folds):
-                w, c = _balanced_fit(xt[fold != k], yt[fold != k], _choose(xt[fold != k], yt[fold != k], config))
-                score[fold == k] = xt[fold == k] @ w + c
-            lam = _choose(xt, yt, config)
-            w, c = _balanced_fit(xt, yt, lam)
-            full = x @ w + c
-            full[train] = score
-            keep = np.isin(blocks, ("engaged_1", "no_reward", "engaged_2"))
-            out += [(name, "score", e, None, s) for e, s in zip(events[keep], full[keep], strict=True)]
-            out += [(name, "weight", None, u, v) for u, v in zip(table.columns, w, strict=True)]
-            out += [(name, "intercept", None, None, c), (name, "lambda", None, None, lam)]
-        frame = pd.DataFrame(out, columns=[source, "kind", event, unit, "value"])
-        return frame.astype({event: "Int64", unit: "Int64"})
-
-    kind = features.schema[source].dataType.simpleString()
-    cols = features.select(source, F.col(event).cast("bigint").alias(event), F.col(time).cast("double").alias(time), block, F.col(unit).cast("bigint").alias(unit), F.col(value).cast("double").alias(value))
-    return cols.groupBy(source).applyInPandas(fit, f"{source} {kind}, kind string, {event} bigint, {unit} bigint, value double")
-
-
-def axis_scores(features: DataFrame, weights: DataFrame, intercepts: DataFrame, *, source: str = "source", event: str = "event", unit: str = "unit", value: str = "value") -> DataFrame:
-    """(source, event, score): intercept plus the sum of weight times value over the units of a frozen axis."""
-    dot = features.join(weights.select(source, unit, F.col("value").alias("_w")), [source, unit]).groupBy(source, event).agg(F.sum(F.col(value) * F.col("_w")).alias("_s"))
-    return dot.join(intercepts.select(source, F.col("value").alias("_c")), source).select(source, event, (F.col("_s") + F.col("_c")).alias("score"))
-
-
 def model_design(trials: DataFrame, *, source: str = "source", time: str = "time", block: str = "reward_block", image: str | None = "image", images: list[str] | None = None, response: str | None = None, latency: str | None = None, default_latency: float = 0.45) -> DataFrame:
     """trials with columns x0, x1, ...: reversible, drift, standardised time, its square, an indicator per image but the first, response and latency (null filled with the session's median)."""
     from pyspark.sql.window import Window
@@ -180,83 +87,3 @@ def nested_ridge(fold_moments: DataFrame, *, by: list[str], folds: int, lambdas:
 
     kinds = ", ".join(f"{c} {fold_moments.schema[c].dataType.simpleString()}" for c in by)
     return fold_moments.groupBy(*by).applyInPandas(fit, f"{kinds}, r2 double, lam double, coefficients array<double>")
-
-
-@dataclass(frozen=True)
-class NetworkConfig:
-    folds: int = 3
-    alphas: tuple[float, ...] = (1.0, 10.0, 100.0)
-    ranks: tuple[int, ...] = (1, 2)
-    min_trials: int = 9
-
-
-def _standard(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mean, scale = train.mean(axis=0), train.std(axis=0)
-    scale[scale < 1e-9] = 1
-    return (train - mean) / scale, (test - mean) / scale
-
-
-def _ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
-    return np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ y)
-
-
-def _predict(base: np.ndarray, source: np.ndarray, target: np.ndarray, train: np.ndarray, test: np.ndarray, alpha: float, rank: int | None) -> np.ndarray:
-    """Target of test rows from base columns, and from the source's part that base doesn't explain, at reduced rank, if rank is given."""
-    bt, bv = _standard(base[train], base[test])
-    mean = target[train].mean(axis=0)
-    y = target[train] - mean
-    w = _ridge(bt, y, alpha)
-    out = mean + bv @ w
-    if rank is None:
-        return out
-    st, sv = _standard(source[train], source[test])
-    g = _ridge(bt, st, alpha)
-    st, sv = st - bt @ g, sv - bv @ g
-    c = _ridge(st, y - bt @ w, alpha)
-    _, _, vt = np.linalg.svd(st @ c, full_matrices=False)
-    keep = vt[:rank].T
-    return out + sv @ c @ keep @ keep.T
-
-
-def network_pairs(rows: DataFrame, config: NetworkConfig = NetworkConfig(), *, by: list[str], time: str = "time", source: str = "source_values", base: str = "base_values", target: str = "target_values") -> DataFrame:
-    """(by, n_trials, base_r2, added_r2, shift_added_r2, status): what a source region adds to a target's prediction, out of fold.
-
-    rows: one per trial, with arrays of the source's and the target's values and of base columns. Hyper-parameters come from inner folds; the null uses the
-    source's trials shifted by half the group, with the same ones. A failed group is a row with its status.
-    """
-
-    def r2(y: np.ndarray, fitted: np.ndarray) -> float:
-        return 1 - ((y - fitted) ** 2).sum() / max(((y - y.mean(axis=0)) ** 2).sum(), 1e-12)
-
-    def choose(b, s, y, rows) -> tuple[float, int]:
-        inner = np.array_split(rows, config.folds)
-        best = None
-        for rank in config.ranks:
-            for alpha in sorted(config.alphas, reverse=True):
-                error = sum(((y[v] - _predict(b, s, y, np.setdiff1d(rows, v), v, alpha, rank)) ** 2).sum() for v in inner)
-                if best is None or error < best[0] - 1e-12:
-                    best = (error, alpha, rank)
-        return best[1], best[2]
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        key = [frame[c].iloc[0] for c in by]
-        frame = frame.sort_values(time)
-        n = len(frame)
-        row = (n, None, None, None, "too_few_trials")
-        if n >= config.min_trials:
-            s, b, y = (np.array(frame[c].tolist(), float).reshape(n, -1) for c in (source, base, target))
-            shifted = np.roll(s, n // 2, axis=0)
-            plain, added, moved = (np.zeros_like(y) for _ in range(3))
-            for test in np.array_split(np.arange(n), config.folds):
-                train = np.setdiff1d(np.arange(n), test)
-                alpha, rank = choose(b, s, y, train)
-                plain[test] = _predict(b, s, y, train, test, alpha, None)
-                added[test] = _predict(b, s, y, train, test, alpha, rank)
-                moved[test] = _predict(b, shifted, y, train, test, alpha, rank)
-            base_r2 = r2(y, plain)
-            row = (n, base_r2, r2(y, added) - base_r2, r2(y, moved) - base_r2, "fitted")
-        return pd.DataFrame([(*key, *row)], columns=[*by, "n_trials", "base_r2", "added_r2", "shift_added_r2", "status"])
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return rows.groupBy(*by).applyInPandas(fit, f"{kinds}, n_trials bigint, base_r2 double, added_r2 double, shift_added_r2 double, status string")
-

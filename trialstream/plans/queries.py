@@ -2,42 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources as S
 from ..functions import image_contrast, image_identity, inverse_normal_sql, lick_free, lick_response, normalized_category, recording_day, stabilized
+from ..operators import axis as A
 from ..operators import blocks as B
 from ..operators import cohorts as C
 from ..operators import expect as X
 from ..operators import inference as I
 from ..operators import joins as J
 from ..operators import models as M
+from ..operators import network as N
 from ..operators import sessions as Z
+from .registry import ORACLES, QUERIES, query, r  # noqa: F401
 from .views import CONDITIONED, DAY, ESTIMATES, IMAGES, LICKS, TRIALS, UNITS, estimates, images, labelled, licks, spike_arrays, spikes, table, trials, units
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 TAIL = 5 * DAY
 CONFIG = B.BinConfig()
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r(*columns: str, digits: int = 6):
-    return [F.round(c, digits).alias(c) for c in columns]
-
-
 # --- sessions by block -------------------------------------------------------------------------
 
 _PHASE_SQL = {
@@ -622,8 +607,8 @@ def reward_state_axis(spark, sf_dir):
     """A cross-validated axis per session on features of range-joined counts."""
     events = Z.with_condition(labelled(spark, sf_dir))
     counts = J.count_in_windows(spikes(spark, sf_dir), events, by=["source"], point="t", event="change_time", windows={"before": (-43200.0, 0.0), "after": (0.0, 43200.0)}, unit=["unit"], event_key=["id", "reward_block", "change_time"])
-    f = counts.select("source", F.col("id").alias("event"), F.col("change_time").alias("time"), "reward_block", F.pmod(F.xxhash64("unit"), F.lit(1 << 20)).alias("unit"), (stabilized(F.col("after")) - stabilized(F.col("before"))).alias("value"))
-    return M.state_axis(f)
+    f = counts.select("source", F.col("id").alias("event"), F.col("change_time").alias("time"), "reward_block", "unit", (stabilized(F.col("after")) - stabilized(F.col("before"))).alias("value"))
+    return A.state_axis(f)
 
 
 @query()
@@ -636,13 +621,14 @@ def block_ridge(spark, sf_dir):
 
 @query()
 def network_pairs(spark, sf_dir):
-    """What counts of one event type add to the prediction of those of another, per session."""
-    t = Z.with_condition(labelled(spark, sf_dir))
-    counts = J.count_in_windows(spikes(spark, sf_dir), t, by=["source"], point="t", event="change_time", windows={"early": (-86400.0, 0.0), "late": (0.0, 86400.0)}, unit=["unit"], event_key=["id", "change_time"])
-    of = lambda u, w: F.max(F.when(F.col("unit") == u, F.col(w))).cast("double")
-    rows = counts.groupBy("source", F.col("change_time").alias("time"), "id").agg(F.array(of("view", "early"), of("click", "early")).alias("source_values"), F.array(F.max("change_time") / DAY, of("purchase", "early")).alias("base_values"), F.array(of("purchase", "late"), of("error", "late")).alias("target_values"))
-    fill = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.0))).alias(c)
-    return M.network_pairs(rows.select("source", "time", fill("source_values"), fill("base_values"), fill("target_values")), by=["source"])
+    """What counts of two event types add to the prediction of those of two others, per session and block."""
+    t = N.trial_covariates(Z.with_condition(labelled(spark, sf_dir)).withColumn("latency", F.when(F.col("response"), F.col("value") / 100)), by=["source"], image="event_type", latency="latency")
+    windows = {"before": (-86400.0, 0.0), "early": (0.0, 43200.0), "late": (43200.0, 86400.0)}
+    counts = J.count_in_windows(spikes(spark, sf_dir), t, by=["source"], point="t", event="change_time", windows=windows, unit=["unit"], event_key=["id", "change_time", "reward_block", "nuisance"])
+    of = lambda u, w: F.coalesce(F.max(F.when(F.col("unit") == u, stabilized(F.col(w)) - stabilized(F.col("before")))), F.lit(0.0))
+    sides = lambda w, *us: F.array(*[of(u, w) for u in us])
+    rows = counts.groupBy("source", F.col("change_time").alias("time"), "id", "reward_block").agg(sides("early", "view", "click").alias("source_values"), F.concat(F.first("nuisance"), sides("early", "purchase", "error")).alias("base_values"), sides("late", "purchase", "error").alias("target_values"))
+    return N.network_by_block(rows, N.NetworkConfig(min_units=2), by=["source"]).drop("folds")
 
 
 @query(f"""WITH {TRIALS}, w AS (SELECT source, min(CASE WHEN reward_block = 'engaged_1' THEN start_time END) AS a, max(CASE WHEN reward_block = 'engaged_1' THEN stop_time END) AS b, min(CASE WHEN reward_block = 'engaged_2' THEN start_time END) AS c, max(CASE WHEN reward_block = 'engaged_2' THEN stop_time END) - {DAY} AS d FROM labelled GROUP BY 1),
@@ -661,3 +647,5 @@ def dominant_status(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_gating(spark, sf_dir)
 
+
+from . import studies  # noqa: E402, F401  registers its own
