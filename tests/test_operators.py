@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+from fractions import Fraction
 from statistics import NormalDist
 
 import numpy as np
@@ -159,6 +161,95 @@ def test_allocation_matches_brute_force(spark):
     assert round(best["objective"], 9) == min(scores) and best["n_candidates"] == 35 and objective(best["members"]) == min(scores)
 
 
+def test_unranked_subsets():
+    for n, k in ((7, 3), (6, 6), (9, 1), (12, 5)):
+        want = list(itertools.combinations(range(n), k))
+        assert [tuple(x) for x in C.unranked(np.arange(len(want)), n, k)] == want
+
+
+def exact_allocation(rows, k, seed):
+    """(members, objective, worst, splits, ties, ties in both) over all splits, in fractions."""
+    table = {}
+    for m, fam, f, v in rows:
+        table.setdefault((fam, f), {})[m] = Fraction(int(v))
+    names, scored = sorted({r[0] for r in rows}), []
+    table = {key: t for key, t in table.items() if len(set(t.values())) > 1}
+    for inside in itertools.combinations(names, k):
+        by = {}
+        for (fam, _), t in table.items():
+            mean = sum(t.values()) / len(t)
+            d = sum(t[m] for m in inside) / k - sum(v for m, v in t.items() if m not in inside) / (len(t) - k)
+            by.setdefault(fam, []).append(d * d / (sum((v - mean) ** 2 for v in t.values()) / (len(t) - 1)))
+        scored.append((sum(sum(v) / len(v) for v in by.values()) / len(by), max(max(v) for v in by.values()), hashlib.sha256(f"{seed}|{','.join(inside)}".encode()).hexdigest(), inside))
+    best = min(scored)
+    return list(best[3]), float(best[0]), float(best[1]), len(scored), sum(x[0] == best[0] for x in scored), sum(x[:2] == best[:2] for x in scored)
+
+
+def test_allocation_is_exact_with_ties(spark):
+    rng = np.random.default_rng(8)
+    schema = "m string, family string, feature string, value bigint"
+    for n, k, top in ((8, 3, 2), (9, 4, 10**9), (6, 2, 2)):
+        rows = [(f"m{i:02d}", fam, f"{fam}{j}", int(rng.integers(0, top))) for i in range(n) for fam, j in (("a", 0), ("a", 1), ("b", 0), ("c", 0))]
+        rows += [(f"m{i:02d}", "c", "constant", 4) for i in range(n)]
+        for batch in (1 << 14, 5):
+            got = C.allocate(spark.createDataFrame(rows, schema), C.AllocationConfig(confirmation=k, batch=batch), subject="m").first()
+            members, objective, worst, *counts = exact_allocation(rows, k, "20240101")
+            assert got["members"] == members and [got["n_candidates"], got["n_tied"], got["n_tied_twice"]] == counts
+            assert got["objective"] == pytest.approx(objective, abs=1e-11) and got["worst"] == pytest.approx(worst, abs=1e-11)
+
+
+def test_allocation_refuses_bad_features(spark):
+    schema = "m string, family string, feature string, value bigint"
+    rows = [(f"m{i}", "a", "x", i) for i in range(5)]
+    for bad, match in (([(m, a, f, 1) for m, a, f, _ in rows], "varies"), (rows + rows[:1], "one value"), (rows + [("m0", "a", "y", 1), ("m1", "a", "y", 2)], "one value"), (rows[:2], "can't be split")):
+        with pytest.raises(ValueError, match=match):
+            C.allocate(spark.createDataFrame(bad, schema), C.AllocationConfig(confirmation=2), subject="m")
+    with pytest.raises(ValueError, match="too many"):
+        C.allocate(spark.createDataFrame(rows, schema), C.AllocationConfig(confirmation=2, max_splits=9), subject="m")
+
+
+def test_allocation_inputs(spark):
+    good = [(f"s{i}", f"m{i // 2}", "f") for i in range(8)]
+    quality = [(s, m, i % 2 == 0) for i, (s, m, _) in enumerate(good)]
+
+    def broken(sessions, quality, **more):
+        frames = spark.createDataFrame(sessions, "session string, subject string, sex string"), spark.createDataFrame(quality, "session string, subject string, is_good_session boolean")
+        return {r["rule"] for r in C.input_violations(*frames, session="session", subject="subject", constant=["sex"], subjects=4, **more).collect() if r["n_violations"]}
+
+    assert broken(good, quality) == set()
+    assert broken(good, quality[:-1]) == {"same_sessions", "same_subjects"}
+    assert broken([*good[:-1], ("s7", "m3", "g")], quality) == {"constant_metadata"}
+    for name in (None, "", "   "):
+        assert "named_subject" in broken([("s0", name, "f"), *good[1:]], quality) and "named_quality_subject" in broken(good, [("s0", name, True), *quality[1:]])
+    assert broken([*good, good[0]], quality) == {"unique_session"}
+    assert broken(good, [(s, m, False if m == "m0" else g) for s, m, g in quality]) == {"eligible_subjects"}
+    assert broken([*good[:-1], ("s7", "m3", None)], quality) == {"known_sex", "constant_metadata"}
+    assert "known_selection" in broken(good, [(*quality[0][:2], None), *quality[1:]])
+    with pytest.raises(TypeError, match="boolean"):
+        C.input_violations(spark.createDataFrame(good, "session string, subject string, sex string"), spark.createDataFrame([("s", "m", 1)], "session string, subject string, is_good_session int"), session="session", subject="subject", constant=[])
+
+
+def test_permutation_keeps_sessions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, s % 3, u, "ab"[u % 2] if u % 5 else None, float(rng.normal()) if u % 7 else None) for s in range(6) for u in range(12)]
+    schema = "session int, subject int, unit int, label string, value double"
+    names = {"session": "session", "subject": "subject", "unit": "unit", "label": "label", "value": "value"}
+    got = {(r["label"], r["rep"]): r["mean"] for r in I.permutation_null(spark.createDataFrame(rows, schema).repartition(5), **names, permutations=7, seed=2).collect()}
+    assert len(got) == 14
+    for rep in range(7):
+        means = {}
+        for s in range(6):
+            own = [r for r in rows if r[0] == s]
+            order = sorted(own, key=lambda r: hashlib.md5(f"2|{rep}|{s}|{r[2]}".encode()).hexdigest())
+            for label in "ab":
+                v = [o[4] for r, o in zip(own, order, strict=True) if r[3] == label and o[4] is not None]
+                means.setdefault((label, s % 3), []).append(np.mean(v))
+        for label in "ab":
+            assert got[label, rep] == pytest.approx(np.mean([np.mean(m) for (lab, _), m in means.items() if lab == label]))
+    with pytest.raises(Exception, match="several subjects"):
+        I.permutation_null(spark.createDataFrame([(1, 1, 1, "a", 1.0), (1, 2, 2, "a", 1.0)], schema), **names, permutations=2).collect()
+
+
 def test_ridge_recovers(spark):
     rng = np.random.default_rng(4)
     rows = [(1, i % 3, *map(float, x), float(2 * x[0] - x[1] + 1 + rng.normal(0, 0.05))) for i, x in enumerate(rng.normal(size=(60, 2)))]

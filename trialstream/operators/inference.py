@@ -88,13 +88,20 @@ def statistic_rows(df: DataFrame, metrics: list[str], *, by: list[str], unit: st
 def permutation_null(rows: DataFrame, *, session: str, subject: str, unit: str, label: str, value: str, permutations: int, seed: int = 0) -> DataFrame:
     """(label, rep, mean): values permuted over labels within sessions; session mean, subject mean, then the mean over subjects.
 
-    A permutation orders a session's values by a hash and joins them to its labels in order of unit.
+    A session's labels and values are packed once, as one row in order of unit. A permutation orders the packed values by a hash of (seed, rep, session,
+    unit), lays them along the labels and leaves a mean for each label, so tables are neither copied nor sorted nor joined again for it. A null label takes part
+    in the permutation and has no row; null values count in no mean; a session with several subjects is an error.
     """
-    own = Window.partitionBy(session, "rep")
-    spread = rows.select(session, subject, unit, label, value).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    mixed = spread.withColumns({"a": F.row_number().over(own.orderBy(unit)), "b": F.row_number().over(own.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "rep", session, unit)), F.col(unit)))})
-    drawn = mixed.select(session, subject, "rep", label, "a").join(mixed.select(session, "rep", F.col("b").alias("a"), value), [session, "rep", "a"])
-    by_session = drawn.groupBy("rep", label, subject, session).agg(F.avg(value).alias("m"))
+    one = F.when(F.countDistinct(subject) > 1, F.raise_error(F.concat(F.lit("a session with several subjects: "), F.col(session).cast("string")))).otherwise(F.first(subject))
+    packed = rows.groupBy(session).agg(one.alias(subject), F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(label).alias("l"), F.col(value).cast("double").alias("v")))).alias("_p"))
+    packed = packed.withColumn("_labels", F.array_compact(F.array_distinct(F.transform("_p", lambda x: x["l"]))))
+    spread = _spread(packed, permutations, "rep")
+    order = F.array_sort(F.transform("_p", lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(seed), "rep", session, x["u"])).alias("h"), x["u"].alias("u"), x["v"].alias("v"))))
+    mixed = spread.withColumn("_m", F.zip_with("_p", order, lambda x, o: F.struct(x["l"].alias("l"), o["v"].alias("v"))))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))
+    added = lambda l: F.aggregate(F.filter("_m", lambda x: (x["l"] == l) & x["v"].isNotNull()), zero, lambda a, x: F.struct((a["s"] + x["v"]).alias("s"), (a["n"] + 1).alias("n")))  # noqa: E731, E741
+    sums = mixed.select(subject, "rep", F.explode(F.transform("_labels", lambda l: F.struct(l.alias("l"), added(l).alias("t")))).alias("r"))  # noqa: E741
+    by_session = sums.select(subject, "rep", F.col("r.l").alias(label), (F.col("r.t.s") / F.nullif(F.col("r.t.n"), F.lit(0))).alias("m"))
     return by_session.groupBy("rep", label, subject).agg(F.avg("m").alias("m")).groupBy(label, "rep").agg(F.avg("m").alias("mean"))
 
 

@@ -572,13 +572,24 @@ def statistics_rows(spark, sf_dir):
     return X.statistics_table(named.withColumns({"tier": F.lit("exploratory"), "sidedness": F.lit("two_sided"), "confidence_level": F.lit(0.95), "ci_method": F.lit("percentile_bootstrap")}))
 
 
-@query()
+_PERMUTED = lambda n: f"""x AS (SELECT source, subject, unit, region, weight, rep, row_number() OVER (PARTITION BY source, rep ORDER BY unit) AS a, row_number() OVER (PARTITION BY source, rep ORDER BY md5(concat_ws('|', '5', rep, source, unit)), unit) AS b FROM units CROSS JOIN (SELECT unnest(range({n})) AS rep)),
+ d AS (SELECT l.source, l.subject, l.region, l.rep, v.weight FROM x l JOIN x v ON l.source = v.source AND l.rep = v.rep AND l.a = v.b), s AS (SELECT rep, region, subject, source, avg(weight) AS m FROM d GROUP BY 1, 2, 3, 4), t AS (SELECT rep, region, subject, avg(m) AS m FROM s GROUP BY 1, 2, 3),
+ nul AS (SELECT region, rep, avg(m) AS mean FROM t GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {UNITS}, {_PERMUTED(100)}, one AS (SELECT region, subject, source, avg(weight) AS m FROM units GROUP BY 1, 2, 3), two AS (SELECT region, subject, avg(m) AS m FROM one GROUP BY 1, 2), seen AS (SELECT region, avg(m) AS observed FROM two GROUP BY 1),
+ p AS (SELECT region, observed, (count(*) FILTER (abs(mean - centre) >= abs(observed - centre) - 1e-12) + 1) / (count(*) + 1) AS p_value FROM nul JOIN seen USING (region) JOIN (SELECT region, avg(mean) AS centre FROM nul GROUP BY 1) USING (region) GROUP BY region, observed),
+ h AS (SELECT *, row_number() OVER (ORDER BY p_value, region) AS k, count(*) OVER () AS n FROM p), holm AS (SELECT *, max(least(1.0, (n - k + 1) * p_value)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS adjusted_p FROM h),
+ a AS (SELECT region, count(*) AS n, list(m ORDER BY subject) AS vs, avg(m) AS mean FROM two GROUP BY 1), bd AS (SELECT region, rep, n, vs, unnest(range(n)) AS i FROM a CROSS JOIN (SELECT unnest(range(200)) AS rep)),
+ bm AS (SELECT region, rep, avg(vs[1 + CAST(CAST('0x' || substr(md5(concat_ws('|', '0', region, rep, i)), 1, 8) AS BIGINT) % n AS BIGINT)]) AS m FROM bd GROUP BY 1, 2), ci AS (SELECT region, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM bm GROUP BY 1)
+ SELECT region, a.n, round(a.mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(observed, 6) AS observed, round(p_value, 6) AS p_value, round(adjusted_p, 6) AS adjusted_p, CAST(row_number() OVER (ORDER BY a.mean DESC, region) AS INT) AS rank, row_number() OVER (ORDER BY a.mean DESC, region) = 1 AS is_lead,
+ CASE WHEN a.mean > 0 AND ci_low > 0 AND adjusted_p < 0.05 THEN 'pass' WHEN a.mean > 0 AND ci_low > 0 THEN 'fragile' ELSE 'null' END AS screen_status FROM a JOIN ci USING (region) JOIN holm USING (region)""")
 def nominated_regions(spark, sf_dir):
     """Permutation test of regions' mean weight, adjusted and ranked."""
     u = units(spark, sf_dir)
     test = I.permutation_test(u, session="source", subject="subject", unit="unit", label="region", value="weight", permutations=100, seed=5)
     boot = I.bootstrap_mean(Z.equal_weight_means(u, ["weight"], by=["region", "subject"]), by=["region"], unit="subject", value="weight", resamples=200)
-    return I.nominate(boot.join(test, "region"), order=["region"])
+    return I.nominate(boot.join(test, "region"), order=["region"]).select("region", "n", *r("mean", "ci_low", "ci_high", "observed", "p_value", "adjusted_p"), "rank", "is_lead", "screen_status")
 
 
 # --- cohorts and models --------------------------------------------------------------------------
@@ -587,19 +598,48 @@ def nominated_regions(spark, sf_dir):
 def allocation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as subjects: region as a category, and numbers of their customers."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    s = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("c_nationkey").alias("nation"), F.col("n_regionkey").alias("region")).agg(F.count("*").alias("customers"), F.floor(F.avg("c_acctbal")).alias("balance"))
+    s = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("c_nationkey").alias("nation"), F.col("n_regionkey").alias("region")).agg(F.count("*").alias("customers"), F.floor(F.avg("c_acctbal")).alias("balance"))
     return C.subject_features(s, subject="nation", categories=["region"], numbers=["customers", "balance"])
 
 
-@query()
+_SPLITS = """subj AS (SELECT c_nationkey AS nation, any_value(n_regionkey) AS region, count(*) AS customers, CAST(floor(avg(c_acctbal)) AS BIGINT) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+feats AS (SELECT nation::VARCHAR AS nation, 'region' AS family, 'region=' || g.region AS feature, CAST(subj.region = g.region AS BIGINT) AS value FROM subj CROSS JOIN (SELECT DISTINCT region FROM subj) g UNION ALL SELECT nation::VARCHAR, 'numeric', 'customers', customers FROM subj UNION ALL SELECT nation::VARCHAR, 'numeric', 'balance', balance FROM subj),
+stats AS (SELECT family, feature, count(*) AS n, sum(value)::DOUBLE AS s, avg(value) AS mean, var_samp(value) AS v FROM feats GROUP BY 1, 2 HAVING var_samp(value) > 0),
+combos AS (SELECT a.nation AS a, b.nation AS b, c.nation AS c, d.nation AS d FROM (SELECT DISTINCT nation FROM feats) a JOIN (SELECT DISTINCT nation FROM feats) b ON b.nation > a.nation JOIN (SELECT DISTINCT nation FROM feats) c ON c.nation > b.nation JOIN (SELECT DISTINCT nation FROM feats) d ON d.nation > c.nation),
+named AS (SELECT concat_ws(',', a, b, c, d) AS members, unnest([a, b, c, d]) AS nation FROM combos),
+smd AS (SELECT members, f.family, f.feature, pow(sum(value) / 4 - (any_value(s) - sum(value)) / (any_value(t.n) - 4), 2) / any_value(v) AS d FROM named JOIN feats f USING (nation) JOIN stats t ON t.feature = f.feature AND t.family = f.family GROUP BY 1, 2, 3),
+obj AS (SELECT members, round(avg(m), 12) AS objective, round(max(w), 12) AS worst FROM (SELECT members, family, avg(d) AS m, max(d) AS w FROM smd GROUP BY 1, 2) GROUP BY 1),
+best AS (SELECT *, count(*) OVER () AS n_candidates, count(*) OVER (PARTITION BY objective) AS n_tied, count(*) OVER (PARTITION BY objective, worst) AS n_tied_twice FROM obj QUALIFY row_number() OVER (ORDER BY objective, worst, sha256('20240101|' || members), members) = 1)"""
+
+
+@query(f"WITH {_SPLITS} SELECT members, round(objective, 8) AS objective, round(worst, 8) AS worst, n_candidates, n_tied, n_tied_twice FROM best")
 def cohort_allocation(spark, sf_dir):
-    return C.allocate(allocation_features(spark, sf_dir), C.AllocationConfig(confirmation=4), subject="nation").withColumn("members", F.array_join("members", ","))
+    return C.allocate(allocation_features(spark, sf_dir), C.AllocationConfig(confirmation=4), subject="nation").select(F.array_join("members", ",").alias("members"), *r("objective", "worst", digits=8), "n_candidates", "n_tied", "n_tied_twice")
 
 
-@query()
+@query(f"""WITH {_SPLITS}, inside AS (SELECT unnest(string_split(members, ',')) AS nation FROM best) SELECT f.family, f.feature, round(avg(value) FILTER (i.nation IS NOT NULL), 6) AS mean_confirmation, round(avg(value) FILTER (i.nation IS NULL), 6) AS mean_discovery,
+ round((avg(value) FILTER (i.nation IS NULL) - avg(value) FILTER (i.nation IS NOT NULL)) / sqrt(var_samp(value)), 6) AS smd FROM feats f JOIN stats USING (family, feature) LEFT JOIN inside i ON i.nation = f.nation GROUP BY 1, 2""")
 def cohort_balance(spark, sf_dir):
     features = allocation_features(spark, sf_dir)
-    return C.balance_table(features, C.allocate(features, C.AllocationConfig(confirmation=4), subject="nation"), subject="nation")
+    out = C.balance_table(features, C.allocate(features, C.AllocationConfig(confirmation=4), subject="nation"), subject="nation")
+    return out.select("family", "feature", *r("mean_confirmation", "mean_discovery", "smd"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS session, CASE WHEN c_custkey % 97 = 0 THEN ' ' ELSE 'n' || c_nationkey END AS subject, n_regionkey AS region, CASE WHEN c_custkey % 211 = 0 THEN NULL WHEN c_custkey % 311 = 0 THEN 'other' ELSE 'n' END AS kind FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ q AS (SELECT c_custkey AS session, 'n' || c_nationkey AS subject, CASE WHEN c_custkey % 89 = 0 THEN NULL ELSE c_acctbal > 0 END AS is_good_session FROM customer WHERE c_custkey % 53 <> 0 UNION ALL SELECT c_custkey, 'n' || c_nationkey, true FROM customer WHERE c_custkey % 149 = 0)
+ SELECT 'unique_session' AS rule, 0::BIGINT AS n_violations UNION ALL SELECT 'unique_quality_session', count(*) - count(DISTINCT session) FROM q UNION ALL SELECT 'named_subject', count(*) FILTER (trim(subject) = '') FROM s UNION ALL SELECT 'known_region', count(*) FILTER (region IS NULL) FROM s
+ UNION ALL SELECT 'known_kind', count(*) FILTER (kind IS NULL) FROM s UNION ALL SELECT 'named_quality_subject', count(*) FILTER (trim(subject) = '') FROM q UNION ALL SELECT 'known_selection', count(*) FILTER (is_good_session IS NULL) FROM q
+ UNION ALL SELECT 'same_sessions', (SELECT count(*) FROM (SELECT session FROM s EXCEPT SELECT session FROM q)) + (SELECT count(*) FROM (SELECT session FROM q EXCEPT SELECT session FROM s))
+ UNION ALL SELECT 'same_subjects', (SELECT count(*) FROM (SELECT session, subject FROM s EXCEPT SELECT session, subject FROM q)) + (SELECT count(*) FROM (SELECT session, subject FROM q EXCEPT SELECT session, subject FROM s))
+ UNION ALL SELECT 'constant_metadata', count(*) FROM (SELECT subject FROM s GROUP BY 1 HAVING count(DISTINCT region) + max(CAST(region IS NULL AS INT)) > 1 OR count(DISTINCT kind) + max(CAST(kind IS NULL AS INT)) > 1)
+ UNION ALL SELECT 'eligible_subjects', abs(count(DISTINCT subject) - 20) FROM q WHERE is_good_session""")
+def allocation_input_rules(spark, sf_dir):
+    """What an allocation would refuse, on customers as sessions with defects of every kind."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key, own = F.col("c_custkey"), F.concat(F.lit("n"), F.col("c_nationkey"))
+    sessions = c.select(key.alias("session"), F.when(key % 97 == 0, " ").otherwise(own).alias("subject"), F.col("n_regionkey").alias("region"), F.when(key % 211 == 0, F.lit(None)).when(key % 311 == 0, "other").otherwise("n").alias("kind"))
+    quality = c.where(key % 53 != 0).select(key.alias("session"), own.alias("subject"), F.when(key % 89 != 0, F.col("c_acctbal") > 0).alias("is_good_session")).unionByName(c.where(key % 149 == 0).select(key.alias("session"), own.alias("subject"), F.lit(True).alias("is_good_session")))
+    return C.input_violations(sessions, quality, session="session", subject="subject", constant=["region", "kind"], subjects=20)
 
 
 @query()
