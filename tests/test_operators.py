@@ -57,8 +57,10 @@ def test_small_expressions(spark):
     one = spark.range(1)
     assert one.select(is_sorted(F.lit(None).cast("array<double>")).alias("a"), is_sorted(F.array().cast("array<double>")).alias("b"), is_sorted(F.array(F.lit(2.0), F.lit(1.0))).alias("c")).first() == (None, True, False)
     assert one.select(image_identity(F.lit("im115_r-0.7")), image_contrast(F.lit("im115_r-0.7")), image_identity(F.lit("blank"))).first() == ("im115", 0.7, None)
-    assert one.select(session_asset(F.lit("sub-7/sub-7_ses-20240101T000000.nwb")), session_asset(F.lit("sub-7/sub-8_ses-20240101T000000.nwb"))).first() == (True, False)
-    assert one.select(recording_day(F.lit("EPHYS_3"), F.lit(3)), recording_day(F.lit("3"), F.lit(4)), recording_day(F.lit("x"), F.lit(1))).first() == (3, None, None)
+    paths = {"sub-7/sub-7_ses-20240101T000000.nwb": True, "sub-7/sub-8_ses-20240101T000000.nwb": False, "sub-/sub-_ses-20240101T000000.nwb": False, "sub-7/sub-7_ses-20240101T00000.nwb": False, "sub-7/sub-7_ses-2024010100000T0.nwb": False, "x/sub-7/sub-7_ses-20240101T000000.nwb": False, "sub-7": False, "sub-7/sub-7_ses-20240101T000000.nwb.tmp": False, None: False}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", session_asset("p")).collect()} == paths
+    days = [("EPHYS_3", 3, 3), ("3", 4, None), ("x", 1, 1), ("ephys 2", None, 2), ("EPHYS-2", 2, 2), (None, None, None), ("0", None, None), (" 5 ", 5, 5), ("EPHYS", 2, 2)]
+    assert [r[0] for r in spark.createDataFrame(days, "d string, n int, want int").coalesce(1).select(recording_day("d", "n")).collect()] == [d[2] for d in days]
     assert one.select(response_window(F.lit("[0.1, 0.7]")), response_window(F.lit("[0.7, 0.1]")), response_window(F.lit("oops"))).first() == ([0.1, 0.7], None, None)
     low, high = wilson_interval(F.lit(0), F.lit(0))
     assert one.select(low, high).first() == (None, None)

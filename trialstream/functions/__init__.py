@@ -57,10 +57,21 @@ def normalized_category(c: Column | str) -> Column:
     return F.coalesce(F.nullif(F.trim(col(c).cast("string")), F.lit("")), F.lit("<missing>"))
 
 
+_DIGITS = "0123456789"
+
+
+def whole_number(text: Column) -> Column:
+    """The number that text consists of, or null."""
+    return F.when((F.translate(text, _DIGITS, "") == "") & (text != ""), text.try_cast("int"))
+
+
 def recording_day(day: Column | str, number: Column | str) -> Column:
-    """The positive number in `EPHYS_3` or `3`, null where it isn't one or where it disagrees with number."""
-    parsed = extract(day, r"(?i)^(?:EPHYS[_ -]?)?(\d+)$").try_cast("int")
-    return F.when((parsed > 0) & F.coalesce(parsed == col(number), F.lit(True)), parsed)
+    """The day of a session: what follows the label of `EPHYS_3`, or a plain number, and the session's number where the day says nothing. Null where both disagree or it isn't positive."""
+    text = F.upper(F.trim(col(day).cast("string")))
+    parsed = whole_number(F.when(F.startswith(text, F.lit("EPHYS")), F.ltrim(F.substring(text, 6, 100), F.lit(" _-"))).otherwise(text))
+    number = col(number).try_cast("int")
+    found = F.coalesce(parsed, number)
+    return F.when((found > 0) & F.coalesce(parsed == number, F.lit(True)), found)
 
 
 def response_window(c: Column | str) -> Column:
@@ -71,8 +82,13 @@ def response_window(c: Column | str) -> Column:
 
 
 def session_asset(path: Column | str) -> Column:
-    """Whether a path names a subject's session file: the subject stands in the folder and in the file name."""
-    return F.coalesce(col(path).rlike(r"^sub-([^/]+)/sub-\1_ses-\d{8}T\d{6}\.nwb$"), F.lit(False))
+    """Whether a path names a subject's session file: a folder of the subject, and in it a file named by the folder and a time stamp of eight and six digits."""
+    parts = F.split(col(path), "/")
+    folder, name = parts[0], F.get(parts, F.lit(1))
+    stamp = F.substring(name, F.length(folder) + 6, 15)
+    dated = (F.translate(stamp, _DIGITS, "") == "T") & (F.length(stamp) == 15) & (F.substring(stamp, 9, 1) == "T")
+    named = (name == F.concat(folder, F.lit("_ses-"), stamp, F.lit(".nwb"))) & F.startswith(folder, F.lit("sub-")) & (F.length(folder) > 4)
+    return F.coalesce((F.size(parts) == 2) & named & dated, F.lit(False))
 
 
 def reasons(*pairs: tuple[str, Column]) -> Column:

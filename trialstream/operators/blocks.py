@@ -223,10 +223,15 @@ def cyclic_shift(df: DataFrame, value: str, *, by: list[str], order: list[str])
 
 
 def prepared_samples(samples: DataFrame, *, source: str, index: str, time: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, diagnostics): finite samples with one row for each time (the mean), and per source what the raw order had."""
+    """(samples, diagnostics): finite samples with one row for each time (the mean), and per source what the raw order had.
+
+    Steps are between finite samples in order of index. status: unavailable with fewer than two times, repaired if rows were invalid, out of order or merged, else pass.
+    """
     ok = is_finite(time) & is_finite(value)
-    clean = samples.where(ok).groupBy(source, time).agg(F.avg(value).alias(value), F.count("*").alias("n_merged"))
-    back = F.col(time) < F.lag(time).over(Window.partitionBy(source).orderBy(index))
-    marked = samples.withColumn("_back", back)
-    seen = marked.groupBy(source).agg(F.count("*").alias("n_raw"), F.count_if(~ok).alias("n_invalid"), F.count_if("_back").alias("n_decreasing"), (F.count_if(ok) - F.countDistinct(F.when(ok, F.col(time)))).alias("n_repeated"))
-    return clean, seen
+    finite = samples.where(ok)
+    clean = finite.groupBy(source, time).agg(F.avg(value).alias(value), F.count("*").alias("n_merged"))
+    step = F.col(time) - F.lag(time).over(Window.partitionBy(source).orderBy(index))
+    steps = finite.withColumn("_step", step).groupBy(source).agg(F.count_if(F.col("_step") < 0).alias("n_decreasing"), F.count_if(F.col("_step") == 0).alias("n_repeated_next"), (F.count("*") - F.countDistinct(time)).alias("n_repeated"), F.countDistinct(time).alias("n_times"))
+    seen = samples.groupBy(source).agg(F.count("*").alias("n_raw"), F.count_if(~ok).alias("n_invalid")).join(steps, source, "left").fillna(0)
+    status = F.when(F.col("n_times") < 2, "unavailable").when(F.col("n_invalid") + F.col("n_decreasing") + F.col("n_repeated") > 0, "repaired").otherwise("pass")
+    return clean, seen.withColumn("status", status)

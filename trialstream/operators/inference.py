@@ -6,13 +6,17 @@ engine can repeat them. Resamples are rows and spread over tasks; a group's valu
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, astuple, dataclass, fields
 from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import is_finite, portable_draw
+from .expect import statistics_table
 
 TOLERANCE = 8 * 2.220446049250313e-16
 
@@ -85,6 +89,57 @@ def statistic_rows(df: DataFrame, metrics: list[str], *, by: list[str], unit: st
     return out.withColumn("status", F.when(F.col("n") >= 2, "estimated").when(F.col("n") == 1, "point_only").otherwise("not_estimable"))
 
 
+@dataclass(frozen=True)
+class Statistic:
+    """What a row of a statistics table says, beside its figures. A tested one is compared with null_value and adjusted within its family."""
+
+    result_id: str
+    metric: str
+    contrast_id: str
+    hypothesis: str
+    scale: str
+    tier: str = "exploratory"
+    null_value: float = 0.0
+    family: str | None = None
+    tested: bool = False
+    notes: str | None = None
+
+
+def specified_statistics(estimates: DataFrame, specification: list[Statistic], *, metric: str = "metric", unit: str = "subject", value: str = "value", counts: dict[str, str] | None = None, provenance: dict[str, str] | None = None, seed: int = 0, resamples: int = 10_000, flips: int = 100_000, exact_up_to: int = 20, confidence: float = 0.95) -> DataFrame:
+    """The statistics table of a specification: a row for each of its results, all from one plan.
+
+    estimates: (metric, unit, value) and columns that counts maps to the table's n_sessions, n_units and n_trials; they are summed over the units whose value counts.
+    Several results may rest on one metric. Each has an estimate and an interval, and, if tested, a sign-flip test against its null value with Holm
+    adjustment in its family. status: estimated; point_only with one unit and not_estimable without any, with the reason. A metric that estimates lack is not estimable.
+    provenance fills text columns of all rows (data_version, code_version, inclusion_definition, ...); config_hash is a digest of the specification and the settings. Draws
+    depend on seed and result_id only.
+    """
+    spark = estimates.sparkSession
+    names = [f.name for f in fields(Statistic)]
+    spec = spark.createDataFrame([astuple(s) for s in specification], "result_id string, metric string, contrast_id string, hypothesis string, scale string, tier string, null_value double, family string, tested boolean, notes string")
+    if len({s.result_id for s in specification}) != len(specification):
+        raise ValueError("result_id must be unique")
+    digest = sha256(json.dumps([[asdict(s) for s in specification], seed, resamples, flips, exact_up_to, confidence], sort_keys=True).encode()).hexdigest()
+    counts = counts or {}
+    long = estimates.where(is_finite(value)).select(F.col(metric).alias("metric"), F.col(unit).alias("unit"), F.col(value).cast("double").alias("value"), *[F.col(c).cast("bigint").alias(n) for n, c in counts.items()])
+    long = long.join(spec.select("result_id", "metric", "null_value", "tested"), "metric")
+    sums = long.groupBy("result_id").agg(F.count("*").alias("n_mice"), *[F.sum(n).alias(n) for n in counts])
+    boot = bootstrap_mean(long, by=["result_id"], unit="unit", value="value", seed=seed, resamples=resamples, confidence=confidence).withColumnRenamed("mean", "estimate").drop("n")
+    centred = long.where("tested").withColumn("value", F.col("value") - F.col("null_value"))
+    test = sign_flip(centred, by=["result_id"], unit="unit", value="value", seed=seed, exact_up_to=exact_up_to, resamples=flips).select("result_id", "p_value", "method")
+    out = spec.join(sums, "result_id", "left").join(boot, "result_id", "left").join(test, "result_id", "left").fillna(0, ["n_mice"])
+    out = holm(out, family=["family"], order=["result_id"])
+    n, inner = F.col("n_mice"), F.col("ci_low").isNotNull()
+    status = F.when(n >= 2, "estimated").when(n == 1, "point_only").otherwise("not_estimable")
+    out = out.select(
+        *[c for c in names if c not in ("family", "tested")], status.alias("status"), F.when(n == 1, "one_unit").when(n == 0, "no_values").alias("status_reason"), "estimate", "ci_low", "ci_high", *["n_mice", *counts],
+        F.when(inner, F.lit(confidence)).alias("confidence_level"), F.when(inner, "percentile_bootstrap").alias("ci_method"), F.when(inner, F.lit(resamples)).alias("n_bootstrap"), "p_value", F.col("adjusted_p").alias("adjusted_p_value"),
+        F.when(F.col("p_value").isNotNull(), "two_sided").alias("sidedness"), F.when(F.col("p_value").isNotNull(), F.concat(F.lit("sign_flip_"), F.col("method"))).alias("test_method"), F.when(F.col("method") == "sampled", F.lit(flips)).when(F.col("method") == "exact", F.pow(F.lit(2.0), n)).alias("n_resamples"),
+        F.when(F.col("tested"), F.col("family")).alias("multiplicity_family"), F.when(F.col("adjusted_p").isNotNull(), "holm").alias("multiplicity_method"), F.lit(seed).alias("seed"), F.lit(digest).alias("config_hash"), *[F.lit(v).alias(k) for k, v in (provenance or {}).items()],
+    )
+    return statistics_table(out)
+
+
 def permutation_null(rows: DataFrame, *, session: str, subject: str, unit: str, label: str, value: str, permutations: int, seed: int = 0) -> DataFrame:
     """(label, rep, mean): values permuted over labels within sessions; session mean, subject mean, then the mean over subjects.
 

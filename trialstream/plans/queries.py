@@ -173,12 +173,12 @@ def lick_free_trials(spark, sf_dir):
     return own.groupBy("reward_block").agg(F.count("*").alias("n_trials"), F.count_if(lick_free("lick_times", "lick_event", 0.05, 0.09)).alias("n_narrow"), F.count_if(lick_free("lick_times", "lick_event", 0.15, 0.3, 0.0)).alias("n_wide"))
 
 
-_AGREE = "SELECT {k} count(*) AS n_trials, count(*) FILTER (author IS NULL) AS n_missing_author, 0 AS n_missing_own, count(author) AS n_compared, count(*) FILTER (author <> response) AS n_disagreed, round(CASE WHEN count(author) > 0 THEN 1 - count(*) FILTER (author <> response) / count(author) END, 6) AS agreement FROM a {g}"
+_AGREE = "SELECT {k} count(*) AS n_trials, count(*) FILTER (author IS NULL) AS n_missing_author, count(*) FILTER (response IS NULL) AS n_missing_own, count(*) FILTER (author IS NOT NULL AND response IS NOT NULL) AS n_compared, count(*) FILTER (author <> response) AS n_disagreed, round(CASE WHEN count(*) FILTER (author IS NOT NULL AND response IS NOT NULL) > 0 THEN 1 - count(*) FILTER (author <> response) / count(*) FILTER (author IS NOT NULL AND response IS NOT NULL) END, 6) AS agreement FROM a {g}"
 
 
-@query(f"WITH {TRIALS}, a AS (SELECT *, CASE WHEN id % 7 = 0 THEN NULL ELSE value > 25 END AS author FROM labelled) {_AGREE.format(k='reward_block,', g='GROUP BY 1')}")
+@query(f"WITH {TRIALS}, a AS (SELECT * REPLACE (CASE WHEN id % 11 = 3 THEN NULL ELSE response END AS response), CASE WHEN id % 7 = 0 THEN NULL ELSE value > 25 END AS author FROM labelled) {_AGREE.format(k='reward_block,', g='GROUP BY 1')}")
 def label_agreement(spark, sf_dir):
-    own = labelled(spark, sf_dir).withColumn("author", F.when(F.col("id") % 7 != 0, F.col("value") > 25))
+    own = labelled(spark, sf_dir).withColumns({"author": F.when(F.col("id") % 7 != 0, F.col("value") > 25), "response": F.when(F.col("id") % 11 != 3, F.col("response"))})
     return Z.label_agreement(own, "response", "author", by=["reward_block"]).withColumn("agreement", F.round("agreement", 6))
 
 
@@ -299,13 +299,14 @@ def region_pair_coverage(spark, sf_dir):
     return pairs.select("source_region", "target_region", "n_subjects", "n_sessions", *r("median_source", "median_target"))
 
 
-@query("WITH f AS (SELECT l_orderkey AS source, l_linenumber * 3 + l_orderkey % 5 AS frame, l_returnflag || l_linenumber AS label FROM lineitem) SELECT DISTINCT source, source % 5 + 10 AS \"offset\" FROM f")
+@query("""WITH l AS (SELECT l_orderkey AS source, l_linenumber AS line, min(l_returnflag) AS label FROM lineitem GROUP BY 1, 2), f AS (SELECT source, line * 3 + source % 5 AS frame, label FROM l WHERE NOT (source % 7 = 0 AND line = 1)), a AS (SELECT source, line, line * 3 - 10 AS af, label FROM l WHERE source % 3 <> 0 OR line % 2 = 1),
+ t AS (SELECT source, count(*) AS n FROM a GROUP BY 1), o AS (SELECT a.source, f.frame - af AS d, count(DISTINCT a.line) AS ids, count(DISTINCT f.frame) AS fs FROM a JOIN f ON a.source = f.source AND a.label = f.label GROUP BY 1, 2) SELECT o.source, any_value(d) AS "offset" FROM o JOIN t USING (source) WHERE ids = n AND fs = n GROUP BY 1 HAVING count(*) = 1""")
 def frame_offsets(spark, sf_dir):
-    """Each order's lines as frames, its anchors shifted by a known offset, which the search finds again."""
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line")).agg(F.concat(F.min("l_returnflag"), F.first("l_linenumber").cast("string")).alias("label"))
-    frames = l.withColumn("frame", F.col("line") * 3 + F.col("source") % 5)
-    found = J.frame_offsets(l.withColumn("anchor_frame", F.col("line") * 3 - 10), frames, source="source", anchor_id="line", anchor_frame="anchor_frame", frame="frame", label="label")
-    return found.select("source", "offset")
+    """Each order's lines as frames with labels that recur, and its anchors shifted by an offset: some orders leave several offsets, some lack a frame and leave none."""
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line")).agg(F.min("l_returnflag").alias("label"))
+    frames = l.where("not (source % 7 = 0 and line = 1)").withColumn("frame", F.col("line") * 3 + F.col("source") % 5)
+    anchors = l.where("source % 3 <> 0 or line % 2 = 1").withColumn("anchor_frame", F.col("line") * 3 - 10)
+    return J.frame_offsets(anchors, frames, source="source", anchor_id="line", anchor_frame="anchor_frame", frame="frame", label="label").select("source", "offset")
 
 
 @query(f"""WITH {IMAGES}, k AS (SELECT source, start_frame, count(*) AS n, min(image_name) AS img FROM images GROUP BY 1, 2), a AS (SELECT l_suppkey AS source, l_orderkey * 10 + l_linenumber - 7 AS af, l_quantity FROM lineitem)
@@ -416,11 +417,11 @@ def probe_conditions(spark, sf_dir):
     return Z.probe_conditions(i, image="image_name", contrast_image="im15").groupBy("source", "probe", "probe_condition").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CASE WHEN url LIKE '%.com/%' THEN 'com' ELSE 'other' END AS kind, count(*) AS n_assets, sum(length(html)) AS n_bytes, count(DISTINCT page_id % 5) AS n_subjects, 0 AS n_media FROM pages GROUP BY 1")
+@query("SELECT CASE WHEN url LIKE '%.com/%' THEN 'com' ELSE 'other' END AS kind, count(*) AS n_assets, sum(length(html)) AS n_bytes, count(DISTINCT page_id % 5) AS n_subjects, count(*) FILTER (url NOT LIKE '%.com/%' AND page_id % 7 = 0) AS n_media FROM pages GROUP BY 1")
 def asset_manifest(spark, sf_dir):
     """Pages as assets: session files by path, with counts by kind."""
     p = table(spark, sf_dir, "pages")
-    path = F.when(F.col("url").contains(".com/"), F.concat(F.lit("sub-"), F.col("page_id") % 5, F.lit("/sub-"), F.col("page_id") % 5, F.lit("_ses-20240101T"), F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".nwb"))).otherwise(F.concat(F.lit("sub-"), F.col("page_id") % 5, F.lit("/x"), F.col("page_id")))
+    path = F.when(F.col("url").contains(".com/"), F.concat(F.lit("sub-"), F.col("page_id") % 5, F.lit("/sub-"), F.col("page_id") % 5, F.lit("_ses-20240101T"), F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".nwb"))).otherwise(F.concat(F.lit("sub-"), F.col("page_id") % 5, F.lit("/x"), F.col("page_id"), F.when(F.col("page_id") % 7 == 0, ".MP4").otherwise("")))
     m = S.asset_manifest(p.withColumns({"path": path, "size": F.length("html")}), asset_id="page_id", path="path", size="size")
     return S.manifest_summary(m).withColumn("kind", F.when(F.col("kind") == "session", "com").otherwise("other"))
 
@@ -451,17 +452,18 @@ def subject_categories(spark, sf_dir):
     return c.select("c_custkey", normalized_category(F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise(F.col("c_mktsegment"))).alias("category"), recording_day(F.concat(F.lit("EPHYS_"), "c_nationkey"), number).alias("recording_day"))
 
 
-@query("SELECT rule, n_violations FROM (SELECT 'unique_key' AS rule, 0 AS n_violations UNION ALL SELECT 'total_positive', (SELECT count(*) FROM orders WHERE NOT o_totalprice > 1000) UNION ALL SELECT 'coverage', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) UNION ALL SELECT 'constant_within_group', (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1)))")
+@query("SELECT rule, n_violations FROM (SELECT 'unique_key' AS rule, (SELECT count(*) - count(DISTINCT k) FROM (SELECT CASE WHEN o_orderkey % 50 = 7 THEN o_orderkey - 1 WHEN o_orderkey % 101 <> 0 THEN o_orderkey END AS k FROM orders)) AS n_violations UNION ALL SELECT 'total_positive', (SELECT count(*) FROM orders WHERE NOT o_totalprice > 1000) UNION ALL SELECT 'coverage', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) UNION ALL SELECT 'constant_within_group', (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1)))")
 def order_expectations(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return X.all_of(X.expect_unique(o, ["o_orderkey"]), X.expect_rows(o, {"total_positive": F.col("o_totalprice") > 1000}), X.expect_coverage(o, c.select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"]), X.expect_constant(o, ["o_custkey"], ["o_orderstatus"]))
+    key = F.when(F.col("o_orderkey") % 50 == 7, F.col("o_orderkey") - 1).when(F.col("o_orderkey") % 101 != 0, F.col("o_orderkey"))
+    return X.all_of(X.expect_unique(o.select(key.alias("o_orderkey")), ["o_orderkey"]), X.expect_rows(o, {"total_positive": F.col("o_totalprice") > 1000}), X.expect_coverage(o, c.select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"]), X.expect_constant(o, ["o_custkey"], ["o_orderstatus"]))
 
 
-@query(f"WITH {TRIALS} SELECT 'contiguous_index' AS rule, 0 AS n_violations UNION ALL SELECT 'minimum_support', (SELECT count(*) FROM (SELECT s.source, b.b, (SELECT count(*) FROM labelled l WHERE l.source = s.source AND l.reward_block = b.b AND go) AS n FROM (SELECT DISTINCT source FROM labelled) s CROSS JOIN (SELECT unnest(['engaged_1', 'no_reward', 'engaged_2']) AS b) b) WHERE n < 8)")
+@query(f"WITH {TRIALS} SELECT 'contiguous_index' AS rule, (SELECT count(*) FROM (SELECT source FROM labelled WHERE id % 97 <> 5 GROUP BY 1 HAVING min(idx) <> 0 OR max(idx) <> count(*) - 1)) AS n_violations UNION ALL SELECT 'minimum_support', (SELECT count(*) FROM (SELECT s.source, b.b, (SELECT count(*) FROM labelled l WHERE l.source = s.source AND l.reward_block = b.b AND go) AS n FROM (SELECT DISTINCT source FROM labelled) s CROSS JOIN (SELECT unnest(['engaged_1', 'no_reward', 'engaged_2']) AS b) b) WHERE n < 8)")
 def trial_expectations(spark, sf_dir):
     t = labelled(spark, sf_dir)
     grid = t.select("source").distinct().withColumn("reward_block", F.explode(F.array(*[F.lit(b) for b in B.BLOCKS])))
-    return X.all_of(X.expect_contiguous(t, "source", "idx"), X.expect_minimum(t, ["source", "reward_block"], F.col("go"), 8, grid=grid))
+    return X.all_of(X.expect_contiguous(t.where("id % 97 <> 5"), "source", "idx"), X.expect_minimum(t, ["source", "reward_block"], F.col("go"), 8, grid=grid))
 
 
 # --- estimates, windows over ordered rows ------------------------------------------------------------
@@ -505,6 +507,18 @@ def prepared_samples(spark, sf_dir):
     return B.prepared_samples(s, source="source", index="id", time="t", value="v")[0].withColumn("v", F.round("v", 6))
 
 
+@query(f"""WITH {TRIALS}, s AS (SELECT source % 40 AS source, id, CASE WHEN id % 13 = 0 OR (source % 9 = 2 AND id % 3 <> 0) THEN NULL WHEN source % 9 = 4 THEN 7 WHEN source % 40 < 20 THEN id ELSE floor(start_time / 3600) END AS t, value AS v FROM trials),
+ d AS (SELECT *, t - lag(t) OVER (PARTITION BY source ORDER BY id) AS step FROM s WHERE t IS NOT NULL), k AS (SELECT source, count(*) FILTER (step < 0) AS n_decreasing, count(*) FILTER (step = 0) AS n_repeated_next, count(*) - count(DISTINCT t) AS n_repeated, count(DISTINCT t) AS n_times FROM d GROUP BY 1)
+ SELECT source, count(*) AS n_raw, count(*) FILTER (t IS NULL) AS n_invalid, coalesce(any_value(n_decreasing), 0) AS n_decreasing, coalesce(any_value(n_repeated_next), 0) AS n_repeated_next, coalesce(any_value(n_repeated), 0) AS n_repeated, coalesce(any_value(n_times), 0) AS n_times,
+ CASE WHEN coalesce(any_value(n_times), 0) < 2 THEN 'unavailable' WHEN count(*) FILTER (t IS NULL) + any_value(n_decreasing) + any_value(n_repeated) > 0 THEN 'repaired' ELSE 'pass' END AS status FROM s LEFT JOIN k USING (source) GROUP BY 1""")
+def sample_status(spark, sf_dir):
+    """What was wrong with each source's samples, and whether they are usable, repaired or as they should be."""
+    source, key = F.col("source"), F.col("id")
+    t = F.when((key % 13 == 0) | ((source % 9 == 2) & (key % 3 != 0)), F.lit(None)).when(source % 9 == 4, 7.0).when(source % 40 < 20, key.cast("double")).otherwise(F.floor(F.col("start_time") / 3600).cast("double"))
+    s = trials(spark, sf_dir).select((source % 40).alias("source"), "id", t.alias("t"), F.col("value").alias("v"))
+    return B.prepared_samples(s, source="source", index="id", time="t", value="v")[1]
+
+
 @query(f"""WITH {ESTIMATES}, k AS (SELECT *, rank() OVER (PARTITION BY subject ORDER BY score) + (count(*) OVER (PARTITION BY subject, score) - 1) / 2 AS rk FROM estimates), a AS (SELECT subject, sum(CASE WHEN response THEN rk END) AS s, count(*) FILTER (response) AS p, count(*) FILTER (NOT response) AS q FROM k GROUP BY 1)
  SELECT subject, round(CASE WHEN p > 0 AND q > 0 THEN (s - p * (p + 1) / 2) / (p * q) END, 6) AS auc FROM a""")
 def score_auc(spark, sf_dir):
@@ -563,13 +577,33 @@ def permutation_null(spark, sf_dir):
     return I.permutation_null(units(spark, sf_dir), session="source", subject="subject", unit="unit", label="region", value="weight", permutations=20, seed=5).withColumn("mean", F.round("mean", 8))
 
 
-@query()
+SPECIFICATION = [
+    *[I.Statistic(f"score__{x.lower()}", f"score_{x}", f"{x.lower()}_minus_140", "the mean order differs from 140", "thousands", "primary", 0.0, "scores", True) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE")],
+    I.Statistic("score__against_half", "score_BUILDING", "building_minus_140_half", "the mean order differs from 140.5", "thousands", null_value=0.5, family="sensitivity", tested=True, notes="the same metric against another null value"),
+    I.Statistic("share__building", "share_BUILDING", "urgent_share", "describes the share of urgent orders", "share", "secondary", family="shares"), I.Statistic("one__region", "one_nation", "one", "one nation only", "share"), I.Statistic("none", "absent", "none", "no such metric", "share", family="scores", tested=True),
+]
+_SPEC_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, (bool, float)) else f"'{v}'" for v in (s.result_id, s.metric, s.contrast_id, s.hypothesis, s.scale, s.tier, s.null_value, s.family, s.tested, s.notes)) + ")" for s in SPECIFICATION)
+_STATISTICS = f"""WITH {ESTIMATES}, spec(result_id, metric, contrast_id, hypothesis, scale, tier, null_value, family, tested, notes) AS (VALUES {_SPEC_ROWS}),
+ base AS (SELECT segment, subject, avg(score) - 140 AS v, avg(CAST(response AS INT)) AS w, count(DISTINCT source) AS n_sessions, count(*) AS n_trials FROM estimates GROUP BY 1, 2), long AS (SELECT 'score_' || segment AS metric, subject, v, n_sessions, n_trials FROM base UNION ALL SELECT 'share_' || segment, subject, w, n_sessions, n_trials FROM base UNION ALL SELECT 'one_nation', subject, w, n_sessions, n_trials FROM base WHERE subject = 0 AND segment = 'BUILDING'),
+ rowsof AS (SELECT s.result_id, s.null_value, s.tested, l.* EXCLUDE (metric) FROM long l JOIN spec s USING (metric)), a AS (SELECT result_id, any_value(null_value) AS nv, any_value(tested) AS tested, count(*) AS n, list(v ORDER BY subject) AS vs, avg(v) AS mean, abs(sum(v - null_value)) AS seen, sum(n_sessions) AS n_sessions, sum(n_trials) AS n_trials FROM rowsof GROUP BY 1),
+ reps AS (SELECT unnest(range(500)) AS rep), bd AS (SELECT result_id, rep, n, vs, unnest(range(n)) AS i FROM a CROSS JOIN reps WHERE n > 1), bm AS (SELECT result_id, rep, avg(vs[1 + CAST(CAST('0x' || substr(md5(concat_ws('|', '4', result_id, rep, i)), 1, 8) AS BIGINT) % n AS BIGINT)]) AS m FROM bd GROUP BY 1, 2), ci AS (SELECT result_id, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY 1),
+ fd AS (SELECT result_id, rep, seen, nv, vs, unnest(range(n)) AS i FROM a CROSS JOIN reps WHERE n > 1 AND tested), ft AS (SELECT result_id, rep, seen, sum(CASE WHEN CAST('0x' || substr(md5(concat_ws('|', '4', result_id, rep, i)), 1, 8) AS BIGINT) % 2 = 1 THEN vs[i + 1] - nv ELSE nv - vs[i + 1] END) AS t FROM fd GROUP BY 1, 2, 3), p AS (SELECT result_id, (count(*) FILTER (abs(t) >= seen - 1e-9) + 1) / (count(*) + 1) AS p FROM ft GROUP BY 1),
+ j AS (SELECT s.*, coalesce(n, 0) AS n, mean, lo, hi, p, n_sessions, n_trials, row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST, result_id) AS k, count(p) OVER (PARTITION BY family) AS m FROM spec s LEFT JOIN a USING (result_id) LEFT JOIN ci USING (result_id) LEFT JOIN p USING (result_id)),
+ h AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(CASE WHEN p IS NOT NULL THEN least(1.0, (m - k + 1) * p) END) OVER (PARTITION BY family ORDER BY k ROWS UNBOUNDED PRECEDING) END AS adj FROM j)
+ SELECT result_id, metric, contrast_id, hypothesis, scale, tier, CASE WHEN n >= 2 THEN 'estimated' WHEN n = 1 THEN 'point_only' ELSE 'not_estimable' END AS status, CASE n WHEN 1 THEN 'one_unit' WHEN 0 THEN 'no_values' END AS status_reason, round(mean, 5) AS estimate, round(lo, 5) AS ci_low, round(hi, 5) AS ci_high, CASE WHEN lo IS NOT NULL THEN 0.95 END AS confidence_level, CASE WHEN lo IS NOT NULL THEN 'percentile_bootstrap' END AS ci_method,
+ null_value, round(p, 6) AS p_value, round(adj, 6) AS adjusted_p_value, CASE WHEN p IS NOT NULL THEN 'two_sided' END AS sidedness, CASE WHEN p IS NOT NULL THEN 'sign_flip_sampled' END AS test_method, CASE WHEN tested THEN family END AS multiplicity_family, CASE WHEN adj IS NOT NULL THEN 'holm' END AS multiplicity_method, n AS n_mice, CAST(n_sessions AS BIGINT) AS n_sessions, CAST(n_trials AS BIGINT) AS n_trials,
+ CASE WHEN lo IS NOT NULL THEN 500 END AS n_bootstrap, CASE WHEN p IS NOT NULL THEN 500 END AS n_resamples, 4 AS seed, 'all orders' AS inclusion_definition, 'orders' AS source_table, notes FROM h"""
+
+
+@query(_STATISTICS)
 def statistics_rows(spark, sf_dir):
-    """Estimates, intervals, tests and Holm adjustment of several metrics, as a statistics table."""
-    e = subject_scores(spark, sf_dir).withColumn("w", F.col("v") / 2 + F.col("subject"))
-    out = I.statistic_rows(e, ["v", "w"], by=["segment"], unit="subject", resamples=500, flips=500)
-    named = out.select(F.concat_ws("__", "segment", "metric").alias("result_id"), "metric", F.col("mean").alias("estimate"), "ci_low", "ci_high", "p_value", F.col("adjusted_p").alias("adjusted_p_value"), "status", F.col("n").alias("n_mice"), F.col("metric").alias("multiplicity_family"))
-    return X.statistics_table(named.withColumns({"tier": F.lit("exploratory"), "sidedness": F.lit("two_sided"), "confidence_level": F.lit(0.95), "ci_method": F.lit("percentile_bootstrap")}))
+    """A statistics table from a specification: several results on one metric, other null values, families, one unit, no values."""
+    base = estimates(spark, sf_dir).groupBy("segment", "subject").agg((F.avg("score") - 140).alias("v"), F.avg(F.col("response").cast("int")).alias("w"), F.countDistinct("source").alias("sessions"), F.count("*").alias("trials"))
+    metric = lambda name, c: base.select(name.alias("metric"), "subject", F.col(c).alias("value"), "sessions", "trials")
+    long = metric(F.concat(F.lit("score_"), F.col("segment")), "v").unionByName(metric(F.concat(F.lit("share_"), F.col("segment")), "w")).unionByName(base.where("subject = 0 and segment = 'BUILDING'").select(F.lit("one_nation").alias("metric"), "subject", F.col("w").alias("value"), "sessions", "trials"))
+    out = I.specified_statistics(long, SPECIFICATION, counts={"n_sessions": "sessions", "n_trials": "trials"}, provenance={"inclusion_definition": "all orders", "source_table": "orders"}, seed=4, resamples=500, flips=500, exact_up_to=5)
+    kept = [c for c in out.columns if c not in ("n_units", "model_formula", "data_version", "code_version", "config_hash")]
+    return out.select(*[F.round(c, 5 if c in ("estimate", "ci_low", "ci_high") else 6).alias(c) if c in ("estimate", "ci_low", "ci_high", "p_value", "adjusted_p_value") else F.col(c) for c in kept])
 
 
 _PERMUTED = lambda n: f"""x AS (SELECT source, subject, unit, region, weight, rep, row_number() OVER (PARTITION BY source, rep ORDER BY unit) AS a, row_number() OVER (PARTITION BY source, rep ORDER BY md5(concat_ws('|', '5', rep, source, unit)), unit) AS b FROM units CROSS JOIN (SELECT unnest(range({n})) AS rep)),
@@ -688,4 +722,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_gating(spark, sf_dir)
 
 
-from . import studies  # noqa: E402, F401  registers its own
+from . import reads_and_audits, studies  # noqa: E402, F401  they register their own
