@@ -96,3 +96,25 @@ def test_profiles(spark):
     assert (one["mean_rate"], one["evoked_rate"], one["sign_aligned_rate"], one["n_trials"], one["bin_center"]) == (11.0, 9.0, -9.0, 2, 0.25) and one["rate_deviation"] == pytest.approx(math.sqrt(0.5) / 0.5)
     sessions, subjects = P.group_profiles(profiles, session="source", subject="subject", unit="unit", block="block", group="response_group")
     assert sessions.where("block = 'e' and bin = 2").first()["n_units"] == 1 and subjects.where("block = 'r' and bin = 2").first()["mean_rate"] == 12.0
+
+
+def test_panels(spark):
+    from trialstream.operators import panels as PN
+
+    blocks = spark.createDataFrame([(s, b, float(v), n) for s, n in ((1, 2), (2, 2), (3, 1)) for b, v in zip(PN.BLOCKS, (4, 1, 2), strict=True)] + [(4, "no_reward", 1.0, 2)], "s int, b string, v double, n int")
+    contrasts = spark.createDataFrame([(1, 2.0, 2), (2, 2.5, 2), (3, 2.0, 2)], "s int, c double, m int")
+    got = {r["s"]: (r["is_connected"], r["reconstructed"], r["difference"]) for r in PN.connected_blocks(blocks, contrasts, subject="s", block="b", value="v", sessions="n", contrast="c", contrast_sessions="m").collect()}
+    assert got == {1: (True, 2.0, 0.0), 2: (True, 2.0, 0.5), 3: (False, None, None), 4: (False, None, None)}
+    panel = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, 4.0)], "k string, bin int, mean double")
+    grid = spark.createDataFrame([("a", 1), ("b", 1)], "k string, bin int")
+    assert {r["mean"] for r in PN.complete_rows(panel, grid, keys=["k", "bin"]).collect()} == {2.0, 4.0}
+    for bad in (panel.where("mean < 4"), panel.union(panel)):
+        with pytest.raises(Exception, match="not one row for"):
+            PN.complete_rows(bad, grid, keys=["k", "bin"]).collect()
+    stated = spark.createDataFrame([("a", 1.0, 3), ("b", 2.0, 3), ("c", 3.0, 3), ("d", None, 0), ("e", 1.0, 1), ("f", 1e6 + 1e-4, 2)], "k string, estimate double, n_mice int")
+    drawn = spark.createDataFrame([("a", 1.0, 3), ("b", 2.1, 3), ("c", 3.0, 4), ("d", None, 0), ("g", 1.0, 1), ("f", 1e6, 2)], "k string, mean double, n int")
+    assert {tuple(r) for r in PN.panel_mismatches(stated, drawn, key="k").collect()} == {("b", "other_estimate"), ("c", "other_n"), ("e", "not_drawn"), ("g", "no_statistic")}
+    with pytest.raises(ValueError, match="two different"):
+        PN.pair_panel(blocks, source_region="x", target_region="x", subject="s", block="b", value="v")
+    q = PN.timing_quartiles(spark.createDataFrame([("x", float(i)) for i in range(5)], "g string, v double"), by=["g"], values=["v"]).first()
+    assert tuple(q) == ("x", 5, 1.0, 2.0, 3.0)

@@ -722,4 +722,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subject_gating(spark, sf_dir)
 
 
-from . import reads_and_audits, studies  # noqa: E402, F401  they register their own
+from . import panels, reads_and_audits, studies  # noqa: E402, F401  they register their own
