@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
+
 #: Fixed values of the search.
 RIDGES = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 #: A unit whose deviation is under this share of its mean (or of 1) doesn't vary; rounding alone gives a little.
@@ -124,6 +126,7 @@ def state_axis(features: DataFrame, config: AxisConfig = AxisConfig(), *, source
     A session without figures has one row whose kind says why: too_few_trials (min_trials in both blocks), missing_values (a unit without
     a finite value in some event, or with several), degenerate (the values don't tell the blocks apart). Other blocks are left out.
     """
+    ship(features.sparkSession)
     kind = features.schema[source].dataType.simpleString()
     rows = features.where(F.col(block).isin(POSITIVE, NEGATIVE, TRANSFER)).select(source, event, F.col(time).cast("double").alias("_t"), F.col(block).alias("_b"), unit, F.col(value).cast("double").alias("_v"))
     events = rows.select(source, event, "_t", "_b").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(source).orderBy("_t", event)) - 1)
@@ -166,13 +169,12 @@ def state_axis(features: DataFrame, config: AxisConfig = AxisConfig(), *, source
         if name is not None:
             yield out()
 
-    def added(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(m) for m in frame["m"])
-        return pd.DataFrame([(*frame.iloc[0][[source, "k", "j"]], total.tobytes())], columns=[source, "k", "j", "m"])
-
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         y = np.array(frame["y"].iloc[0], float)
-        kernels = {(int(r.k), int(r.j)): np.frombuffer(r.m).reshape(len(y), -1) for r in frame.itertuples()}
+        kernels: dict = {}
+        for k, j, m in zip(frame["k"].tolist(), frame["j"].tolist(), frame["m"], strict=True):
+            own = np.frombuffer(m).reshape(len(y), -1)
+            kernels[k, j] = kernels[k, j] + own if (k, j) in kernels else own
         try:
             scores, c, constant, ridge, outer, auc = fit_axis(kernels, y, config)
             row = ("pass", scores, c, balance(y, np.flatnonzero(y)), constant, ridge, outer, auc)
@@ -181,23 +183,26 @@ def state_axis(features: DataFrame, config: AxisConfig = AxisConfig(), *, source
         return pd.DataFrame([(frame[source].iloc[0], *row)], columns=[source, "why", "scores", "c", "w", "constant", "ridge", "outer_ridges", "auc"])
 
     sums = fitted.select(source, "x", "y").sortWithinPartitions(source).mapInPandas(partial, f"{source} {kind}, k int, j int, m binary")
-    sums = sums.groupBy(source, "k", "j").applyInPandas(added, f"{source} {kind}, k int, j int, m binary")
     solved = sums.join(about.select(source, "y"), source).groupBy(source).applyInPandas(solve, f"{source} {kind}, why string, scores array<double>, c array<double>, w array<double>, constant double, ridge double, outer_ridges array<double>, auc double")
-    good = solved.where("why = 'pass'")
-    scores = good.join(about.select(source, "events"), source).select(source, F.explode(F.arrays_zip("events", "scores")).alias("s")).select(source, F.lit("score").alias("kind"), F.col("s.events").alias(event), F.col("s.scores").alias("value"))
-    dual = vectors.join(good.select(source, "c", "w", "constant"), source)
-    dual = dual.withColumn("mean", _dot(F.col("x"), F.col("w")))
+    # the fit is consumed once: a session's weights come back as one row beside its scores
+    dual = vectors.select(source, unit, "x").join(solved, source).withColumn("mean", _dot(F.col("x"), F.col("w")))
     spread = F.aggregate(F.zip_with("x", "w", lambda a, b: (a - F.col("mean")) * (a - F.col("mean")) * b), F.lit(0.0), lambda s, a: s + a)
     scale = F.when(F.sqrt(spread) <= CONSTANT * F.greatest(F.lit(1.0), F.abs("mean")), 1.0).otherwise(spread)
     along = F.aggregate(F.zip_with("x", "c", lambda a, b: (a - F.col("mean")) * b), F.lit(0.0), lambda s, a: s + a)
-    weights = dual.select(source, unit, "mean", "constant", (along / scale).alias("value"))
-    intercepts = weights.groupBy(source).agg((F.first("constant") - F.sum(F.col("mean") * F.col("value"))).alias("value"))
-    single = good.select(source, F.explode(F.create_map(F.lit("ridge"), F.col("ridge"), F.lit("auc"), F.col("auc"))).alias("kind", "value"))
-    failed = about.where("why is not null").select(source, F.col("why").alias("kind")).unionByName(solved.where("why <> 'pass'").select(source, F.col("why").alias("kind")))
-    out = scores
-    for part in (weights.select(source, F.lit("weight").alias("kind"), unit, "value"), intercepts.select(source, F.lit("intercept").alias("kind"), "value"), single, failed):
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out.select(source, "kind", event, unit, "value")
+    dual = dual.withColumn("value", along / scale)
+    fits = dual.groupBy(source).agg(F.collect_list(F.struct(F.col(unit).alias("u"), "value")).alias("weights"), F.sum(F.col("mean") * F.col("value")).alias("moved"), *[F.first(c).alias(c) for c in ("scores", "constant", "ridge", "auc")], F.first("why").alias("fitted"))
+    every = about.select(source, "why", "events").join(fits, source, "left").withColumn("why", F.coalesce("why", F.nullif("fitted", F.lit("pass"))))
+    events_type, unit_type = (features.schema[c].dataType.simpleString() for c in (event, unit))
+
+    def row(kind: str | Column, value: Column | None, of_event: Column | None = None, of_unit: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(F.lit(kind).alias("kind"), (none if of_event is None else of_event).cast(events_type).alias("event"), (none if of_unit is None else of_unit).cast(unit_type).alias("unit"), (none if value is None else value).cast("double").alias("value"))
+
+    single = F.array(row("intercept", F.col("constant") - F.col("moved")), row("ridge", F.col("ridge")), row("auc", F.col("auc")))
+    scored = F.zip_with("events", "scores", lambda e, s: row("score", s, e))
+    weighted = F.transform("weights", lambda w: row("weight", w["value"], None, w["u"]))
+    rows_of = F.when(F.col("why").isNotNull(), F.array(row(F.col("why"), None))).otherwise(F.concat(scored, weighted, single))
+    return every.select(source, F.explode(rows_of).alias("r")).select(source, "r.kind", F.col("r.event").alias(event), F.col("r.unit").alias(unit), "r.value")
 
 
 def axis_scores(features: DataFrame, weights: DataFrame, intercepts: DataFrame, *, source: str = "source", event: str = "event", unit: str = "unit", value: str = "value") -> DataFrame:

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import expect as X
 
 
@@ -106,6 +107,7 @@ def allocate(features: DataFrame, config: AllocationConfig = AllocationConfig(),
     subjects it is an error.
     """
     spark = features.sparkSession
+    ship(spark)
     rows = varying(features, subject=subject).select(F.col(subject).cast("string").alias("s"), "family", "feature", F.col("value").cast("bigint").alias("value")).collect()
     names = sorted(r["s"] for r in features.select(F.col(subject).cast("string").alias("s")).distinct().collect() if r["s"] is not None)
     keys = sorted({(r["family"], r["feature"]) for r in rows})

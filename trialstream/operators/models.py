@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Fixed values of the search.
 LAMBDAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 
@@ -61,6 +63,7 @@ def nested_ridge(fold_moments: DataFrame, *, by: list[str], folds: int, lambdas:
 
     fold_moments: moments by (by, fold); a group is as many small rows as there are folds. Ties take the larger lambda.
     """
+    ship(fold_moments.sparkSession)
     order = sorted(lambdas, reverse=True)
 
     def best(parts: list[tuple]) -> float:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
 from .blocks import evenly_spaced
 
 #: The search space and the blocks of the fit.
@@ -80,6 +81,7 @@ def cross_moments(rows: DataFrame, *, by: list[str], columns: list[str]) -> Data
 
     Batches of sorted rows hold few values of by, so little more than a matrix for each is left. Rows with a null in an array are left out.
     """
+    ship(rows.sparkSession)
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

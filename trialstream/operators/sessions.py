@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import is_finite, loglinear_dprime, reasons, reversible, wilson_interval, window_count, z_of
 
@@ -39,8 +40,10 @@ def session_behavior(trials: DataFrame, *, source: str = "source", subject: str
     late_no_reward is the last tail seconds of the middle block; engaged_2 is cut at late seconds before its end, and
     late_engaged_2 is what was cut. Membership goes by the event's time.
     """
-    ends = trials.groupBy(source).agg(*[F.max(F.when(F.col(block) == b, F.col("stop_time"))).alias(f"_end_{b}") for b in ("no_reward", "engaged_2")])
-    own = with_condition(trials).where(is_finite(event) & F.col(response).isNotNull()).join(ends, source)
+    # the window shares the exchange by session that labels blocks
+    session = Window.partitionBy(source)
+    ended = trials.withColumns({f"_end_{b}": F.max(F.when(F.col(block) == b, F.col("stop_time"))).over(session) for b in ("no_reward", "engaged_2")})
+    own = with_condition(ended).where(is_finite(event) & F.col(response).isNotNull())
     t = F.col(event)
     phase = {
         "engaged_1": F.col(block) == "engaged_1", "no_reward": F.col(block) == "no_reward", "late_no_reward": (F.col(block) == "no_reward") & (t >= F.col("_end_no_reward") - tail),
@@ -52,13 +55,18 @@ def session_behavior(trials: DataFrame, *, source: str = "source", subject: str
             here = inside & (F.col("condition") == c)
             sums += [F.count_if(here).alias(f"{p}_n_{c}"), F.count_if(here & F.col(response)).alias(f"{p}_{c}_responses")]
     out = own.groupBy(source, subject).agg(*sums)
+    # each formula is bound once, over an array of phases, so that the plan and its generated code stay small
     z = z_of(confidence)
-    for p in PHASES:
-        for c in ("go", "catch"):
-            hits, n = F.col(f"{p}_{c}_responses"), F.col(f"{p}_n_{c}")
-            low, high = wilson_interval(hits, n, z)
-            out = out.withColumns({f"{p}_{c}_rate": F.when(n > 0, hits / n), f"{p}_{c}_low": low, f"{p}_{c}_high": high})
-        out = out.withColumn(f"{p}_dprime", loglinear_dprime(*[F.col(f"{p}_{c}") for c in ("go_responses", "n_go", "catch_responses", "n_catch")]))
+    pairs = F.array(*[F.struct(F.col(f"{p}_{c}_responses").alias("k"), F.col(f"{p}_n_{c}").alias("n")) for p in PHASES for c in ("go", "catch")])
+
+    def rates(x: Column) -> Column:
+        low, high = wilson_interval(x["k"], x["n"], z)
+        return F.struct(F.when(x["n"] > 0, x["k"] / x["n"]).alias("rate"), low.alias("low"), high.alias("high"))
+
+    fours = F.array(*[F.struct(*[F.col(f"{p}_{c}").alias(c) for c in ("go_responses", "n_go", "catch_responses", "n_catch")]) for p in PHASES])
+    out = out.withColumns({"_r": F.transform(pairs, rates), "_d": F.transform(fours, lambda x: loglinear_dprime(*[x[c] for c in ("go_responses", "n_go", "catch_responses", "n_catch")]))})
+    of = {f"{p}_{c}_{name}": F.col("_r")[2 * i + j][name] for i, p in enumerate(PHASES) for j, c in enumerate(("go", "catch")) for name in ("rate", "low", "high")}
+    out = out.withColumns({**of, **{f"{p}_dprime": F.col("_d")[i] for i, p in enumerate(PHASES)}}).drop("_r", "_d")
     return out.withColumns({
         "suppression_drop": F.least("engaged_1_go_rate", "engaged_2_go_rate") - F.col("late_no_reward_go_rate"),
         "go_contrast": reversible(*[F.col(f"{p}_go_rate") for p in ("engaged_1", "late_no_reward", "engaged_2")]),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
+
 
 def parquet_rows(spark: SparkSession, path: str, columns: list[str] | None = None, *, index: str = "row_index", file: str | None = None) -> DataFrame:
     """Rows of a Parquet table with index, their place in their file as Parquet itself counts it (from 0), and, if file is given, the file's name."""
@@ -44,6 +46,7 @@ def map_batches(rows: DataFrame, reduce: Callable[[pd.DataFrame], pd.DataFrame],
     """
     if batch < 1:
         raise ValueError("batch must be positive")
+    ship(rows.sparkSession)
     keys = [*(by or []), "batch"]
     kinds = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by or []), "batch bigint", schema])
 
