@@ -6,9 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sources as S
 from ..operators import audits as D
 from ..operators import blocks as B
 from ..operators import expect as X
+from ..operators import stimuli as ST
 from ..sources import indexed
 from .registry import query, r
 from .views import TRIALS, labelled, table
@@ -174,3 +176,27 @@ def clock_rules(spark, sf_dir):
     c = clocks(spark, sf_dir)
     expected = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"))
     return X.all_of(X.expect_rows(c, {"clock_passes": F.col("passes")}), X.expect_unique(c, ["source"], "one_row"), X.expect_coverage(c, expected, ["source"], "all_sources"))
+
+
+# --- stimuli -----------------------------------------------------------------------------------------
+
+
+@query("""WITH im AS (SELECT l_suppkey AS source, l_orderkey * 10 + l_linenumber AS frame, l_linestatus = 'O' AS omitted, l_quantity <= 48 OR l_suppkey % 4 = 0 AS aligned, p_size, CASE WHEN l_suppkey % 4 <> 0 AND (l_orderkey * 10 + l_linenumber) % 103 = 0 THEN NULL ELSE 'im' || p_size END AS image, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.7 END AS contrast FROM lineitem JOIN part ON l_partkey = p_partkey),
+ s AS (SELECT *, 'im' || (source % 50 + 1) AS novel, CASE WHEN source % 5 = 0 THEN 0.7 ELSE 1.0 END AS nc, coalesce(image = novel, false) AS designated FROM im), l AS (SELECT *, CASE WHEN source % 4 <> 0 AND frame % 101 = 0 THEN NULL ELSE designated <> (source % 4 <> 0 AND frame % 97 = 0) END AS label FROM s),
+ k AS (SELECT source, count(*) AS n_presentations, count(*) FILTER (NOT omitted) AS n_shown, count(*) FILTER (NOT omitted AND image IS NULL) AS n_unread_images, count(*) FILTER (NOT omitted AND image IS NULL) AS n_other_contrasts, count(*) FILTER (NOT omitted AND label IS NULL) AS n_missing_labels,
+  count(*) FILTER (NOT omitted AND coalesce(label <> designated, true)) AS n_label_mismatches, count(*) FILTER (NOT omitted AND image IS NULL) AS n_missing_exposures, count(DISTINCT novel) AS n_novel_images, count(DISTINCT nc) AS n_novel_contrasts, bool_and(nc = 1.0) AS novel_is_full, count(*) FILTER (designated) AS n_designated, count(*) FILTER (NOT aligned) AS n_trial_mismatches FROM l GROUP BY 1)
+ SELECT *, n_unread_images + n_other_contrasts + n_missing_labels + n_label_mismatches + n_missing_exposures + n_trial_mismatches = 0 AND n_novel_images = 1 AND n_novel_contrasts = 1 AND novel_is_full AND n_designated > 0 AS passes FROM k""")
+def stimulus_semantics(spark, sf_dir):
+    """Suppliers' presentations of parts: labels, contrasts and designations, with defects in three of four suppliers."""
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    source, frame = F.col("l_suppkey"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    odd = source % 4 != 0
+    token = F.when(odd & (frame % 103 == 0), "blank").otherwise(F.concat(F.lit("im"), F.col("p_size"), F.lit("_r-"), F.when(F.col("p_size") % 2 == 0, "1.0").otherwise("0.7")))
+    rows = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(source.alias("source"), frame.alias("start_frame"), F.col("l_linenumber").alias("idx"), token.alias("image_name"), (F.col("l_linestatus") == "O").alias("omitted"), (F.col("l_quantity") <= 48).alias("small"))
+    sessions = rows.select("source").distinct().select("source", F.concat(F.lit("im"), F.col("source") % 50 + 1).alias("novel_image"), F.when(F.col("source") % 5 == 0, 0.7).otherwise(1.0).alias("novel_contrast"))
+    shown = S.task_presentations(rows, sessions)
+    shown = shown.withColumn("exposure", F.when(F.col("image_id").isNotNull(), F.col("exposure")))
+    odd, frame = F.col("source") % 4 != 0, F.col("start_frame")
+    shown = shown.withColumn("is_image_novel", F.when(odd & (frame % 101 == 0), F.lit(None)).otherwise(F.col("is_designated_novel") != (odd & (frame % 97 == 0))))
+    aligned = rows.select("source", (F.col("small") | (F.col("source") % 4 == 0)).alias("passes"))
+    return ST.stimulus_semantics(shown, aligned, by=["source"])
