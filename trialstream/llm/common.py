@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parents[1]
 #: Whole texts are large rows: so many of them are a few MB, where the usual 10,000 would be 100 MB in each of a task's buffers.
 BATCH_ROWS = 1000
+#: And so many bytes, which long texts reach first.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +55,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once for each Spark context; rows with texts go to them in batches of BATCH_ROWS at most."""
+    """Make this package importable in Python workers, once for each Spark context; rows with texts go to them in batches of BATCH_ROWS and about BATCH_BYTES at most."""
     context = spark.sparkContext
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(str(spark.conf.get(name)).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
     if getattr(context, "_trialstream_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="trialstream-"), "trialstream_code.zip")
