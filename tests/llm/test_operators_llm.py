@@ -603,3 +603,28 @@ def test_lexicon_counts_whole_words(spark):
     of = spark.createDataFrame([(w,) for w in band + [f"once{i}x{k}" for i in range(4) for k in range(500)]], "w string")
     got = {r["w"] for r in of.crossJoin(lexicon).where(imatch._inside(F.col(lexicon.columns[0]))(imatch.term(F.col("w")))).select("w").collect()}
     assert got == set(band)
+
+
+PROSE = "word " * 60
+NOTE = "<p>other text of some length that is here</p>"
+
+
+@pytest.mark.parametrize("name", "site-header site-footer page-footer main-nav main-menu main-navigation article-comments entry-footer content-sidebar page-sidebar article-related post-share article-newsletter site-notice sidebar-left comments-list comment-12 nav-links cookie-banner footer_links".split())
+def test_blocks_that_names_say_are_outside(name):
+    assert "other" not in html_mss.main_text(f'<div class="post"><p>{PROSE}</p></div><div class="{name}">{NOTE}</div>', html_mss.Weights())
+
+
+@pytest.mark.parametrize("name", "section-header card-header related-work share-price ad-spend social-policy menu-engineering navigation-systems footer-note login-tutorial".split())
+def test_parts_of_an_article_with_such_names_stay(name):
+    assert "other" in html_mss.main_text(f'<article><p>{PROSE}</p><div class="{name}">{NOTE}</div><p>{PROSE}</p></article>', html_mss.Weights())
+
+
+@pytest.mark.parametrize("name", "has-sidebar layout-sidebar-left with-menu no-header page-with-sidebar".split())
+def test_wrappers_that_name_what_they_have(name):
+    assert html_mss.main_text(f'<div class="{name}"><p>{PROSE}</p></div>', html_mss.Weights()) == PROSE.strip()
+
+
+@pytest.mark.parametrize("gap", ["<div></div>" * 300, "<br>" * 40, "<div> </div>" * 20, "</main><p></p><main>", "</main>" + "<div></div>" * 60 + "<main>"])
+def test_empty_markup_does_not_cut_an_article(gap):
+    text = html_mss.main_text(f"<main><p>first {PROSE}</p>{gap}<p>last {PROSE}</p></main>", html_mss.Weights())
+    assert text.startswith("first word") and "last word" in text and len(text.split()) == 122

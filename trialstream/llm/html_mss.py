@@ -32,16 +32,27 @@ INLINE = frozenset(
 HEAD = frozenset("head meta link title script style base noscript template basefont bgsound noframes".split())
 #: Elements whose text is never content.
 OUTSIDE = frozenset("nav header footer aside form button select option optgroup datalist dialog menu head template desc metadata defs object".split()) | RAW
-#: Names in class, id or role that say the same of a block, unless the page's article lies in it.
-OUTSIDE_NAME = re.compile(
-    r"(?:ads?|adverts?|advertisement|advertising|banner|promo|promotion|sponsor(?:ed)?|nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|related|recommend(?:ed|ations)?"
-    r"|comments?|replies|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|breadcrumbs?|pagination|pager|copyright|disclaimer|toolbar|contentinfo|complementary|dialog)",
-    re.I,
+#: Words of names in class, id or role that say the same of a block, unless the page's article lies in it.
+OUTSIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu header masthead footer sidebar aside related recommend recommended recommendations"
+    " comment comments replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social breadcrumb breadcrumbs pagination pager"
+    " copyright disclaimer toolbar contentinfo complementary dialog".split()
 )
-_NAME_PART = re.compile(rf"(?:^|.*[_-])(?:{OUTSIDE_NAME.pattern})(?:$|[_-].*)", re.I | re.S)
-#: Such a name that only says what else the page has, or doesn't have.
-_OF_WRAPPER = re.compile(r"(?:has|have|with|without|no|not|is|hide|show|js|layout|page|site|wrapper|container|content|main|article|post|entry|body)[_-]", re.I)
+#: Words of names that say what else the page has, or doesn't have, and first words of names of wrappers.
+HAVING = frozenset("has have with without no not is hide show".split())
+OF_WRAPPER = frozenset("js layout wrapper container".split())
+#: First words that say whose block it is: the page's or the article's, not that of a part of its text.
+OF_PAGE = frozenset("site page main global app top bottom home blog post entry article content body primary secondary wp web masthead".split())
+#: Words that only give the place or shape of a block.
+OF_SHAPE = frozenset(
+    "area areas list lists box boxes wrap wrapper container section sections block blocks item items link links button buttons btn bar bars panel widget widgets inner outer content left right top bottom main primary secondary"
+    " slot slots unit units form title heading thread icon icons menu nav text body group row col column wide narrow desktop mobile sticky fixed".split()
+)
+_ONLY_SHAPE = OF_SHAPE - OUTSIDE_WORDS
+_NAME_WORDS = re.compile(r"[-_]+")
 SELF_LABEL = frozenset(("article", "main"))
+#: Tags between two words that cost something at most, so that empty markup doesn't cut an article in two.
+LONGEST_GAP = 6
 #: Words of one run apart from the labelled content that count at most, so that a long advert doesn't cut an article in two.
 LONGEST_RUN = 5
 _MARKUP = re.compile(r"<(?=[A-Za-z/!?])")
@@ -152,12 +163,24 @@ class _Open:
             self.pop_to(place)
 
 
-def _hint(attributes: dict[str, str]) -> bool:
-    for key in ("class", "id", "role"):
-        for name in attributes.get(key, "").split():
-            if len(name) < 100 and _NAME_PART.match(name) and not _OF_WRAPPER.match(name):
-                return True
-    return False
+def name_is_outside(name: str, own: bool) -> bool:
+    """Whether a name in class, id or role says that its block isn't content.
+
+    The last word says what the block is (`site-footer`), after words of place or shape (`sidebar-left`, `comments-list`). Within the page's own article or main
+    element (own) the parts of a text have such names too (`section-header`, `share-price`), so there the name has to be the word alone, or the page's or the article's.
+    """
+    words = [w for w in _NAME_WORDS.split(name.lower()) if w]
+    if not words or words[0] in OF_WRAPPER or not HAVING.isdisjoint(words):
+        return False
+    while len(words) > 1 and (words[-1] in _ONLY_SHAPE or words[-1].isdigit()):
+        words.pop()
+    if words[-1] in OUTSIDE_WORDS and (len(words) == 1 or not own or all(w in OF_PAGE or w in OUTSIDE_WORDS for w in words[:-1])):
+        return True
+    return not own and words[0] in OUTSIDE_WORDS
+
+
+def _hint(attributes: dict[str, str], own: bool) -> bool:
+    return any(len(name) < 100 and name_is_outside(name, own) for key in ("class", "id", "role") for name in attributes.get(key, "").split())
 
 
 def _hidden(attributes: dict[str, str]) -> bool:
@@ -219,7 +242,7 @@ def page_tokens(page: str, names: bool = True) -> Iterator[tuple[str, str]]:
             if (at := open_.last(*ended)) > open_.last(*bound):
                 open_.pop_to(at)
         outside = name in OUTSIDE or _hidden(attributes)
-        hinted = names and name not in ("html", "body") and _hint(attributes)
+        hinted = names and name not in ("html", "body") and _hint(attributes, not own())
         if name in RAW:
             if name == "noscript" and alone:
                 continue
@@ -289,13 +312,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def _region_text(tokens: list[tuple[str, str]], values: dict[str, float]) -> str:
-    scores = []
+    scores, gap = [], 0
     for kind, data in tokens:
         if kind == "t:gone":
             scores.append(0.0)
             continue
-        n = len(data.split()) if kind[0] == "w" else 1
-        scores.append(values[kind] * (min(n, LONGEST_RUN) if kind == "w:apart" else n))
+        tag = kind[0] == "t"
+        n = 1 if tag else len(data.split())
+        gap = gap + 1 if tag else gap if n == 0 else 0
+        scores.append(0.0 if tag and gap > LONGEST_GAP else values[kind] * (min(n, LONGEST_RUN) if kind == "w:apart" else n))
     start, end = best_region(scores)
     parts: list[str] = []
     for kind, data in tokens[start:end]:
