@@ -99,10 +99,10 @@ def lead_region_null(spark, sf_dir):
     return PN.lead_null(null, best, label="region").withColumn("mean", F.round("mean", 8))
 
 
-@query(f"""WITH {_DATED}, b AS (SELECT subject, reward_block, avg(score) AS v FROM est WHERE segment = 'BUILDING' AND status = 'F' GROUP BY 1, 2), w AS (SELECT subject, max(v) FILTER (reward_block = 'engaged_1') AS engaged_1, max(v) FILTER (reward_block = 'no_reward') AS no_reward, max(v) FILTER (reward_block = 'engaged_2') AS engaged_2 FROM b GROUP BY 1)
+@query(f"""WITH {_DATED}, b AS (SELECT subject, reward_block, avg(sqrt(score)) AS v FROM est WHERE segment = 'BUILDING' AND status = 'F' GROUP BY 1, 2), w AS (SELECT subject, max(v) FILTER (reward_block = 'engaged_1') AS engaged_1, max(v) FILTER (reward_block = 'no_reward') AS no_reward, max(v) FILTER (reward_block = 'engaged_2') AS engaged_2 FROM b GROUP BY 1)
  SELECT subject, round(engaged_1, 6) AS engaged_1, round(no_reward, 6) AS no_reward, round(engaged_2, 6) AS engaged_2, round(0.5 * engaged_1 - no_reward + 0.5 * engaged_2, 6) AS contrast FROM w WHERE engaged_1 + no_reward + engaged_2 IS NOT NULL""")
 def pair_panel(spark, sf_dir):
     """Block values of one ordered pair (a segment and a status) by subject, with the contrast computed anew."""
-    blocks = dated(spark, sf_dir).groupBy("subject", F.col("segment").alias("source_region"), F.col("status").alias("target_region"), "reward_block").agg(F.avg("score").alias("v"))
+    blocks = dated(spark, sf_dir).groupBy("subject", F.col("segment").alias("source_region"), F.col("status").alias("target_region"), "reward_block").agg(F.avg(F.sqrt("score")).alias("v"))
     out = PN.pair_panel(blocks, source_region="BUILDING", target_region="F", subject="subject", block="reward_block", value="v")
     return out.select("subject", *r(*PN.BLOCKS, "contrast"))

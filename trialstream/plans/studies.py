@@ -19,7 +19,7 @@ from .views import DAY, TRIALS, labelled, spikes, table
 _ANCHORS = f"""{TRIALS},
 bounds AS (SELECT source, subject, {', '.join(f"min(start_time) FILTER (reward_block = '{b}') AS lo{i}, max(stop_time) FILTER (reward_block = '{b}') AS hi{i}" for i, b in enumerate(('engaged_1', 'no_reward', 'engaged_2')))} FROM labelled GROUP BY ALL),
 marks AS ({' UNION ALL '.join(f"SELECT source, subject, '{name}' AS transition, {sign} AS direction, '{anchor}' AS anchor, CASE WHEN lo{i} IS NOT NULL AND lo{i + 1} IS NOT NULL THEN {t} END AS t0, '{before}' AS b0, '{after}' AS b1 FROM bounds" for i, name, sign, pre, post in ((0, 'withdrawal', -1, 'engaged_1', 'no_reward'), (1, 'restoration', 1, 'no_reward', 'engaged_2')) for anchor, t, before, after in (('real', f'lo{i + 1}', pre, post), ('pseudo', f'(lo{i} + hi{i}) / 2', pre, pre)))}),
-near AS (SELECT m.*, change_time - t0 AS rel, value / 100 AS s FROM labelled l JOIN marks m USING (source) WHERE event_type <> 'error' AND value IS NOT NULL AND reward_block = CASE WHEN change_time - t0 < 0 THEN b0 ELSE b1 END)"""
+near AS (SELECT m.*, change_time - t0 AS rel, sqrt(value) / 10 AS s FROM labelled l JOIN marks m USING (source) WHERE event_type <> 'error' AND value IS NOT NULL AND reward_block = CASE WHEN change_time - t0 < 0 THEN b0 ELSE b1 END)"""
 _STEPS = f"""sides AS (SELECT source, transition, anchor, count(*) FILTER (rel < 0) AS n_pre, count(*) FILTER (rel >= 0) AS n_post, avg(s) FILTER (rel < 0) AS pre_mean, avg(s) FILTER (rel >= 0) AS post_mean FROM near WHERE rel >= -{5 * DAY} AND rel < {5 * DAY} GROUP BY ALL),
 steps AS (SELECT source, subject, transition, anchor, coalesce(n_pre, 0) AS n_pre, coalesce(n_post, 0) AS n_post, pre_mean, post_mean, CASE WHEN least(coalesce(n_pre, 0), coalesce(n_post, 0)) >= 5 THEN direction * (post_mean - pre_mean) END AS signed_step,
   CASE WHEN t0 IS NULL THEN 'invalid_boundary' WHEN least(coalesce(n_pre, 0), coalesce(n_post, 0)) >= 5 THEN 'pass' ELSE 'insufficient_trials' END AS status FROM marks LEFT JOIN sides USING (source, transition, anchor))"""
@@ -27,7 +27,7 @@ steps AS (SELECT source, subject, transition, anchor, coalesce(n_pre, 0) AS n_pr
 
 def score_tables(spark: SparkSession, sf_dir: str) -> SC.ScoreTables:
     t = labelled(spark, sf_dir)
-    scored = t.where("event_type <> 'error'").withColumn("score", F.col("value") / 100)
+    scored = t.where("event_type <> 'error'").withColumn("score", F.sqrt("value") / 10)
     return SC.transition_scores(scored, B.transition_boundaries(t), SC.ScoreConfig(5 * DAY, DAY, 5 * DAY, 5))
 
 
@@ -131,10 +131,10 @@ def trial_covariates(spark, sf_dir):
     return N.trial_covariates(t, by=["source"], image="event_type", latency="latency").select("id", F.posexplode("nuisance").alias("place", "value")).select("id", "place", *r("value"))
 
 
-@query("""SELECT l_suppkey AS source, l_orderkey AS event, round(any_value(s_nationkey) + sum(l_quantity * s_acctbal / 1000 * l_linenumber), 4) AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <= 4 GROUP BY 1, 2""")
+@query("""SELECT l_suppkey AS source, l_orderkey AS event, round(any_value(s_nationkey) + sum(l_quantity * round(s_acctbal) * l_linenumber), 4) AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <= 4 GROUP BY 1, 2""")
 def frozen_axis_scores(spark, sf_dir):
     """Scores of orders by an axis per supplier that was fitted elsewhere."""
     features = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("unit"), F.col("l_quantity").alias("value"))
     s = table(spark, sf_dir, "supplier")
-    weights = s.select(F.col("s_suppkey").alias("source"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("unit"), (F.col("s_acctbal") / 1000 * F.col("unit")).alias("value"))
+    weights = s.select(F.col("s_suppkey").alias("source"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("unit"), (F.round("s_acctbal") * F.col("unit")).alias("value"))
     return A.axis_scores(features, weights, s.select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").cast("double").alias("value"))).select("source", "event", *r("score", digits=4))
