@@ -297,3 +297,14 @@ def test_tree_paths_go_down_to_every_node_or_fail(spark):
     assert got == {i: list(range(i + 1)) for i in range(6)}
     with pytest.raises(Exception, match="deeper than max_depth"):
         J.tree_paths(edges, node="node", parent="parent", max_depth=4).collect()
+
+
+def test_evenly_spaced_places(spark):
+    sizes = {"a": 7, "b": 12, "c": 61, "d": 30_000}
+    for groups in (("a", "b", "c"), ("b", "c"), ("c",), ("c", "d")):
+        df = spark.createDataFrame([(0, g, k) for g in groups for k in range(sizes[g])], "s int, g string, k int")
+        least = min(sizes[g] for g in groups)
+        chosen = B.evenly_spaced(df, by=["s"], group="g", order=["k"])
+        assert sorted((r["g"], r["k"]) for r in chosen.collect()) == sorted((g, (2 * i + 1) * sizes[g] // (2 * least)) for g in groups for i in range(least))
+        # places follow by arithmetic; no row searches a list of them
+        assert "array_contains" not in chosen._jdf.queryExecution().optimizedPlan().toString()

@@ -210,8 +210,9 @@ def evenly_spaced(df: DataFrame, *, by: list[str], group: str, order: list[str])
     sizes = df.groupBy(*by, group).agg(F.count("*").alias("_n"))
     least = sizes.groupBy(*by).agg(F.min("_n").alias("_m"))
     placed = df.withColumn("_at", F.row_number().over(own.orderBy(*order)) - 1).join(sizes, [*by, group]).join(least, by)
-    chosen = F.transform(F.sequence(F.lit(0), F.col("_m").cast("int") - 1), lambda i: F.floor((i + 0.5) * F.col("_n") / F.col("_m")))
-    return placed.where(F.array_contains(chosen, F.col("_at").cast("bigint"))).drop("_at", "_n", "_m")
+    # the first i whose place isn't before this row, in whole numbers; the row is chosen if i's place isn't behind it either
+    i = F.expr("(2 * CAST(_at AS BIGINT) * _m + _n - 1) div (2 * _n)")
+    return placed.where((2 * i + 1) * F.col("_n") < 2 * (F.col("_at").cast("bigint") + 1) * F.col("_m")).drop("_at", "_n", "_m")
 
 
 def cyclic_shift(df: DataFrame, value: str, *, by: list[str], order: list[str]) -> DataFrame:
