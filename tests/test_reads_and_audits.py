@@ -27,6 +27,19 @@ def test_rows_at_keeps_the_order_of_the_request(spark, tmp_path):
         indexed.map_batches(rows, lambda f: f, "n int", batch=0)
 
 
+
+def test_positions_are_numbered_in_parts(spark):
+    rows = [(None if k % 9 == 0 else k * 37 % 23, f"n{k * 11 % 101}" if k % 7 else None) for k in range(101)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(3)
+    numbered = indexed.numbered(df, ["a", "b"], parts=8)
+    want = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, r[1] or "")))
+    assert [(r["a"], r["b"]) for r in sorted(numbered.collect(), key=lambda r: r["position"])] == want
+    assert sorted(r["position"] for r in numbered.collect()) == list(range(101))
+    # no window takes all rows into one task
+    assert "SinglePartition" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert indexed.numbered(df.limit(0), ["a"]).collect() == []
+
+
 def test_requests_by_source(spark):
     df = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "source string, row_index bigint, v string")
     requests = indexed.numbered(spark.createDataFrame([("b", 0, 1), ("a", 1, 1), ("a", 0, 2), ("b", 1, 2)], "source string, row_index bigint, k int"), ["k"], by=["source"])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,10 +19,35 @@ def parquet_rows(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*(columns or df.columns), *more)
 
 
-def numbered(requests: DataFrame, order: list[str], *, by: list[str] | None = None, position: str = "position") -> DataFrame:
-    """requests with their position from 0 in the given order, within by."""
-    own = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    return requests.withColumn(position, F.row_number().over(own) - 1)
+def numbered(requests: DataFrame, order: list[str], *, by: list[str] | None = None, position: str = "position", parts: int = 64) -> DataFrame:
+    """requests with their position from 0 in the given order, within by.
+
+    Without by, rows are numbered within parts that follow each other in the order, plus the rows of the parts before; the parts' bounds come from
+    a sample, which moves work but no position. The bounds and the sizes of the parts pass through the driver.
+    """
+    if by:
+        return requests.withColumn(position, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    some = requests.select(*order).orderBy(F.xxhash64(*order)).limit(32 * parts).distinct().orderBy(*order).collect()
+    kinds = [requests.schema[c].dataType for c in order]
+
+    def at(values: Iterable[Column]) -> Column:
+        own = [v.cast(t).alias(c) for v, t, c in zip(values, kinds, order, strict=True)]
+        return own[0] if len(own) == 1 else F.struct(*own)
+
+    bounds = [some[i] for i in sorted({len(some) * k // parts for k in range(1, parts)} - {0})]
+
+    def part(low: int, high: int) -> Column:
+        """How many of the bounds aren't above the row, which is behind the first low ones and before those from high on; a null comes first."""
+        if low == high:
+            return F.lit(low)
+        k = (low + high) // 2
+        return F.when(at(map(F.col, order)) >= at(map(F.lit, bounds[k])), part(k + 1, high)).otherwise(part(low, k))
+
+    dealt = requests.withColumn("_part", part(0, len(bounds)))
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    before = F.array(*[F.lit(sum(n for k, n in sizes.items() if k < i)).cast("bigint") for i in range(len(bounds) + 1)])
+    own = Window.partitionBy("_part").orderBy(*order)
+    return dealt.withColumn(position, before[F.col("_part")] + F.row_number().over(own) - 1).drop("_part")
 
 
 def rows_at(df: DataFrame, requests: DataFrame, *, index: str = "row_index", position: str = "position", by: list[str] | None = None) -> DataFrame:
@@ -31,14 +56,17 @@ def rows_at(df: DataFrame, requests: DataFrame, *, index: str = "row_index", pos
     Repeated indices give repeated rows. status: found; missing, if df has no such row (its columns are null); invalid for a null or negative
     index. The range of requested indices filters df before the join, so that row groups outside of it aren't read where index is a stored column.
     """
-    keys = [*(by or []), index]
-    span = requests.agg(F.min(index).alias("lo"), F.max(index).alias("hi")).first()
-    near = df.where(F.col(index).between(max(span["lo"], 0), span["hi"])) if span["hi"] is not None else df.limit(0)
-    found = requests.join(near.withColumn("_found", F.lit(True)), keys, "left")
+    found = requests.join(_near(df, requests, index).withColumn("_found", F.lit(True)), [*(by or []), index], "left")
     status = F.when(F.col(index).isNull() | (F.col(index) < 0), "invalid").when(F.col("_found"), "found").otherwise("missing")
     return found.withColumn("status", status).drop("_found").orderBy(*(by or []), position)
 
 
+def _near(df: DataFrame, requests: DataFrame, index: str) -> DataFrame:
+    """Rows of df in the range of requested indices."""
+    span = requests.agg(F.min(index).alias("lo"), F.max(index).alias("hi")).first()
+    return df.where(F.col(index).between(max(span["lo"], 0), span["hi"])) if span["hi"] is not None else df.limit(0)
+
+
 def map_batches(rows: DataFrame, reduce: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *, batch: int = 64, position: str = "position", by: list[str] | None = None) -> DataFrame:
     """reduce of each batch of rows that lie next to each other in the request, as rows_at returns them; a batch holds so many at most, in order.
 
