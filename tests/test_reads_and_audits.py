@@ -40,6 +40,18 @@ def test_positions_are_numbered_in_parts(spark):
     assert indexed.numbered(df.limit(0), ["a"]).collect() == []
 
 
+def test_batches_get_a_row_once_for_each_group(spark):
+    df = spark.createDataFrame([(k, [float(k)] * 3) for k in range(10)], "row_index bigint, xs array<double>")
+    requests = spark.createDataFrame([(k, k * 7 % 13 - 1 if k % 5 else None) for k in range(200)], "position bigint, row_index bigint").repartition(3)
+    reduce = lambda f: pd.DataFrame({"n": [len(f)], "total": [float(sum(x.sum() for x in f["xs"]))], "first": [f["position"].iloc[0]], "last": [f["position"].iloc[-1]]})
+    schema = "n bigint, total double, first bigint, last bigint"
+    want = indexed.map_batches(indexed.rows_at(df, requests), reduce, schema, batch=8).select("batch", "n", "total", "first", "last").collect()
+    for batches in (1, 3, 100):
+        got = indexed.batches_at(df, requests, reduce, schema, batch=8, batches=batches).select("batch", "n", "total", "first", "last").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 25
+    assert indexed.batches_at(df, requests.where("row_index < 0"), reduce, schema).collect() == []
+
+
 def test_requests_by_source(spark):
     df = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "source string, row_index bigint, v string")
     requests = indexed.numbered(spark.createDataFrame([("b", 0, 1), ("a", 1, 1), ("a", 0, 2), ("b", 1, 2)], "source string, row_index bigint, k int"), ["k"], by=["source"])

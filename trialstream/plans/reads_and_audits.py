@@ -42,7 +42,7 @@ def vectors_in_batches(spark, sf_dir):
     def reduce(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"n": [len(frame)], "total": [float(sum(v.astype(float).sum() for v in frame["embedding"]))], "first_position": [frame["position"].iloc[0]], "last_position": [frame["position"].iloc[-1]]})
 
-    out = indexed.map_batches(indexed.rows_at(rows, requests(spark, sf_dir)), reduce, "n bigint, total double, first_position bigint, last_position bigint")
+    out = indexed.batches_at(rows, requests(spark, sf_dir), reduce, "n bigint, total double, first_position bigint, last_position bigint")
     return out.select("batch", "n", *r("total", digits=4), "first_position", "last_position")
 
 

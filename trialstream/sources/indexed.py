@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..shipping import ship
@@ -67,6 +68,26 @@ def _near(df: DataFrame, requests: DataFrame, index: str) -> DataFrame:
     return df.where(F.col(index).between(max(span["lo"], 0), span["hi"])) if span["hi"] is not None else df.limit(0)
 
 
+def batches_at(df: DataFrame, requests: DataFrame, reduce: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *, index: str = "row_index", position: str = "position", batch: int = 64, by: list[str] | None = None, batches: int = 256) -> DataFrame:
+    """What map_batches gives for the rows of rows_at, without a copy of a row for each request: batches next to each other lie in one group, to which a row of df goes once."""
+    if batch < 1 or batches < 1:
+        raise ValueError("batch and batches must be positive")
+    ship(df.sparkSession)
+    keys = [*(by or []), "batch"]
+    kinds = ", ".join([*(f"{c} {requests.schema[c].dataType.simpleString()}" for c in by or []), "batch bigint", schema])
+    dealt = requests.withColumn("batch", F.floor(F.col(position) / batch)).withColumn("_group", F.floor(F.col("batch") / batches))
+    group, on = [*(by or []), "_group"], [*(by or []), index]
+    wanted = dealt.select(*[F.col(c).alias(c) for c in [*group, index]]).distinct()
+    rows = wanted.join(_near(df, requests, index), on)
+
+    def run(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        whole = asked.merge(found.drop(columns="_group"), on=on).drop(columns="_group").sort_values(position, kind="stable")
+        return pd.concat([reduce(own).assign(**{c: own[c].iloc[0] for c in keys}) for _, own in whole.groupby("batch", sort=False)] or [pd.DataFrame(columns=names)], ignore_index=True)
+
+    names = [f.name for f in StructType.fromDDL(kinds)]
+    return dealt.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(run, kinds)
+
+
 def map_batches(rows: DataFrame, reduce: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *, batch: int = 64, position: str = "position", by: list[str] | None = None) -> DataFrame:
     """reduce of each batch of rows that lie next to each other in the request, as rows_at returns them; a batch holds so many at most, in order.
 
