@@ -308,3 +308,18 @@ def test_evenly_spaced_places(spark):
         assert sorted((r["g"], r["k"]) for r in chosen.collect()) == sorted((g, (2 * i + 1) * sizes[g] // (2 * least)) for g in groups for i in range(least))
         # places follow by arithmetic; no row searches a list of them
         assert "array_contains" not in chosen._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_need_no_exchange_after_the_pairs(spark):
+    p = spark.createDataFrame([("a", u, float(t)) for u, t in (("x", 0), ("x", 9), ("x", 10), ("y", 14), ("y", 21), (None, 11))] + [("b", "x", 3.0), ("a", "z", None)], "s string, u string, t double")
+    e = spark.createDataFrame([("a", 1, 10.0, None), ("a", 2, 20.0, 5), ("a", 3, None, 5), ("b", 4, 50.0, 5)], "s string, id int, e double, v int")
+    common = {"by": ["s"], "point": "t", "event": "e", "unit": ["u"], "event_key": ["id", "v"]}
+    counted = J.count_in_windows(p, e, windows={"n": (-5.0, 5.0)}, **common)
+    got = {(r["id"], r["u"]): r["n"] for r in counted.collect()}
+    # a null in the event's key or in the unit is a value like others
+    assert got == {(i, u): {(1, "x"): 2, (1, "y"): 1, (1, None): 1, (2, "y"): 1}.get((i, u), 0) for i in (1, 2, 3) for u in ("x", "y", "z", None)} | {(4, "x"): 0}
+    rows = J.histograms_around(p, e, start=-5.0, width=2.5, bins=4, **common)
+    assert {(r["id"], r["u"]): r["counts"] for r in rows.where("s = 'a' and id < 2").collect()} == {(1, "x"): [0, 1, 1, 0], (1, "y"): [0, 0, 0, 1], (1, None): [0, 0, 1, 0], (1, "z"): [0] * 4}
+    for df in (counted, rows):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("Join")]

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Events whose pairs and counts one partition of a range join holds, about.
+EVENTS_IN_PART = 50_000
+
+
 class CardinalityError(ValueError):
     """A key that must be unique isn't, or null."""
 
@@ -68,38 +72,49 @@ def nearest(events: DataFrame, samples: DataFrame, *, by: list[str], time: str,
     return own.join(found.select("_row", picked.alias(name)), "_row", "left").drop("_row", "_t")
 
 
-def count_in_windows(points: DataFrame, events: DataFrame, *, by: list[str], point: str, event: str, windows: dict[str, tuple[float, float]], unit: list[str], event_key: list[str]) -> DataFrame:
-    """(by, event_key, unit, one count per window): points within [event + a, event + b) for each event and unit of its key.
+def _pairs(points: DataFrame, events: DataFrame, *, by: list[str], point: str, event: str, low: float, high: float, unit: list[str], event_key: list[str]) -> DataFrame:
+    """(by, _b, event_key, _e, unit, _p): events with the points within [event + low, event + high), and with a null point for each unit of their key.
 
-    A bucketed range join: an event goes to the one or two buckets, as wide as all windows together, that it touches, and points to
-    one, so the join is on equal keys and spreads over time; counts are summed in one pass, and units without a point count 0.
+    A bucketed range join: an event lies in one bucket, as wide as the window, and a point goes to the two or three whose events it can meet, so the join is on equal
+    keys and spreads over time. All pairs of an event are in one bucket, so groupings by it that name _b need no exchange. Events are counted first: partitions
+    grow in number with them, not in size.
     """
-    low, high = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
     width = high - low
-    spans = events.select(*by, *event_key, F.col(event).alias("_e")).withColumn("_b", F.explode(F.sequence(F.floor((F.col("_e") + low) / width), F.floor((F.col("_e") + high) / width))))
-    dots = points.select(*by, *unit, F.col(point).alias("_p")).withColumn("_b", F.floor(F.col("_p") / width))
-    near = spans.join(dots, [*by, "_b"]).where((F.col("_p") >= F.col("_e") + low) & (F.col("_p") < F.col("_e") + high))
-    counted = near.groupBy(*by, *event_key, *unit).agg(*[F.count_if((F.col("_p") >= F.col("_e") + a) & (F.col("_p") < F.col("_e") + b)).alias(n) for n, (a, b) in windows.items()])
-    grid = events.select(*by, *event_key).join(points.select(*by, *unit).distinct(), by)
-    return grid.join(counted, [*by, *event_key, *unit], "left").fillna(0, list(windows))
+    parts = -(-events.count() // EVENTS_IN_PART) or 1
+    own = events.select(*by, *event_key, F.col(event).alias("_e"), F.coalesce(F.floor(F.col(event) / width), F.lit(0)).alias("_b"))
+    dots = points.select(*by, *unit, F.col(point).alias("_p"))
+    # the margin is for rounding; the exact condition comes after the join
+    near = dots.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_p") - high) / width - 1e-6), F.floor((F.col("_p") - low) / width + 1e-6))))
+    every = own.select(*by, "_b").distinct().join(dots.select(*by, *unit).distinct(), by).withColumn("_p", F.lit(None).cast(points.schema[point].dataType))
+    dealt = [df.repartition(parts, *by, "_b") for df in (own, near.unionByName(every))]
+    return dealt[0].join(dealt[1], [*by, "_b"]).where(F.col("_p").isNull() | ((F.col("_p") >= F.col("_e") + low) & (F.col("_p") < F.col("_e") + high)))
 
 
-def histogram_around(points: DataFrame, events: DataFrame, *, by: list[str], point: str, event: str, start: float, width: float, bins: int, unit: list[str], event_key: list[str]) -> DataFrame:
-    """(by, event_key, unit, bin, n): points by bins of equal width from event + start; empty bins are 0. Null events have no rows.
+def count_in_windows(points: DataFrame, events: DataFrame, *, by: list[str], point: str, event: str, windows: dict[str, tuple[float, float]], unit: list[str], event_key: list[str]) -> DataFrame:
+    """(by, event_key, unit, one count per window): points within [event + a, event + b) for each event and unit of its key. Counts are summed in one pass, and units without a point count 0."""
+    low, high = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
+    near = _pairs(points, events, by=by, point=point, event=event, low=low, high=high, unit=unit, event_key=event_key)
+    counted = near.groupBy(*by, "_b", *event_key, *unit).agg(*[F.count_if((F.col("_p") >= F.col("_e") + a) & (F.col("_p") < F.col("_e") + b)).alias(n) for n, (a, b) in windows.items()])
+    return counted.select(*by, *event_key, *unit, *windows)
+
+
+def histograms_around(points: DataFrame, events: DataFrame, *, by: list[str], point: str, event: str, start: float, width: float, bins: int, unit: list[str], event_key: list[str]) -> DataFrame:
+    """(by, event_key, unit, counts): an array of points by bins of equal width from event + start; empty bins are 0. Null events have no rows.
 
     A bin's edges are computed as event + (start + k * width), so points on an edge fall where the edge says.
     """
-    span = bins * width
-    own = events.where(F.col(event).isNotNull()).select(*by, *event_key, F.col(event).alias("_e"))
-    spans = own.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_e") + start) / span), F.floor((F.col("_e") + start + span) / span))))
-    dots = points.select(*by, *unit, F.col(point).alias("_p")).withColumn("_b", F.floor(F.col("_p") / span))
+    near = _pairs(points, events.where(F.col(event).isNotNull()), by=by, point=point, event=event, low=start, high=start + bins * width, unit=unit, event_key=event_key)
     guess = F.floor((F.col("_p") - F.col("_e") - start) / width).cast("int")
     edge = lambda k: F.col("_e") + (F.lit(start) + k * F.lit(width))
     k = F.when(F.col("_p") < edge(guess), guess - 1).when(F.col("_p") >= edge(guess + 1), guess + 1).otherwise(guess)
-    found = spans.join(dots, [*by, "_b"]).withColumn("bin", k).where((F.col("bin") >= 0) & (F.col("bin") < bins))
-    counted = found.groupBy(*by, *event_key, *unit, "bin").agg(F.count("*").alias("n"))
-    grid = own.drop("_e").join(points.select(*by, *unit).distinct(), by).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(counted, [*by, *event_key, *unit, "bin"], "left").fillna(0, ["n"])
+    counted = near.withColumn("_k", k).groupBy(*by, "_b", *event_key, *unit).agg(F.array(*[F.count_if(F.col("_k") == i) for i in range(bins)]).alias("counts"))
+    return counted.select(*by, *event_key, *unit, "counts")
+
+
+def histogram_around(points: DataFrame, events: DataFrame, *, by: list[str], point: str, event: str, start: float, width: float, bins: int, unit: list[str], event_key: list[str]) -> DataFrame:
+    """(by, event_key, unit, bin, n): histograms_around with a row for each bin."""
+    rows = histograms_around(points, events, by=by, point=point, event=event, start=start, width=width, bins=bins, unit=unit, event_key=event_key)
+    return rows.select(*by, *event_key, *unit, F.posexplode("counts").alias("bin", "n"))
 
 
 def region_pairs(units: DataFrame, *, source: str, subject: str, region: str, minimum: int) -> tuple[DataFrame, DataFrame]:

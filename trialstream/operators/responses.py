@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +28,18 @@ def windowed_responses(bins: DataFrame, *, by: list[str], start: float, width: f
     return bins.groupBy(*by).agg((rate(inside) - rate(before)).alias("response"))
 
 
+def counts_response(counts: str, bins: int, *, start: float, width: float, response: tuple[float, float], baseline: tuple[float, float], stop: Column | None = None) -> Column:
+    """windowed_responses' response of one row with an array of counts by bin (as histograms_around makes)."""
+    centres = [start + (k + 0.5) * width for k in range(bins)]
+    n = [F.col(counts)[k] for k in range(bins)]
+    total = lambda ks, of: sum((of(k) for k in ks), F.lit(0))
+    rate = lambda s, m: stabilized(s) / F.sqrt(F.nullif(m, F.lit(0)) * width)
+    inside, before = ([k for k, c in enumerate(centres) if a <= c < b] for a, b in (response, baseline))
+    ends = lambda k: F.lit(True) if stop is None else F.lit(centres[k] + width / 2) <= stop + 1e-9
+    within = rate(total(inside, lambda k: F.when(ends(k), n[k]).otherwise(0)), total(inside, lambda k: F.when(ends(k), 1).otherwise(0)))
+    return within - rate(total(before, lambda k: n[k]), F.lit(len(before)))
+
+
 def response_classes(trials: DataFrame, *, by: list[str], half: str = "half", early: str = "early", late: str = "late", action: str = "action", responded: str = "responded") -> DataFrame:
     """A row for each unit (by): half_0_class, half_1_class, is_stable, response_class, sign, margin and the mean of each response.
 
@@ -65,13 +77,18 @@ def class_stability(units: DataFrame, *, by: list[str], session: str) -> DataFra
     return out.withColumn("stable_fraction", F.col("n_stable_units") / F.col("n_units"))
 
 
-def unit_profiles(bins: DataFrame, units: DataFrame, *, session: str, unit: str, block: str, start: float, width: float, baseline: tuple[float, float], bin: str = "bin", n: str = "n") -> DataFrame:
+def unit_profiles(bins: DataFrame, units: DataFrame, *, session: str, unit: str, block: str, start: float, width: float, baseline: tuple[float, float], bin: str = "bin", n: str = "n", counts: str | None = None, n_bins: int = 0) -> DataFrame:
     """Per unit, block and bin: n_trials, mean rate, its deviation over trials, evoked_rate (less the mean of the baseline's bins) and sign_aligned_rate.
 
-    bins: counts by trial, unit and bin, as histogram_around makes; units: session, unit, sign and whatever else describes a unit. All sums are one mergeable
+    bins: counts by trial, unit and bin, as histogram_around makes, or with counts an array of n_bins of them by trial and unit, as histograms_around makes; units: session, unit, sign and whatever else describes a unit. All sums are one mergeable
     aggregate. A unit that units doesn't have gets no row; a null sign gives a null sign_aligned_rate.
     """
-    rates = bins.groupBy(session, unit, block, bin).agg(F.count("*").alias("n_trials"), (F.avg(n) / width).alias("mean_rate"), (F.stddev_samp(n) / width).alias("rate_deviation"))
+    rate = lambda c: [(F.avg(c) / width).alias("mean_rate"), (F.stddev_samp(c) / width).alias("rate_deviation")]
+    if counts is None:
+        rates = bins.groupBy(session, unit, block, bin).agg(F.count("*").alias("n_trials"), *rate(n))
+    else:
+        by_bin = F.array(*[F.struct(*rate(F.col(counts)[k])) for k in range(n_bins)])
+        rates = bins.groupBy(session, unit, block).agg(F.count("*").alias("n_trials"), by_bin.alias("_r")).select(session, unit, block, "n_trials", F.posexplode("_r").alias(bin, "_r")).select(session, unit, block, bin, "n_trials", "_r.*")
     centre = F.lit(start) + (F.col(bin) + 0.5) * width
     own = Window.partitionBy(session, unit, block)
     before = F.avg(F.when((centre >= baseline[0]) & (centre < baseline[1]), F.col("mean_rate"))).over(own)

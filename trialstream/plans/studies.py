@@ -84,8 +84,8 @@ _START, _WIDTH, _BINS = -2 * DAY, DAY / 2, 8
 
 
 def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each type by half days around every trial."""
-    return J.histogram_around(spikes(spark, sf_dir), labelled(spark, sf_dir), by=["source"], point="t", event="change_time", start=_START, width=_WIDTH, bins=_BINS, unit=["unit"], event_key=["id", "reward_block", "value"])
+    """Events of each type by half days around every trial, an array for each."""
+    return J.histograms_around(spikes(spark, sf_dir), labelled(spark, sf_dir), by=["source"], point="t", event="change_time", start=_START, width=_WIDTH, bins=_BINS, unit=["unit"], event_key=["id", "reward_block", "value"])
 
 
 _BINNED = f"""{TRIALS}, types AS (SELECT DISTINCT source, event_type AS unit FROM trials), cells AS (SELECT l.source, l.id, l.reward_block, l.value, l.change_time, u.unit, k AS bin FROM labelled l JOIN types u USING (source) CROSS JOIN (SELECT unnest(range({_BINS})) AS k)),
@@ -98,11 +98,10 @@ binned AS (SELECT c.*, coalesce(n, 0) AS n, {_START} + (bin + 0.5) * {_WIDTH} AS
  SELECT source, unit, round(avg(a), 8) AS response, count(b) AS n_censored, round(avg(b), 8) AS censored_response FROM one GROUP BY 1, 2""".replace("GROUP BY ALL)\n SELECT source, unit", "GROUP BY source, id, unit, value)\n SELECT source, unit"))
 def window_responses(spark, sf_dir):
     """Variance-stabilised responses, over the whole window and before each trial's own stop, averaged over trials."""
-    bins = binned(spark, sf_dir).withColumn("stop", F.col("value") * (DAY / 100))
     windows = {"start": _START, "width": _WIDTH, "response": (0.0, 2 * DAY), "baseline": (-2 * DAY, 0.0)}
-    whole = P.windowed_responses(bins, by=["source", "id", "unit"], **windows).groupBy("source", "unit").agg(F.avg("response").alias("response"))
-    cut = P.windowed_responses(bins, by=["source", "id", "unit", "stop"], stop="stop", **windows).groupBy("source", "unit").agg(F.count("response").alias("n_censored"), F.avg("response").alias("censored_response"))
-    return whole.join(cut, ["source", "unit"]).select("source", "unit", *r("response", "censored_response", digits=8), "n_censored")
+    whole, cut = (P.counts_response("counts", _BINS, stop=stop, **windows) for stop in (None, F.col("value") * (DAY / 100)))
+    out = binned(spark, sf_dir).select("source", "unit", whole.alias("whole"), cut.alias("cut")).groupBy("source", "unit").agg(F.avg("whole").alias("response"), F.count("cut").alias("n_censored"), F.avg("cut").alias("censored_response"))
+    return out.select("source", "unit", *r("response", "censored_response", digits=8), "n_censored")
 
 
 @query(f"""WITH {_BINNED}, rates AS (SELECT source, unit, reward_block, bin, count(*) AS n_trials, avg(n) / {_WIDTH} AS m FROM binned GROUP BY ALL), evoked AS (SELECT *, (m - avg(m) FILTER (bin < 4) OVER (PARTITION BY source, unit, reward_block)) * CASE WHEN source % 2 = 0 THEN 1 ELSE -1 END AS e FROM rates),
@@ -113,7 +112,7 @@ def response_profiles(spark, sf_dir):
     bins = binned(spark, sf_dir)
     group = F.when(F.col("unit").isin("view", "click"), "early_sensory").when(F.col("unit") == "purchase", "late_action")
     units = spikes(spark, sf_dir).select("source", "unit").distinct().select("source", "unit", (F.col("source") % 27).alias("subject"), F.when(F.col("source") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"), (F.col("source") % 3 != 0).alias("is_stable"), group.alias("response_group"))
-    profiles = P.unit_profiles(bins, units, session="source", unit="unit", block="reward_block", start=_START, width=_WIDTH, baseline=(_START, 0.0))
+    profiles = P.unit_profiles(bins, units, session="source", unit="unit", block="reward_block", start=_START, width=_WIDTH, baseline=(_START, 0.0), counts="counts", n_bins=_BINS)
     _, subjects = P.group_profiles(profiles, session="source", subject="subject", unit="unit", block="reward_block", group="response_group")
     return subjects.select("subject", "response_group", "reward_block", "bin", F.round(F.col("mean_rate") * DAY, 6).alias("mean_rate"), "n_sessions", "n_unit_sessions", "n_trial_sessions")
 
