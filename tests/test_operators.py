@@ -323,3 +323,11 @@ def test_counts_need_no_exchange_after_the_pairs(spark):
     for df in (counted, rows):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_exposure_in_given_partitions(spark):
+    df = spark.createDataFrame([("s", "x" if k % 3 else None, k) for k in range(9)], "source string, image string, k int")
+    got = B.exposure_index(df, "image", by=["source"], order=["k"], parts=5)
+    assert [r["exposure"] for r in got.orderBy("k").collect()] == [None, 1, 2, None, 3, 4, None, 5, 6]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "5), REPARTITION_BY_NUM" in plan

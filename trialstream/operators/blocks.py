@@ -183,8 +183,10 @@ def specificity(effects: DataFrame, *, source: str = "source", subject: str = "s
     return effects.unionByName(both, allowMissingColumns=True)
 
 
-def exposure_index(df: DataFrame, image: str, *, by: list[str], order: list[str]) -> DataFrame:
-    """df with exposure: how often the image was shown so far in its session, null for a null image."""
+def exposure_index(df: DataFrame, image: str, *, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """df with exposure: how often the image was shown so far in its session, null for a null image. parts: partitions to sort in, if Spark's own number would leave large ones."""
+    if parts:
+        df = df.repartition(parts, *by, image)
     own = Window.partitionBy(*by, image).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("exposure", F.when(F.col(image).isNotNull(), F.count(image).over(own)))
 

@@ -17,7 +17,7 @@ from ..operators import models as M
 from ..operators import network as N
 from ..operators import sessions as Z
 from .registry import ORACLES, QUERIES, query, r  # noqa: F401
-from .views import CONDITIONED, DAY, ESTIMATES, IMAGES, LICKS, TRIALS, UNITS, estimates, images, labelled, licks, spike_arrays, spikes, table, trials, units
+from .views import CONDITIONED, DAY, ESTIMATES, IMAGES, LICKS, TRIALS, UNITS, estimates, images, labelled, licks, parts_of, spike_arrays, spikes, table, trials, units
 
 TAIL = 5 * DAY
 CONFIG = B.BinConfig()
@@ -393,7 +393,7 @@ def region_effects(spark, sf_dir):
 def task_presentations(spark, sf_dir):
     i = images(spark, sf_dir)
     novel = i.select("source").distinct().withColumn("novel_image", F.concat(F.lit("im"), (F.col("source") % 50 + 1).cast("string")))
-    return S.task_presentations(i, novel).select("source", "start_frame", "idx", "image_id", "contrast", "exposure", "is_designated_novel")
+    return S.task_presentations(i, novel, parts=parts_of(table(spark, sf_dir, "lineitem"))).select("source", "start_frame", "idx", "image_id", "contrast", "exposure", "is_designated_novel")
 
 
 @query(f"WITH {IMAGES} SELECT p_size % 5 AS grp, is_change, omitted, image_name, count(*) AS n, min(start_frame) AS first_frame, max(start_frame) AS last_frame FROM images GROUP BY 1, 2, 3, 4")

@@ -13,7 +13,7 @@ from ..operators import expect as X
 from ..operators import stimuli as ST
 from ..sources import indexed
 from .registry import query, r
-from .views import TRIALS, labelled, table
+from .views import TRIALS, labelled, parts_of, table
 
 # --- rows by position ------------------------------------------------------------------------------
 
@@ -194,7 +194,7 @@ def stimulus_semantics(spark, sf_dir):
     token = F.when(odd & (frame % 103 == 0), "blank").otherwise(F.concat(F.lit("im"), F.col("p_size"), F.lit("_r-"), F.when(F.col("p_size") % 2 == 0, "1.0").otherwise("0.7")))
     rows = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(source.alias("source"), frame.alias("start_frame"), F.col("l_linenumber").alias("idx"), token.alias("image_name"), (F.col("l_linestatus") == "O").alias("omitted"), (F.col("l_quantity") <= 48).alias("small"))
     sessions = rows.select("source").distinct().select("source", F.concat(F.lit("im"), F.col("source") % 50 + 1).alias("novel_image"), F.when(F.col("source") % 5 == 0, 0.7).otherwise(1.0).alias("novel_contrast"))
-    shown = S.task_presentations(rows, sessions)
+    shown = S.task_presentations(rows, sessions, parts=parts_of(l))
     shown = shown.withColumn("exposure", F.when(F.col("image_id").isNotNull(), F.col("exposure")))
     odd, frame = F.col("source") % 4 != 0, F.col("start_frame")
     shown = shown.withColumn("is_image_novel", F.when(odd & (frame % 101 == 0), F.lit(None)).otherwise(F.col("is_designated_novel") != (odd & (frame % 97 == 0))))

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_of(df: DataFrame, rows: int = 500_000) -> int:
+    """A number of partitions that grows with a scanned table, so that a task sorts about so many of its rows."""
+    return -(-df.count() // rows) or 1
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as trials of sessions (users) of 27 subjects; the middle of the month is the block without reward."""
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")

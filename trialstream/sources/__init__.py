@@ -142,12 +142,13 @@ def unit_inventory(units: DataFrame, electrodes: DataFrame, sessions: DataFrame,
     return out.withColumns({"is_well_isolated": well_isolated(), "exclusion_reasons": unit_reasons(), "unit_key": F.concat_ws(":", source, "unit")})
 
 
-def task_presentations(rows: DataFrame, sessions: DataFrame, *, source: str = "source", image: str = "image_name", frame: str = "start_frame", index: str = "idx", novel: str = "novel_image") -> DataFrame:
+def task_presentations(rows: DataFrame, sessions: DataFrame, *, source: str = "source", image: str = "image_name", frame: str = "start_frame", index: str = "idx", novel: str = "novel_image", parts: int | None = None) -> DataFrame:
     """Presentations with image identity and contrast, session columns, exposure and whether the image is the session's designated novel one."""
     from ..operators.blocks import exposure_index
 
-    out = rows.withColumns({"image_id": image_identity(image), "contrast": image_contrast(image)}).join(sessions, source, "left")
-    out = exposure_index(out, image, by=[source], order=[frame, index])
+    # what follows from a row alone is added after the sort, which then holds less
+    out = exposure_index(rows, image, by=[source], order=[frame, index], parts=parts)
+    out = out.withColumns({"image_id": image_identity(image), "contrast": image_contrast(image)}).join(sessions, source, "left")
     return out.withColumn("is_designated_novel", F.coalesce(F.col("image_id") == F.col(novel), F.lit(False)))
 
 
