@@ -135,3 +135,14 @@ def test_sample_status(spark):
     assert {r["source"]: r["status"] for r in seen.collect()} == {1: "unavailable", 2: "pass", 3: "repaired", 4: "unavailable"}
     assert clean.where("source = 1").first()["v"] == 3.0 and seen.where("source = 3").first()["n_decreasing"] == 1
     assert clean.agg(F.count("*")).first()[0] == 5
+
+
+def test_audit_is_dealt_by_source(spark, monkeypatch):
+    from trialstream.operators import audits as D
+
+    monkeypatch.setattr(D, "SOURCES_IN_PART", 2)
+    sources = spark.createDataFrame([(k,) for k in range(7)], "source int")
+    audit = spark.createDataFrame([(k, a, "pass" if k else "differs") for k in (0, 1, 1, 2, 3, 4, 5) for a in "xy"], "source int, attribute string, status string")
+    out = D.audit_violations(audit, sources, source="source", by="attribute")
+    assert {r["rule"]: r["n_violations"] for r in out.collect()} == {"one_row": 2, "all_sources": 1, "passes:x": 1, "passes:y": 1}
+    assert "4), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()

@@ -16,6 +16,10 @@ from . import expect as X
 ACCEPTED = {"string": ("STRING",), "boolean": ("BOOLEAN",), "bigint": ("BIGINT",), "double": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "array<double>": ("ARRAY",), "object": ("OBJECT",)}
 
 
+#: Sources whose audit one partition holds, about.
+SOURCES_IN_PART = 50_000
+
+
 @dataclass(frozen=True)
 class Attribute:
     """A path of a document, its type, and the value it must have: a constant, or that of a column of the source's row."""
@@ -79,6 +83,8 @@ def audit_violations(audit: DataFrame, sources: DataFrame, *, source: str, by: s
 
     known_absent: (source, key) of optional values that are known to be absent; if it is given, absences have to be exactly those.
     """
+    # by source once, in partitions that grow in number with the sources: keys aren't gathered in the few tasks that read the documents
+    audit = audit.repartition(-(-sources.count() // SOURCES_IN_PART) or 1, source)
     failed = audit.groupBy(by).agg(F.count_if(~F.col("status").isin("pass", "absent")).alias("n_violations")).select(F.concat(F.lit("passes:"), F.col(by)).alias("rule"), "n_violations")
     rules = [X.expect_unique(audit, [source, by], "one_row"), X.expect_coverage(audit, sources, [source], "all_sources"), failed]
     if known_absent is not None:
