@@ -206,15 +206,20 @@ def contiguous_folds(df: DataFrame, folds: int, *, by: list[str], order: list[st
     return df.withColumn(name, F.ntile(folds).over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def spaced_place(at: str, n: str, m: str):
+    """Of the m evenly spaced places floor((i + .5) n / m), the i whose place is the row at (from 0) of n; null if none is. Columns by name."""
+    # the first i whose place isn't before this row, in whole numbers; the row is chosen if i's place isn't behind it either
+    i = F.expr(f"(2 * CAST({at} AS BIGINT) * {m} + {n} - 1) div (2 * {n})")
+    return F.when((2 * i + 1) * F.col(n) < 2 * (F.col(at).cast("bigint") + 1) * F.col(m), i)
+
+
 def evenly_spaced(df: DataFrame, *, by: list[str], group: str, order: list[str]) -> DataFrame:
     """Rows at evenly spaced places, as many from each group as the smallest group of by has: places floor((i + .5) n / m)."""
     own = Window.partitionBy(*by, group)
     sizes = df.groupBy(*by, group).agg(F.count("*").alias("_n"))
     least = sizes.groupBy(*by).agg(F.min("_n").alias("_m"))
     placed = df.withColumn("_at", F.row_number().over(own.orderBy(*order)) - 1).join(sizes, [*by, group]).join(least, by)
-    # the first i whose place isn't before this row, in whole numbers; the row is chosen if i's place isn't behind it either
-    i = F.expr("(2 * CAST(_at AS BIGINT) * _m + _n - 1) div (2 * _n)")
-    return placed.where((2 * i + 1) * F.col("_n") < 2 * (F.col("_at").cast("bigint") + 1) * F.col("_m")).drop("_at", "_n", "_m")
+    return placed.where(spaced_place("_at", "_n", "_m").isNotNull()).drop("_at", "_n", "_m")
 
 
 def cyclic_shift(df: DataFrame, value: str, *, by: list[str], order: list[str]) -> DataFrame:

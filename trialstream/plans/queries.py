@@ -702,6 +702,8 @@ def network_pairs(spark, sf_dir):
     of = lambda u, w: F.coalesce(F.max(F.when(F.col("unit") == u, stabilized(F.col(w)) - stabilized(F.col("before")))), F.lit(0.0))
     sides = lambda w, *us: F.array(*[of(u, w) for u in us])
     rows = counts.groupBy("source", F.col("change_time").alias("time"), "id", "reward_block").agg(sides("early", "view", "click").alias("source_values"), F.concat(F.first("nuisance"), sides("early", "purchase", "error")).alias("base_values"), sides("late", "purchase", "error").alias("target_values"))
+    # explicit, as the fits of a partition take far longer than its few bytes suggest
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_of(table(spark, sf_dir, "events"), 50_000)), "source")
     return N.network_by_block(rows, N.NetworkConfig(min_units=2), by=["source"]).drop("folds")
 
 
