@@ -110,3 +110,34 @@ def test_frozen_axis(spark):
     weights = spark.createDataFrame([(1, "a", 0.5), (1, "b", -1.0), (2, "a", 1.0)], "source int, unit string, value double")
     intercepts = spark.createDataFrame([(1, 10.0)], "source int, value double")
     assert {tuple(r) for r in A.axis_scores(features, weights, intercepts).collect()} == {(1, 1, 8.0), (1, 2, 12.5)}
+
+
+def test_fits_where_units_are(spark):
+    """Sessions of few units, of more units than trials and of batches that part them: one fit each, and no matrix leaves a task."""
+    rows = [r for s in range(30) for r in rows_of(s, *session(s, (8, 9, 4), 3 if s % 2 else 30))]
+    for parts in (None, 7):
+        out = A.state_axis(spark.createDataFrame(rows, SCHEMA).repartition(9), parts=parts)
+        got = out.collect()
+        assert sorted(r["source"] for r in got if r["kind"] in ("auc", "degenerate")) == list(range(30))
+        fitted = {r["source"] for r in got if r["kind"] == "auc"}
+        assert len(fitted) > 20 and sorted((r["source"], r["unit"]) for r in got if r["kind"] == "weight") == sorted((s, f"u{u}") for s in fitted for u in range(3 if s % 2 else 30))
+        assert "FlatMapGroupsIn" not in out._jdf.queryExecution().executedPlan().toString()
+    x, blocks = session()
+    y = np.where(blocks == "engaged_1", 1.0, np.where(blocks == "no_reward", -1.0, 0.0))
+    few, many = A.Session(y, A.AxisConfig()), A.Session(y, A.AxisConfig())
+    few.add(x.T[:20])
+    many.add(np.vstack([x.T[:20], np.ones((40, len(y)))]))
+    assert few.sums is None and many.values is None
+    for a, b in zip(few.fit(), many.fit(), strict=True):
+        assert np.allclose(a, b, atol=1e-8)
+
+
+def test_equal_trials_tie():
+    rng = np.random.default_rng(8)
+    y = np.repeat([1.0, -1.0], 20)
+    for _ in range(20):
+        s = A.Session(y, A.AxisConfig())
+        s.add(np.sqrt(rng.integers(0, 2, (3, 40)) + 0.3) + 0.01 * y)
+        scores, *_, auc = s.fit()
+        d = scores[y > 0][:, None] - scores[y < 0]
+        assert auc == pytest.approx(((d > 1e-8) + (abs(d) <= 1e-8) / 2).mean(), abs=1e-12)

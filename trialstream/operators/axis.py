@@ -1,8 +1,8 @@
-"""A session's reward-state axis: class-balanced ridge in its dual form, by sums over units.
+"""A session's reward-state axis: class-balanced ridge, by products of trials where units are many and of units where trials are.
 
-Trials are few and units many, so the fit needs products of trials only. For every training part of the nested
-cross-validation a unit's values are standardised by that part alone, and its contribution to the part's trial-by-trial matrix is summed
-over units in Spark. A task then solves systems as large as the number of a session's trials; weights of units follow from the solution unit by unit.
+For every training part of the nested cross-validation a unit's values are standardised by that part alone. A task meets a session's units one
+after another and keeps their values while they are fewer than its trials, else sums of their contributions to each part's trial-by-trial matrix, so
+it solves systems as large as the smaller number; weights of units follow from the solution unit by unit.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..shipping import ship
@@ -53,12 +56,19 @@ def folds_of(y: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
 
 def training_parts(y: np.ndarray, config: AxisConfig) -> dict[tuple[int, int], np.ndarray]:
     """Rows of the training parts: (k, -1) without outer fold k, (k, j) of that without its inner fold j; k = -1 for all rows."""
+
+    def without(rows: np.ndarray, held: np.ndarray) -> np.ndarray:
+        kept = np.zeros(len(y), bool)
+        kept[rows] = True
+        kept[held] = False
+        return np.flatnonzero(kept)
+
     whole = np.flatnonzero(y)
-    outer = {-1: whole} | {k: np.setdiff1d(whole, held) for k, held in enumerate(folds_of(y, whole, config.outer_folds))}
+    outer = {-1: whole} | {k: without(whole, held) for k, held in enumerate(folds_of(y, whole, config.outer_folds))}
     out = {}
     for k, rows in outer.items():
         out[k, -1] = rows
-        out |= {(k, j): np.setdiff1d(rows, held) for j, held in enumerate(folds_of(y, rows, config.inner_folds))}
+        out |= {(k, j): without(rows, held) for j, held in enumerate(folds_of(y, rows, config.inner_folds))}
     return out
 
 
@@ -66,6 +76,99 @@ class Degenerate(Exception):
     pass
 
 
+def standardised(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(parts, units, trials): x (units, trials) in units of each part, given the parts' weights (parts, trials)."""
+    mean = weights @ x.T
+    z = x - mean[..., None]
+    scale = np.sqrt((z**2 @ weights[..., None])[..., 0])
+    return z / np.where(scale <= CONSTANT * np.maximum(1, np.abs(mean)), 1, scale)[..., None]
+
+
+class Session:
+    """A session's units by training part, while they pass: as values while units are fewer than trials, else as the parts' trial-by-trial matrices.
+
+    Either gives the same fit: with values, its systems are as large as the number of units, with matrices as that of trials.
+    """
+
+    def __init__(self, y: np.ndarray, config: AxisConfig):
+        self.y, self.config = y, config
+        self.parts = training_parts(y, config)
+        self.place = {key: i for i, key in enumerate(self.parts)}
+        self.weights = np.array([balance(y, rows) for rows in self.parts.values()])
+        self.values: np.ndarray | None = np.zeros((0, len(y)))
+        self.sums: np.ndarray | None = None
+
+    def add(self, x: np.ndarray) -> None:
+        """x: values by unit and trial."""
+        if self.values is not None:
+            self.values = x = np.vstack([self.values, x])
+            if len(x) < len(self.y):
+                return
+            self.values, self.sums = None, np.zeros((len(self.parts), len(self.y), len(self.y)))
+        for i in range(0, len(x), self.config.unit_block):
+            block = x[i : i + self.config.unit_block]
+            for total, w in zip(self.sums, self.weights, strict=True):
+                z = standardised(block, w[None])[0]
+                total += z.T @ z
+
+    def projections(self, at: list[int], ridges: np.ndarray) -> np.ndarray:
+        """(parts, ridges, trials): what the fits of the parts at give all trials, classes not yet at a half. ridges: the same for all parts, or a row for each."""
+        w = self.weights[at]
+        root = np.sqrt(w)
+        target = (np.sign(self.y) * root)[:, :, None]
+        eye = np.broadcast_to(ridges, (len(at), ridges.shape[-1]))[..., None, None]
+        if self.values is not None:
+            z = standardised(self.values, w)
+            own = z * root[:, None]
+            beta = np.linalg.solve((own @ np.swapaxes(own, 1, 2))[:, None] + eye * np.eye(len(self.values)), (own @ target)[:, None])
+            return (np.swapaxes(z, 1, 2)[:, None] @ beta)[..., 0]
+        out = []
+        for kernel, r, t, e in zip(self.sums[at], root, target, eye, strict=True):
+            c = np.linalg.solve(kernel * np.outer(r, r) + e * np.eye(len(r)), np.broadcast_to(t, (len(e), *t.shape)))
+            out.append((kernel @ (r[:, None] * c))[..., 0])
+        return np.array(out)
+
+    def lines(self, at: list[int], ridges: np.ndarray) -> np.ndarray:
+        """projections with the means of the classes of each part at a half and minus a half."""
+        raw = self.projections(at, ridges)
+        w = self.weights[at][:, None]
+        high, low = (2 * (raw * (w * (self.y == s))).sum(-1, keepdims=True) for s in (1, -1))
+        if not (high - low > np.finfo(float).eps * np.maximum(1.0, np.maximum(np.abs(high), np.abs(low))) * 32).all():
+            raise Degenerate
+        return (raw - (high + low) / 2) / (high - low)
+
+    def choices(self) -> dict[int, float]:
+        """The ridge with the least class-balanced error over the inner folds of each outer part; the smaller one if equal."""
+        inner = [key for key in self.parts if key[1] >= 0]
+        held = np.array([(self.weights[self.place[k, -1]] > 0) & (self.weights[self.place[k, j]] == 0) for k, j in inner])
+        off = (self.lines([self.place[key] for key in inner], np.array(self.config.ridges)) - self.y / 2) ** 2
+        classes = [held & (self.y == s) for s in (1, -1)]
+        error = sum((off * c[:, None]).sum(-1) / c.sum(-1)[:, None] for c in classes) / 2
+        outer = np.array([k for k, _ in inner])
+        return {int(k): self.config.ridges[int(np.argmin(error[outer == k].mean(0)))] for k in np.unique(outer)}
+
+    def fit(self) -> tuple:
+        """(scores, coefficients, constant, ridge, ridges of the outer folds, AUC)."""
+        y, chosen = self.y, self.choices()
+        scores, folds = np.zeros(len(y)), [k for k in chosen if k >= 0]
+        outer = [self.place[k, -1] for k in folds]
+        for line, w in zip(self.lines(outer, np.array([[chosen[k]] for k in folds]))[:, 0], self.weights[outer], strict=True):
+            held = (y != 0) & (w == 0)
+            scores[held] = line[held]
+        own = self.place[-1, -1]
+        if self.values is None:
+            kernel = self.sums[own]
+        else:
+            z = standardised(self.values, self.weights[[own]])[0]
+            kernel = z.T @ z
+        c, constant = dual_axis(kernel, y, self.weights[own], chosen[-1])
+        scores[y == 0] = kernel[y == 0] @ c + constant
+        near = np.round(scores, 9)  # equal trials tie, whatever rounding adds
+        high, low = near[y > 0], np.sort(near[y < 0])
+        wins = np.searchsorted(low, high, "left") + np.searchsorted(low, high, "right")
+        return scores, c, constant, chosen[-1], [chosen[k] for k in folds], wins.sum() / 2 / len(high) / len(low)
+
+
 def dual_axis(kernel: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
     """Coefficients of trials and a constant, so that kernel @ coefficients + constant has the classes' means at a half and minus a half."""
     root = np.sqrt(w)
@@ -80,51 +183,18 @@ def dual_axis(kernel: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) ->
     return c / (high - low), -(high + low) / 2 / (high - low)
 
 
-def choose_ridge(kernels: dict, parts: dict, k: int, y: np.ndarray, config: AxisConfig) -> float:
-    """The ridge with the least class-balanced error over the inner folds of outer part k; the smaller one if equal."""
-    losses = []
-    inner = [key for key in parts if key[0] == k and key[1] >= 0]
-    for ridge in config.ridges:
-        errors = []
-        for key in inner:
-            held = np.setdiff1d(parts[k, -1], parts[key])
-            c, constant = dual_axis(kernels[key], y, balance(y, parts[key]), ridge)
-            e = (kernels[key][held] @ c + constant - y[held] / 2) ** 2
-            errors.append((e[y[held] > 0].mean() + e[y[held] < 0].mean()) / 2)
-        losses.append(np.mean(errors))
-    return config.ridges[int(np.argmin(losses))]
-
-
-def fit_axis(kernels: dict, y: np.ndarray, config: AxisConfig) -> tuple:
-    """(scores, coefficients, constant, ridge, ridges of the outer folds, AUC) from the trial-by-trial matrix of each training part."""
-    parts = training_parts(y, config)
-    whole, scores, outer = parts[-1, -1], np.zeros(len(y)), []
-    for k in sorted({k for k, _ in parts} - {-1}):
-        ridge = choose_ridge(kernels, parts, k, y, config)
-        c, constant = dual_axis(kernels[k, -1], y, balance(y, parts[k, -1]), ridge)
-        held = np.setdiff1d(whole, parts[k, -1])
-        scores[held] = kernels[k, -1][held] @ c + constant
-        outer.append(ridge)
-    ridge = choose_ridge(kernels, parts, -1, y, config)
-    c, constant = dual_axis(kernels[-1, -1], y, balance(y, whole), ridge)
-    rest = np.flatnonzero(y == 0)
-    scores[rest] = kernels[-1, -1][rest] @ c + constant
-    high, low = scores[y > 0], np.sort(scores[y < 0])
-    wins = np.searchsorted(low, high, "left") + np.searchsorted(low, high, "right")
-    return scores, c, constant, ridge, outer, wins.sum() / 2 / len(high) / len(low)
-
-
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def state_axis(features: DataFrame, config: AxisConfig = AxisConfig(), *, source: str = "source", event: str = "event", time: str = "time", block: str = "reward_block", unit: str = "unit", value: str = "value") -> DataFrame:
+def state_axis(features: DataFrame, config: AxisConfig = AxisConfig(), *, source: str = "source", event: str = "event", time: str = "time", block: str = "reward_block", unit: str = "unit", value: str = "value", parts: int | None = None) -> DataFrame:
     """Long rows (source, kind, event, unit, value) of the axis that tells the block engaged_1 from no_reward in each session.
 
     features: one row for each session, event and unit. kind: score (out of fold in the two blocks; in engaged_2, which no part of the fit sees,
     by the final axis), weight and intercept (in units of the values), ridge, auc (of out-of-fold scores). Means of the classes are at +-0.5.
     A session without figures has one row whose kind says why: too_few_trials (min_trials in both blocks), missing_values (a unit without
     a finite value in some event, or with several), degenerate (the values don't tell the blocks apart). Other blocks are left out.
+    parts: partitions that sessions are dealt to, as their fits take far longer than their few bytes suggest; by default Spark's own number.
     """
     ship(features.sparkSession)
     kind = features.schema[source].dataType.simpleString()
@@ -138,60 +208,57 @@ def state_axis(features: DataFrame, config: AxisConfig = AxisConfig(), *, source
     distinct = F.size(F.array_distinct(F.col("_x._i"))) == F.size("_x")
     vectors = vectors.select(source, unit, F.col("_x._v").alias("x"), "y", "events", ((F.size("_x") == F.size("y")) & distinct & finite).alias("whole"))
     n_of = lambda s: F.size(F.filter("y", lambda v: v == s))
-    about = vectors.groupBy(source).agg(F.first("y").alias("y"), F.first("events").alias("events"), F.min("whole").alias("whole"))
-    about = about.withColumn("why", F.when(F.least(n_of(1.0), n_of(-1.0)) < config.min_trials, "too_few_trials").when(~F.col("whole"), "missing_values"))
-    fitted = vectors.join(about.where("why is null").select(source), source, "left_semi")
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each session's matrices over the units of this task."""
-        name, y, parts, sums = None, None, {}, {}
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(name, k, j, m.tobytes()) for (k, j), m in sums.items()], columns=[source, "k", "j", "m"])
-
-        for frame in frames:
-            for own, at in frame.groupby(source, sort=False).indices.items():
-                if name is None or own != name:
+    refused = F.when(F.least(n_of(1.0), n_of(-1.0)) < config.min_trials, "too_few_trials").when(~F.col("whole"), "missing_values")
+    # the window leaves a session's units in one partition, whatever joins become before it
+    dealt = vectors.repartition(parts, source) if parts else vectors
+    fitted = dealt.select(source, "x", "y", F.min("whole").over(Window.partitionBy(source)).alias("whole")).where(refused.isNull())
+    result = f"{source} {kind}, why string, scores array<double>, c array<double>, w array<double>, constant double, ridge double, outer_ridges array<double>, auc double"
+    schema = to_arrow_schema(StructType.fromDDL(result))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The fit of each session, once its units have passed."""
+        name: tuple | None = None
+        session: Session | None = None
+        done: list[tuple] = []
+
+        def close() -> None:
+            try:
+                scores, c, *rest = session.fit()
+                done.append((*name, "pass", scores, c, session.weights[session.place[-1, -1]], *rest))
+            except Degenerate:
+                done.append((*name, "degenerate", *[None] * 7))
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+            done.clear()
+            return batch
+
+        for batch in batches:
+            ends, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
+            keys = pc.dictionary_encode(batch.column(0), null_encoding="encode").indices.to_numpy()
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()] if batch.num_rows else []
+            for a, z in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                own = (batch.column(0)[a].as_py(),)
+                if own != name:
                     if name is not None:
+                        close()
+                    if len(done) >= 500:
                         yield out()
-                    name, y = own, np.array(frame["y"].iloc[at[0]], float)
-                    parts = training_parts(y, config)
-                    sums = {key: np.zeros((len(y), len(y))) for key in parts}
-                for i in range(0, len(at), config.unit_block):
-                    x = np.array(frame["x"].iloc[at[i : i + config.unit_block]].tolist(), float)
-                    for key, rows_of in parts.items():
-                        w = balance(y, rows_of)
-                        mean = x @ w
-                        z = x - mean[:, None]
-                        scale = np.sqrt(z**2 @ w)
-                        z /= np.where(scale <= CONSTANT * np.maximum(1, np.abs(mean)), 1, scale)[:, None]
-                        sums[key] += z.T @ z
+                    name, session = own, Session(batch.column(2)[a].values.to_numpy(zero_copy_only=False).astype(float), config)
+                session.add(values[ends[a] : ends[z]].reshape(z - a, -1))
         if name is not None:
+            close()
             yield out()
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        y = np.array(frame["y"].iloc[0], float)
-        kernels: dict = {}
-        for k, j, m in zip(frame["k"].tolist(), frame["j"].tolist(), frame["m"], strict=True):
-            own = np.frombuffer(m).reshape(len(y), -1)
-            kernels[k, j] = kernels[k, j] + own if (k, j) in kernels else own
-        try:
-            scores, c, constant, ridge, outer, auc = fit_axis(kernels, y, config)
-            row = ("pass", scores, c, balance(y, np.flatnonzero(y)), constant, ridge, outer, auc)
-        except Degenerate:
-            row = ("degenerate", *[None] * 7)
-        return pd.DataFrame([(frame[source].iloc[0], *row)], columns=[source, "why", "scores", "c", "w", "constant", "ridge", "outer_ridges", "auc"])
-
-    sums = fitted.select(source, "x", "y").sortWithinPartitions(source).mapInPandas(partial, f"{source} {kind}, k int, j int, m binary")
-    solved = sums.join(about.select(source, "y"), source).groupBy(source).applyInPandas(solve, f"{source} {kind}, why string, scores array<double>, c array<double>, w array<double>, constant double, ridge double, outer_ridges array<double>, auc double")
+    solved = fitted.select(source, "x", "y").sortWithinPartitions(source).mapInArrow(run, result)
     # the fit is consumed once: a session's weights come back as one row beside its scores
-    dual = vectors.select(source, unit, "x").join(solved, source).withColumn("mean", _dot(F.col("x"), F.col("w")))
+    dual = vectors.join(solved, source, "left").withColumn("mean", _dot(F.col("x"), F.col("w")))
     spread = F.aggregate(F.zip_with("x", "w", lambda a, b: (a - F.col("mean")) * (a - F.col("mean")) * b), F.lit(0.0), lambda s, a: s + a)
     scale = F.when(F.sqrt(spread) <= CONSTANT * F.greatest(F.lit(1.0), F.abs("mean")), 1.0).otherwise(spread)
     along = F.aggregate(F.zip_with("x", "c", lambda a, b: (a - F.col("mean")) * b), F.lit(0.0), lambda s, a: s + a)
     dual = dual.withColumn("value", along / scale)
-    fits = dual.groupBy(source).agg(F.collect_list(F.struct(F.col(unit).alias("u"), "value")).alias("weights"), F.sum(F.col("mean") * F.col("value")).alias("moved"), *[F.first(c).alias(c) for c in ("scores", "constant", "ridge", "auc")], F.first("why").alias("fitted"))
-    every = about.select(source, "why", "events").join(fits, source, "left").withColumn("why", F.coalesce("why", F.nullif("fitted", F.lit("pass"))))
+    fits = dual.groupBy(source).agg(F.collect_list(F.struct(F.col(unit).alias("u"), "value")).alias("weights"), F.sum(F.col("mean") * F.col("value")).alias("moved"), *[F.first(c).alias(c) for c in ("scores", "constant", "ridge", "auc", "y", "events")], F.first("why").alias("fitted"), F.min("whole").alias("whole"))
+    every = fits.withColumn("why", F.coalesce(refused, F.nullif("fitted", F.lit("pass"))))
     events_type, unit_type = (features.schema[c].dataType.simpleString() for c in (event, unit))
 
     def row(kind: str | Column, value: Column | None, of_event: Column | None = None, of_unit: Column | None = None) -> Column:

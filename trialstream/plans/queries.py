@@ -676,13 +676,20 @@ def allocation_input_rules(spark, sf_dir):
     return C.input_violations(sessions, quality, session="session", subject="subject", constant=["region", "kind"], subjects=20)
 
 
+def _fit_parts(spark, sf_dir):
+    """Partitions of fits by session: one for about 50,000 events."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_of(table(spark, sf_dir, "events"), 50_000))
+
+
 @query()
 def reward_state_axis(spark, sf_dir):
     """A cross-validated axis per session on features of range-joined counts."""
     events = Z.with_condition(labelled(spark, sf_dir))
     counts = J.count_in_windows(spikes(spark, sf_dir), events, by=["source"], point="t", event="change_time", windows={"before": (-43200.0, 0.0), "after": (0.0, 43200.0)}, unit=["unit"], event_key=["id", "reward_block", "change_time"])
     f = counts.select("source", F.col("id").alias("event"), F.col("change_time").alias("time"), "reward_block", "unit", (stabilized(F.col("after")) - stabilized(F.col("before"))).alias("value"))
-    return A.state_axis(f)
+    # another number than that of shuffles, or Spark takes the dealing for one of its own and merges small partitions
+    parts = _fit_parts(spark, sf_dir)
+    return A.state_axis(f, parts=parts + (parts == int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 @query()
@@ -703,7 +710,7 @@ def network_pairs(spark, sf_dir):
     sides = lambda w, *us: F.array(*[of(u, w) for u in us])
     rows = counts.groupBy("source", F.col("change_time").alias("time"), "id", "reward_block").agg(sides("early", "view", "click").alias("source_values"), F.concat(F.first("nuisance"), sides("early", "purchase", "error")).alias("base_values"), sides("late", "purchase", "error").alias("target_values"))
     # explicit, as the fits of a partition take far longer than its few bytes suggest
-    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_of(table(spark, sf_dir, "events"), 50_000)), "source")
+    rows = rows.repartition(_fit_parts(spark, sf_dir), "source")
     return N.network_by_block(rows, N.NetworkConfig(min_units=2), by=["source"]).drop("folds")
 
 
