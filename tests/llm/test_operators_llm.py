@@ -514,6 +514,15 @@ def test_decontamination_of_null_and_repeated_ids(spark):
     assert sorted(r["text"] or "" for r in kept.collect()) == ["", "other"] and kept.columns[-2:] == ["doc", "key2"]
 
 
+def test_only_texts_near_hits_are_exchanged(spark):
+    texts = spark.range(2000).select(F.xxhash64("id").alias("key"), F.col("id").alias("key2"), F.lit("t").alias("text"))
+    hits = texts.where("key2 % 100 = 7").select("key", "key2")
+    got = {r["key2"] for r in decontam._near_texts(texts, hits, decontam.SeedConfig()).collect()}
+    assert {k for k in range(2000) if k % 100 == 7} <= got and len(got) < 25
+    every = decontam._near_texts(texts, hits, decontam.SeedConfig(key_bits=1))
+    assert every.count() == 2000
+
+
 def test_recall_under_substitutions(spark):
     """Passages of 40 tokens in which a share of the tokens, chosen at random, is replaced."""
     rng = random.Random(12)

@@ -37,6 +37,8 @@ class SeedConfig:
     table_bits: int = 22
     #: Seeds of the benchmark that are broadcast at most; more are joined by a shuffle.
     broadcast_seeds: int = 500_000
+    #: Texts are exchanged if a hit's key has the same first key_bits bits; at most 2 ** key_bits numbers are broadcast.
+    key_bits: int = 21
 
 
 def token_codes(text: str, known: dict[str, int]) -> np.ndarray:
@@ -212,6 +214,13 @@ def _verified(pairs: DataFrame, masks: list[str], config: SeedConfig) -> DataFra
     return pairs.select("key", "key2", "item_key", "hits", "text", "item_text").mapInArrow(run, "key bigint, key2 bigint, item_key bigint, start int, end int, item_start int, agree int, span int")
 
 
+def _near_texts(texts: DataFrame, hits: DataFrame, config: SeedConfig) -> DataFrame:
+    """(key, key2, text) of texts whose keys begin like that of a hit, found where they are read, so that other texts enter no exchange."""
+    begin = F.shiftrightunsigned("key", 64 - config.key_bits)
+    some = hits.select(begin.alias("begin")).distinct()
+    return texts.select("key", "key2", "text", begin.alias("begin")).join(F.broadcast(some), "begin", "left_semi").drop("begin")
+
+
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """docs as a struct row, with two hashes of the id and the text: rows with equal ones share their marks."""
     own = [docs[id_column].cast("string"), docs[text_column].cast("string")]
@@ -240,7 +249,7 @@ def _overlaps(keyed: DataFrame, items: DataFrame, config: SeedConfig, item_colum
     hits = _text_seeds(texts, masks, tables, config).join(seeds, ["mask", "h"])
     hits = written(hits.groupBy("key", "key2", "item_key").agg(F.sort_array(F.collect_set(F.struct("mask", "p", "q"))).alias("hits")), "hits")
     wanted = hits.select("key", "key2").distinct()
-    one = texts.select("key", "key2", "text").join(wanted, ["key", "key2"], "left_semi").groupBy("key", "key2").agg(F.first("text").alias("text"))
+    one = _near_texts(texts, hits, config).join(wanted, ["key", "key2"], "left_semi").groupBy("key", "key2").agg(F.first("text").alias("text"))
     pairs = hits.join(one, ["key", "key2"]).join(own.select("item_key", F.col("text").alias("item_text")), "item_key")
     return _verified(pairs, masks, config).join(own.select("item_key", "item"), "item_key").drop("item_key")
 
