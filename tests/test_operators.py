@@ -116,6 +116,23 @@ def test_frame_offsets_ambiguous(spark):
     assert [(r["s"], r["offset"]) for r in got] == [(1, 91200)]
 
 
+def test_frame_offsets_share_one_exchange(spark):
+    rng = np.random.default_rng(4)
+    anchors = [(s, i, int(rng.integers(0, 9)), rng.choice(["a", "b", None])) for s in range(60) for i in range(int(rng.integers(1, 4)))] + [(None, 1, 0, "a")]
+    frames = [(s, a + int(rng.integers(0, 2)), l) for s, _, a, l in anchors for _ in range(2)] + [(3, None, "a"), (70, 1, "a")]
+    a = spark.createDataFrame(anchors, "s int, id int, af int, l string")
+    out = J.frame_offsets(a, spark.createDataFrame(frames, "s int, f int, l string"), source="s", anchor_id="id", anchor_frame="af", frame="f", label="l")
+    got, want = {r["s"]: r["offset"] for r in out.collect()}, {}
+    for s in range(60):
+        own, there = [x for x in anchors if x[0] == s], {(f, l) for s2, f, l in frames if s2 == s and l is not None}
+        fits = [d for d in range(-20, 20) if all((x[2] + d, x[3]) in there for x in own) and len({x[2] for x in own}) == len(own)]
+        if len(fits) == 1:
+            want[s] = fits[0]
+    assert got == want and len(want) > 3
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
 def test_holm_with_nulls(spark):
     df = spark.createDataFrame([(i, "f", p) for i, p in enumerate([0.01, 0.04, 0.03, 0.002, None])], "i int, f string, p_value double")
     got = values(I.holm(df, family=["f"], order=["i"]).orderBy("i"), "adjusted_p")

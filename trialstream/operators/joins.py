@@ -133,16 +133,23 @@ def region_pairs(units: DataFrame, *, source: str, subject: str, region: str, mi
 def frame_offsets(anchors: DataFrame, frames: DataFrame, *, source: str, anchor_id: str, anchor_frame: str, frame: str, label: str) -> DataFrame:
     """(source, offset): the one integer offset that maps every anchor of a source one-to-one to a frame with its label; none if several or no offset does.
 
-    Offsets are proposed by the source's rarest label only, then verified by counting.
+    Offsets are proposed by the source's rarest label only, then verified by counting. Frames and anchors are united and dealt by source once; all that
+    follows are windows and groupings within it.
     """
-    frames = frames.select(source, F.col(frame).alias("_f"), F.col(label).alias("_l"))
-    anchors = anchors.select(source, F.col(anchor_id).alias("_id"), F.col(anchor_frame).alias("_a"), F.col(label).alias("_l"))
-    rarity = frames.groupBy(source, "_l").agg(F.count("*").alias("n"))
-    first = anchors.join(rarity, [source, "_l"]).groupBy(source).agg(F.min_by(F.struct("_a", "_l"), F.struct("n", "_l", "_a")).alias("_pick"))
-    proposed = first.select(source, F.col("_pick._a").alias("_a"), F.col("_pick._l").alias("_l")).join(frames, [source, "_l"]).select(source, (F.col("_f") - F.col("_a")).alias("offset")).distinct()
-    total = anchors.groupBy(source).agg(F.count("*").alias("n"))
-    tried = anchors.join(proposed, source).withColumn("_f", F.col("_a") + F.col("offset")).join(frames, [source, "_f", "_l"])
-    right = tried.groupBy(source, "offset").agg(F.countDistinct("_id").alias("ids"), F.countDistinct("_f").alias("fs")).join(total, source).where("ids = n and fs = n")
+    none = F.lit(None)
+    here, there = anchors.schema, frames.schema
+    own = anchors.select(source, F.lit(False).alias("_is"), F.col(anchor_id).alias("_id"), F.col(anchor_frame).alias("_a"), F.col(label).alias("_l"), none.cast(there[frame].dataType).alias("_f"))
+    other = frames.select(source, F.lit(True).alias("_is"), none.cast(here[anchor_id].dataType).alias("_id"), none.cast(here[anchor_frame].dataType).alias("_a"), F.col(label).alias("_l"), F.col(frame).alias("_f"))
+    both = own.unionByName(other).where(F.col(source).isNotNull()).repartition(source)
+    whole = Window.partitionBy(source)
+    both = both.withColumn("_n", F.count_if("_is").over(Window.partitionBy(source, "_l")))
+    rarest = F.min(F.when(~F.col("_is") & F.col("_l").isNotNull() & (F.col("_n") > 0), F.struct("_n", "_l", "_a"))).over(whole)
+    both = both.withColumns({"_pick": rarest, "_total": F.count_if(~F.col("_is")).over(whole)}).where("_pick is not null")
+    proposed = F.collect_set(F.when(F.col("_is") & (F.col("_l") == F.col("_pick._l")), F.col("_f") - F.col("_pick._a"))).over(whole)
+    both = both.withColumn("_offsets", proposed).withColumn("offset", F.explode(F.when(F.col("_is"), F.array(none)).otherwise(F.col("_offsets")))).drop("_offsets", "_pick", "_n")
+    both = both.withColumn("_f", F.when(F.col("_is"), F.col("_f")).otherwise(F.col("_a") + F.col("offset")))
+    met = both.withColumn("_met", F.max("_is").over(Window.partitionBy(source, "_f", "_l"))).where("_met and not _is and _f is not null and _l is not null")
+    right = met.groupBy(source, "offset").agg(F.size(F.collect_set("_id")).alias("ids"), F.size(F.collect_set("_f")).alias("fs"), F.min("_total").alias("n")).where("ids = n and fs = n")
     return right.groupBy(source).agg(F.count("*").alias("k"), F.min("offset").alias("offset")).where("k = 1").select(source, "offset")
 
 
