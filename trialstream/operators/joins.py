@@ -130,17 +130,18 @@ def region_pairs(units: DataFrame, *, source: str, subject: str, region: str, mi
     return sessions, pairs
 
 
-def frame_offsets(anchors: DataFrame, frames: DataFrame, *, source: str, anchor_id: str, anchor_frame: str, frame: str, label: str) -> DataFrame:
+def frame_offsets(anchors: DataFrame, frames: DataFrame, *, source: str, anchor_id: str, anchor_frame: str, frame: str, label: str, parts: int | None = None) -> DataFrame:
     """(source, offset): the one integer offset that maps every anchor of a source one-to-one to a frame with its label; none if several or no offset does.
 
     Offsets are proposed by the source's rarest label only, then verified by counting. Frames and anchors are united and dealt by source once; all that
-    follows are windows and groupings within it.
+    follows are windows and groupings within it. parts: partitions they are dealt to; by default Spark's own number.
     """
     none = F.lit(None)
     here, there = anchors.schema, frames.schema
     own = anchors.select(source, F.lit(False).alias("_is"), F.col(anchor_id).alias("_id"), F.col(anchor_frame).alias("_a"), F.col(label).alias("_l"), none.cast(there[frame].dataType).alias("_f"))
     other = frames.select(source, F.lit(True).alias("_is"), none.cast(here[anchor_id].dataType).alias("_id"), none.cast(here[anchor_frame].dataType).alias("_a"), F.col(label).alias("_l"), F.col(frame).alias("_f"))
-    both = own.unionByName(other).where(F.col(source).isNotNull()).repartition(source)
+    both = own.unionByName(other).where(F.col(source).isNotNull())
+    both = both.repartition(parts, source) if parts else both.repartition(source)
     whole = Window.partitionBy(source)
     both = both.withColumn("_n", F.count_if("_is").over(Window.partitionBy(source, "_l")))
     rarest = F.min(F.when(~F.col("_is") & F.col("_l").isNotNull() & (F.col("_n") > 0), F.struct("_n", "_l", "_a"))).over(whole)

@@ -306,7 +306,7 @@ def frame_offsets(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line")).agg(F.min("l_returnflag").alias("label"))
     frames = l.where("not (source % 7 = 0 and line = 1)").withColumn("frame", F.col("line") * 3 + F.col("source") % 5)
     anchors = l.where("source % 3 <> 0 or line % 2 = 1").withColumn("anchor_frame", F.col("line") * 3 - 10)
-    return J.frame_offsets(anchors, frames, source="source", anchor_id="line", anchor_frame="anchor_frame", frame="frame", label="label").select("source", "offset")
+    return J.frame_offsets(anchors, frames, source="source", anchor_id="line", anchor_frame="anchor_frame", frame="frame", label="label", parts=parts_of(table(spark, sf_dir, "lineitem"))).select("source", "offset")
 
 
 @query(f"""WITH {IMAGES}, k AS (SELECT source, start_frame, count(*) AS n, min(image_name) AS img FROM images GROUP BY 1, 2), a AS (SELECT l_suppkey AS source, l_orderkey * 10 + l_linenumber - 7 AS af, l_quantity FROM lineitem)
