@@ -10,6 +10,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,73 @@ def test_sums_of_long_words_and_pieces(spark):
     assert np.allclose(langid.expected_counts(counts, ["x"], pieces, probs)[:, 0], want)
 
 
+class Captured:
+    """Stands for a DataFrame and keeps the function over batches that its rows would pass."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def collect(self):
+        return []
+
+    def __getattr__(self, name):
+        return lambda *_: self
+
+
+def batches_of(rows, names, size):
+    return (pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size))
+
+
+def test_a_word_leaves_a_counting_task_once(spark):
+    docs = Captured()
+    langid.word_counts(docs, "text", "lang")
+    rows = [("aa", "One, one two"), ("bb", "ONE"), ("aa", None), ("aa", "two…½three")] * 3
+    got = [tuple(r.values()) for b in docs.run(batches_of(rows, ["lang", "text"], 2)) for r in b.to_pylist()]
+    assert sorted(got) == [("aa", "one", 6), ("aa", "three", 3), ("aa", "two", 6), ("bb", "one", 3)]
+
+
+def test_expectation_takes_small_batches_together(spark, monkeypatch):
+    """Words of one length are summed at once, however small the batches are: once forward and once backward."""
+    rng, counts, pieces = random.Random(4), Captured(), ["a", "b", "ab", "▁a", "▁"]
+    probs = np.array([[0.2, 0.1], [0.1, 0.3], [0.3, 0.1], [0.1, 0.2], [0.2, 0.2], [1e-6, 1e-6]])
+    langid.expected_counts(counts, ["x", "y"], pieces, probs)
+    rows = [(rng.choice("xy"), "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))), rng.randrange(1, 4)) for _ in range(200)]
+    calls, sums = [], langid.Lattice.sums
+    monkeypatch.setattr(langid.Lattice, "sums", lambda *args: (calls.append(1), sums(*args))[1])
+
+    def total(size):
+        out = np.zeros(probs.shape)
+        for batch in counts.run(batches_of(rows, ["lang", "word", "n"], size)):
+            np.add.at(out, (batch.column(0).to_numpy(), batch.column(1).to_numpy()), batch.column(2).to_numpy())
+        return out
+
+    small = total(5)
+    assert len(calls) == 2 * 4 and np.allclose(small, total(200)) and small.sum() > 0
+
+
+def test_pieces_are_found_where_they_are():
+    rng = random.Random(5)
+    pieces = sorted({"".join(rng.choice("abé中") for _ in range(rng.choice([1, 2, 3, 5, 9]))) for _ in range(60)} - {"b"})
+    words = ["".join(rng.choice("abé中x") for _ in range(11)) for _ in range(50)] + ["ababababab" + c for c in "ab"]
+    got = {(n, int(at), int(p)) for n, places, found in langid.Lattice(pieces).pieces_at(words) for at, p in zip(places, found, strict=True)}
+    place = {p: i for i, p in enumerate(pieces)}
+    want = {(n, i * len(words) + k, place.get(w[i : i + n], len(pieces))) for k, w in enumerate(words) for n in range(1, 10) for i in range(12 - n) if n == 1 or w[i : i + n] in place}
+    assert got == want
+
+
+def test_words_of_tokens_are_those_of_the_text(spark):
+    """Separators, spaces and marks of any kind, against the expression on the whole text; a text with more tokens than a task keeps."""
+    rng = random.Random(6)
+    for _ in range(500):
+        text = "".join(rng.choice("ΣσİßÉa5½Ⅷ_.,'-­\u0307\u200b\u00a0\u2028\x1c\n «»…") for _ in range(25))
+        want = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() or not c.isnumeric() else " " for c in text.lower()))
+        assert langid.words_of(text) == {w: want.count(w) for w in want}
+    model = langid.LanguageModel(["x", "y"], ["a", "b", "▁"], np.array([[0.6, 0.1], [0.1, 0.6], [0.2, 0.2], [0.1, 0.1]]))
+    rows = langid.predict(docs_of(spark, ["a, b a " * (langid.KEPT // 2), "a b a"]), model).collect()
+    assert [r["lang_pred"] for r in rows] == ["x", "x"] and rows[0]["score"] > rows[1]["score"] > 0.5
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["a", "ab", "b", "ba", "▁", "▁a"]
     lattice = langid.Lattice(pieces)

@@ -10,25 +10,32 @@ whole. A text gets the language under which its words are most likely.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, ship, written
+from .common import BATCH_BYTES, released, ship, written
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Characters that are never in a word; taken out of a whole text at once, which leaves few tokens that aren't words.
+SEPARATORS = string.punctuation + string.digits + "“”„‘’«»–—…¿¡、。，"
 START = "▁"
 #: Places after which the sums are rescaled. A piece's probability is over 1e-18, so that no sum leaves the range of a double before.
 STRIDE = 12
 #: Characters (words times the longest one's length) that are handled at once, unless one word has more.
 CELLS = 60_000
-#: Words kept with their values in a task.
+#: Words kept with their values, or counted before they leave, in a task.
 KEPT = 150_000
+#: Counted words that are handled at once, unless they have more than BATCH_BYTES: groups of one length are large then.
+TOGETHER = 50_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,27 +56,49 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def _hashes(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, a hash of the characters at i to i + n, for each i) for n from 1 to longest."""
-    width = codes.shape[1]
-    h = np.zeros(codes.shape, np.uint64)
+def _mixed(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings that have one character more."""
     with np.errstate(over="ignore"):
-        for n in range(1, min(longest, width) + 1):
-            h = (h[:, : width - n + 1] + codes[:, n - 1 :] + np.uint64(1)) * _MULTIPLIER
-            h ^= h >> np.uint64(29)
-            yield n, h
-
-
-def words_of(text: str) -> Counter:
-    """How often each word, a run of letters, occurs; in lower case. Numbers that aren't digits, such as fractions, are no letters."""
-    out = Counter(WORD.findall(text.lower()))
-    for word in [w for w in out if not w.isalpha()]:
-        n = out.pop(word)
-        for part in "".join(c if c.isalpha() else " " for c in word).split():
-            out[part] += n
+        out = (hashes + codes + np.uint64(1)) * _MULTIPLIER
+    return out ^ (out >> np.uint64(29))
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """What white space and SEPARATORS part, in lower case: mostly words. No word crosses a token."""
+    text = (text or "").lower()
+    for c in SEPARATORS:
+        text = text.replace(c, " ")
+    return text.split()
+
+
+def words_in(token: str) -> list[str]:
+    """The words of a token: runs of letters. Numbers that aren't digits, such as fractions, are no letters."""
+    if token.isalpha():
+        return [token]
+    return [w for run in WORD.findall(token) for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
+
+
+def words_of_tokens(tokens: Counter) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for token, n in tokens.items():
+        for word in words_in(token):
+            out[word] = out.get(word, 0) + n
     return out
 
 
+def words_of(text: str) -> dict[str, int]:
+    """How often each word, a run of letters, occurs; in lower case."""
+    return words_of_tokens(Counter(tokens_of(text)))
+
+
+class Places(dict):
+    """A number for each key, in the order in which they were first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self)
+        return place
+
+
 def groups_of(words: list[str]) -> Iterator[np.ndarray]:
     """Places of words of one length, in groups of about CELLS characters."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -84,42 +113,65 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1  # the last is the unknown character
         self.longest = max(map(len, pieces), default=1)
-        self.keys, self.piece = {}, {}
-        for n in sorted({len(p) for p in pieces}):
-            own = [(p, i) for i, p in enumerate(pieces) if len(p) == n]
-            keys = [h for k, h in _hashes(_codes([p for p, _ in own], n), n) if k == n][0][:, 0]
+        # for each length the first characters of pieces, by hash, with the piece that they are or -1; where the keys of each bucket start; keys of the fullest one
+        self.tables = []
+        for n in range(1, self.longest + 1):
+            place = {p[:n]: -1 for p in pieces if len(p) > n} | {p: i for i, p in enumerate(pieces) if len(p) == n}
+            codes = _codes(list(place), n)
+            keys = np.zeros(len(place), np.uint64)
+            for k in range(n):
+                keys = _mixed(keys, codes[:, k])
             order = np.argsort(keys)
-            self.keys[n], self.piece[n] = keys[order], np.array([i for _, i in own])[order]
+            keys, found = keys[order], np.array(list(place.values()), np.int64)[order]
+            bits = np.uint64(64 - len(place).bit_length() - 2)
+            each = np.bincount((keys >> bits).astype(np.int64), minlength=1 << (64 - int(bits)))
+            fullest = int(each.max())
+            self.tables.append((np.append(keys, [keys[-1:]] * fullest), np.append(found, [found[-1:]] * fullest), np.cumsum(each) - each, bits, fullest) if len(place) else None)
+
+    def pieces_at(self, words: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, places, pieces) of all pieces of n characters in words of one length, by place: start * number of words + word. A place is followed while its characters begin a piece."""
+        count, width = len(words), len(words[0])
+        codes = _codes(words, width).T.ravel()
+        out, places, hashes = [], np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for n, table in enumerate(self.tables[:width], 1):
+            inside = np.searchsorted(places, (width - n + 1) * count)
+            places = places[:inside]
+            found = np.full(inside, -2)
+            if table and inside:
+                keys, piece, first, bits, fullest = table
+                hashes = _mixed(hashes[:inside], codes[places + (n - 1) * count])
+                at = first[hashes >> bits]
+                hit = keys[at] == hashes
+                for _ in range(fullest - 1):
+                    at += ~hit
+                    hit |= keys[at] == hashes
+                found = np.where(hit, piece[at], -2)
+            if n == 1:
+                out.append((1, places, np.where(found < 0, self.size - 1, found)))
+            elif (whole := found >= 0).any():
+                out.append((n, places[whole], found[whole]))
+            on = found >= -1
+            places, hashes = places[on], hashes[on]
+            if not len(places):
+                break
+        return out
 
-    def edges(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows, pieces) of the edges of words of one length, by start. An edge of a single character fits everywhere."""
-        codes = _codes(words, len(words[0]))
+    @staticmethod
+    def edges(found: list, weights: list[np.ndarray], words: int, width: int) -> list[tuple[int, int, np.ndarray | slice, np.ndarray]]:
+        """(start, end, rows, weights) of what pieces_at found, by start; weights has an array for each length."""
         out = []
-        for n, hashes in _hashes(codes, self.longest):
-            if n in self.keys:
-                keys = self.keys[n]
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                known, pieces = keys[at] == hashes, self.piece[n][at]
-            elif n == 1:
-                known, pieces = np.zeros(codes.shape, bool), np.zeros(codes.shape, np.int64)
-            else:
-                continue
-            if n == 1:
-                pieces, known = np.where(known, pieces, self.size - 1), np.ones(codes.shape, bool)
-            place, rows = np.nonzero(known.T)
-            if len(place):
-                pieces = pieces[rows, place]
-                cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                out += [(int(place[a]), int(place[a]) + n, rows[a:b], pieces[a:b]) for a, b in zip(cuts, [*cuts[1:], len(place)], strict=True)]
+        for (n, places, _), weight in zip(found, weights, strict=True):
+            cuts = np.searchsorted(places, np.arange(width - n + 2) * words)
+            out += [(i, i + n, slice(None) if b - a == words else places[a:b] - i * words, weight[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
         return sorted(out, key=lambda e: e[0])
 
-    def sums(self, edges: list, words: int, width: int, weight, columns: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """(sum, scale): over all segmentations up to place i, the probability is sum[i] * exp(scale[i // STRIDE]). weight(pieces, rows): the probabilities of an edge."""
+    def sums(self, edges: list, words: int, width: int, columns: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(sum, scale): over all segmentations up to place i, the probability is sum[i] * exp(scale[i // STRIDE])."""
         alpha = np.zeros((width + 1, words, *columns))
         scale = np.zeros((width // STRIDE + 1, words, *columns))
         alpha[0] = 1
         block = 0
-        for i, j, rows, pieces in edges:
+        for i, j, rows, weight in edges:
             if i // STRIDE > block:
                 block = i // STRIDE
                 ahead = alpha[block * STRIDE : block * STRIDE + self.longest]
@@ -127,7 +179,7 @@ class Lattice:
                 top[top == 0] = 1
                 ahead /= top
                 scale[block] = scale[block - 1] + np.log(top)
-            alpha[j, rows] += alpha[i, rows] * weight(pieces, rows)
+            alpha[j, rows] += alpha[i, rows] * weight
         scale[block + 1 :] = scale[block]
         return alpha, scale
 
@@ -145,27 +197,48 @@ class LanguageModel:
         marked = [START + w for w in words]
         for rows in groups_of(marked):
             own = [marked[r] for r in rows]
-            alpha, scale = lattice.sums(lattice.edges(own), len(own), len(own[0]), lambda pieces, _: self.probs[pieces], (len(self.langs),))
+            found = lattice.pieces_at(own)
+            edges = lattice.edges(found, [self.probs[piece] for _, _, piece in found], len(own), len(own[0]))
+            alpha, scale = lattice.sums(edges, len(own), len(own[0]), (len(self.langs),))
             out[rows] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
         return out
 
 
 def word_counts(docs: DataFrame, text_column: str, lang_column: str) -> DataFrame:
-    """(lang, word, n) over whole texts, words in lower case; counted in each batch before the exchange."""
+    """(lang, word, n) over whole texts, words in lower case; counted in each task before the exchange, about KEPT of them at a time."""
+
+    def rows_of(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, tokens in counts.items():
+            own = words_of_tokens(tokens)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["lang", "word", "n"])
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
         for batch in batches:
-            counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(words_of(text or ""))
-            rows = [(lang, word, n) for lang, own in counts.items() for word, n in own.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
+                counts.setdefault(lang, Counter()).update(tokens_of(text))
+            if sum(map(len, counts.values())) > KEPT:
+                yield from rows_of(counts)
+                counts = {}
+        yield from rows_of(counts)
 
     pairs = docs.where(F.col(lang_column).isNotNull()).select(F.col(lang_column).cast("string"), F.col(text_column).cast("string"))
     return pairs.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches, in tables of about TOGETHER rows or BATCH_BYTES."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER or sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def expected_counts(counts: DataFrame, langs: list[str], pieces: list[str], probs: np.ndarray) -> np.ndarray:
     """One step of expectation: how often each piece is used, over all segmentations of all counted words.
 
@@ -174,24 +247,29 @@ def expected_counts(counts: DataFrame, langs: list[str], pieces: list[str], prob
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, column = Lattice(pieces), {lang: i for i, lang in enumerate(langs)}
-        total = np.zeros((lattice.size, len(langs)))
-        for batch in batches:
-            owner, marked, weights = (c.to_pylist() for c in batch.columns)
-            owner, marked, weights = np.array([column[x] for x in owner]), [START + w for w in marked], np.array(weights, float)
-            for rows in groups_of(marked):
-                own, lang = [marked[r] for r in rows], owner[rows]
-                n, width, edges = len(own), len(own[0]), lattice.edges(own)
-                weigh = lambda pieces, at: probs[pieces, lang[at]]  # noqa: B023, E731
-                alpha, up = lattice.sums(edges, n, width, weigh)
+        lattice, column = Lattice(pieces), pa.array(langs, pa.string())
+        total = np.zeros(lattice.size * len(langs))
+        for rows in together(batches):
+            owner, words, weights = pc.index_in(rows.column(0), column).to_numpy().astype(np.int64), rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(float)
+            marked = [START + w for w in words.tolist()]
+            for group in groups_of(marked):
+                own, lang = [marked[r] for r in group], owner[group]
+                n, width, found = len(own), len(own[0]), lattice.pieces_at(own)
+                cells = [piece * len(langs) + lang[places % n] for _, places, piece in found]
+                prob = [probs.ravel()[cell] for cell in cells]
+                edges = lattice.edges(found, prob, n, width)
+                alpha, up = lattice.sums(edges, n, width)
                 # backward: the same sums over the mirrored edges
-                beta, down = lattice.sums(sorted(((width - j, width - i, at, piece) for i, j, at, piece in edges), key=lambda e: e[0]), n, width, weigh)
+                beta, down = lattice.sums(sorted(((width - j, width - i, at, p) for i, j, at, p in edges), key=lambda e: e[0]), n, width)
                 whole = np.log(np.maximum(alpha[-1], 1e-300)) + up[-1]
-                for i, j, at, piece in edges:
-                    share = np.exp(up[i // STRIDE, at] + down[(width - j) // STRIDE, at] - whole[at]) * weights[rows][at]
-                    np.add.at(total, (piece, lang[at]), alpha[i, at] * probs[piece, lang[at]] * beta[width - j, at] * share)
-        piece, lang = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang], pa.float64())], ["piece", "lang", "n"])
+                for (k, places, _), cell, p in zip(found, cells, prob, strict=True):
+                    start, at = np.divmod(places, n)
+                    back = width - k - start
+                    share = np.exp(up[start // STRIDE, at] + down[back // STRIDE, at] - whole[at]) * weights[group][at]
+                    np.add.at(total, cell, alpha[start, at] * p * beta[back, at] * share)
+        cells = np.flatnonzero(total)
+        piece, lang = np.divmod(cells, max(1, len(langs)))
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[cells], pa.float64())], ["piece", "lang", "n"])
 
     rows = counts.select("lang", "word", "n").mapInArrow(run, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect()
     out = np.zeros((len(pieces) + 1, len(langs)))
@@ -228,30 +306,34 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id",
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, place = Lattice(model.pieces), {}
-        values = np.zeros((0, len(model.langs)))
+        lattice, places = Lattice(model.pieces), Places()
+        # of each token: the sums of its words' values, and how many they are
+        values = np.zeros((0, len(model.langs) + 1))
         for batch in batches:
             langs, scores = [], []
-            column = batch.column(batch.num_columns - 1)
-            for start in range(0, batch.num_rows, 500):
-                texts = [words_of(t or "") for t in column.slice(start, 500).to_pylist()]
-                if len(place) > KEPT:
-                    place.clear()
-                    values = values[:0]
-                new = list(set().union(*texts).difference(place))
-                if new and model.langs:
-                    place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                    values = np.concatenate([values, model.word_scores(new, lattice)])
-                for words in texts:
-                    if not words or not model.langs:
-                        langs.append("und")
-                        scores.append(0.0)
-                        continue
-                    n = np.fromiter(words.values(), float, len(words))
-                    mean = n @ values[list(map(place.__getitem__, words))] / n.sum() * min(20.0, n.sum())
-                    best = int(np.argmax(mean))
-                    langs.append(model.langs[best])
-                    scores.append(float(1 / np.exp(mean - mean[best]).sum()))
+            if len(places) > KEPT:
+                places.clear()
+                values = values[:0]
+            texts = [np.array(list(map(places.__getitem__, tokens_of(t))), np.int64) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            if len(places) > len(values):
+                new = [words_in(x) for x in islice(places, len(values), None)]
+                owner = np.repeat(np.arange(len(new)), [len(x) for x in new])
+                words = Places()
+                which = [words[w] for x in new for w in x]
+                found = model.word_scores(list(words), lattice)[which]
+                columns = [*found.T, np.ones(len(found))]
+                values = np.concatenate([values, np.column_stack([np.bincount(owner, c, minlength=len(new)) for c in columns])])
+            for own in texts:
+                # a text with more tokens than a task keeps is counted first, so that its values aren't copied for each of them
+                *sums, n = values[own].sum(axis=0) if len(own) <= KEPT else np.bincount(own, minlength=len(values)) @ values
+                if not n or not model.langs:
+                    langs.append("und")
+                    scores.append(0.0)
+                    continue
+                mean = np.array(sums) / n * min(20.0, n)
+                best = int(np.argmax(mean))
+                langs.append(model.langs[best])
+                scores.append(float(1 / np.exp(mean - mean[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
