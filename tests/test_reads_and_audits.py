@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trialstream.operators import audits as D
 from trialstream.operators import inference as I
+from trialstream.plans.queries import ORACLES, QUERIES
 from trialstream.sources import indexed
 
 NAN = float("nan")
@@ -52,6 +54,25 @@ def test_batches_get_a_row_once_for_each_group(spark):
     assert indexed.batches_at(df, requests.where("row_index < 0"), reduce, schema).collect() == []
 
 
+@pytest.mark.parametrize("name", ["vectors_in_batches", "rows_by_position"])
+def test_places_are_stored_keys(spark, tmp_path, name):
+    # tables of several files in no order: batches of a value close to 0, of nulls, of NaN, then of mixed rows, some absent, one there twice
+    values = {8: [-(2.0**-24)], 19: None, 30: [1.0, NAN], 41: [None, 0.5], 52: [], 63: [2.0, None, -0.25]}
+    vectors = [(k, values.get(k, [k / 4, k / -16])) for k in [*range(120), 41]]
+    asked = [[1, 2, 3][k // 64] if k < 192 else k * 7 % 16 for k in range(300)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k, f"c{k}") for k in range(120)], "c_custkey bigint, c_name string").repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "o_orderkey bigint, o_custkey bigint").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("embeddings", "customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    got = QUERIES[name](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want.fetchall()))
+    assert len(got) == (5 if name == "vectors_in_batches" else 300)
+
+
 def test_requests_by_source(spark):
     df = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "source string, row_index bigint, v string")
     requests = indexed.numbered(spark.createDataFrame([("b", 0, 1), ("a", 1, 1), ("a", 0, 2), ("b", 1, 2)], "source string, row_index bigint, k int"), ["k"], by=["source"])

@@ -29,21 +29,27 @@ _REQUESTS = "req AS (SELECT o_orderkey AS key, o_custkey * 11 % 1777 - 3 AS row_
 
 @query(f"""WITH {_REQUESTS} SELECT position, row_index, c_name, CASE WHEN row_index < 0 THEN 'invalid' WHEN c_custkey IS NULL THEN 'missing' ELSE 'found' END AS status FROM req LEFT JOIN customer ON c_custkey = row_index""")
 def rows_by_position(spark, sf_dir):
-    """Names at requested places of the file, in the order of the request."""
-    rows = indexed.parquet_rows(spark, f"{sf_dir}/customer.parquet", ["c_name"])
+    """Names at requested places, in the order of the request. A place is the stored key: rows of several files have no place in common."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_index"), "c_name")
     return indexed.rows_at(rows, requests(spark, sf_dir), index="row_index").select("position", "row_index", "c_name", "status")
 
 
 @query(f"""WITH {_REQUESTS}, h AS (SELECT position // 64 AS batch, position, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM req JOIN embeddings ON vec_id = row_index) SELECT batch, count(*) AS n, round(sum(s), 4) AS total, min(position) AS first_position, max(position) AS last_position FROM h GROUP BY 1""")
 def vectors_in_batches(spark, sf_dir):
-    """Array values at requested places, reduced in batches of 64 requests."""
-    rows = indexed.parquet_rows(spark, f"{sf_dir}/embeddings.parquet", ["embedding"])
+    """Array values at requested places, which are stored keys, reduced in batches of 64 requests. Null values count for nothing; a total of nothing else is null."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), F.array_compact("embedding").alias("embedding"))
 
     def reduce(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [len(frame)], "total": [float(sum(v.astype(float).sum() for v in frame["embedding"]))], "first_position": [frame["position"].iloc[0]], "last_position": [frame["position"].iloc[-1]]})
-
-    out = indexed.batches_at(rows, requests(spark, sf_dir), reduce, "n bigint, total double, first_position bigint, last_position bigint")
-    return out.select("batch", "n", *r("total", digits=4), "first_position", "last_position")
+        sums = [v.astype(float).sum() for v in frame["embedding"] if v is not None and len(v)]
+        total = float(sum(sums)) if sums else None
+        # a NaN would come back from pandas as null
+        return pd.DataFrame({"n": [len(frame)], "total": [total], "is_nan": [total != total], "first_position": [frame["position"].iloc[0]], "last_position": [frame["position"].iloc[-1]]})
+
+    out = indexed.batches_at(rows, requests(spark, sf_dir), reduce, "n bigint, total double, is_nan boolean, first_position bigint, last_position bigint")
+    near = F.round("total", 4)
+    # SQL's rounding keeps the sign of a zero
+    total = F.when(F.col("is_nan"), float("nan")).when(near == 0, F.col("total") * 0).otherwise(near)
+    return out.select("batch", "n", total.alias("total"), "first_position", "last_position")
 
 
 # --- attributes ------------------------------------------------------------------------------------
